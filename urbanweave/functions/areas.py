@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.functions.casting import lenient_double
+from urbanweave.functions.casting import lenient_doubles
 
 # The city's 77 community areas, numbered from 1 in this order.
 AREA_NAMES = [
@@ -28,16 +28,18 @@ AREA_NAMES = [
 ]
 
 
-def community_areas(spark: SparkSession) -> DataFrame:
-    rows = [(float(number), name) for number, name in enumerate(AREA_NAMES, start=1)]
-    return spark.createDataFrame(rows, "area double, neighborhood string")
+def neighborhood_of(area: str) -> str:
+    """Name of an area number; NULL when it is missing, unknown or not whole.
+
+    An array lookup: the list is fixed, so no join is needed.
+    """
+    names = ", ".join('"' + name + '"' for name in AREA_NAMES)
+    return f"""CASE WHEN {area} BETWEEN 1 AND {len(AREA_NAMES)} AND {area} = floor({area})
+        THEN element_at(array({names}), cast({area} AS int)) END"""
 
 
 def add_neighborhood(df: DataFrame) -> DataFrame:
-    """Name of the pickup area; NULL when the area is missing or unknown."""
-    if "pickup_community_area" not in df.columns:
-        return df.withColumn("neighborhood", F.lit(None).cast("string"))
-    # 77 rows whatever the trips hold, so the broadcast has a fixed size.
-    names = F.broadcast(community_areas(df.sparkSession))
-    keyed = df.withColumn("area", lenient_double(df, "pickup_community_area"))
-    return keyed.join(names, "area", "left").drop("area")
+    """Neighbourhood of the pickup; NULL for all rows when the area column is absent."""
+    area = lenient_doubles(df, ["pickup_community_area"]).get("pickup_community_area")
+    name = F.expr(neighborhood_of(area)) if area else F.lit(None).cast("string")
+    return df.withColumn("neighborhood", name)

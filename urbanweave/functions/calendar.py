@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from urbanweave.functions.casting import as_columns
 
 # Peak hours (inclusive) and the months of each season.
 RUSH_HOURS = [(7, 9), (17, 19)]
@@ -16,73 +17,70 @@ SEASON_MONTHS = {
 UNKNOWN_SEASON = "Unknown"
 
 
-def as_flag(condition: Column) -> Column:
+def _flag(condition: str) -> str:
     """1 when true, 0 when false or NULL."""
-    return F.coalesce(condition, F.lit(False)).cast("int")
+    return f"cast(coalesce({condition}, false) AS int)"
 
 
-def rush_flag(hour: Column) -> Column:
-    (first_lo, first_hi), (second_lo, second_hi) = RUSH_HOURS
-    return as_flag(hour.between(first_lo, first_hi) | hour.between(second_lo, second_hi))
+def rush_flag(hour: str) -> str:
+    return _flag(" OR ".join(f"{hour} BETWEEN {first} AND {last}" for first, last in RUSH_HOURS))
 
 
-def season_of(month: Column) -> Column:
-    chain = F
-    for season, months in SEASON_MONTHS.items():
-        chain = chain.when(month.isin(months), season)
-    return chain.otherwise(UNKNOWN_SEASON)
+def season_of(month: str) -> str:
+    cases = " ".join(
+        f"WHEN {month} IN ({', '.join(map(str, months))}) THEN '{season}'" for season, months in SEASON_MONTHS.items()
+    )
+    return f"CASE {cases} ELSE '{UNKNOWN_SEASON}' END"
 
 
-def _fixed_date_holiday(day: Column) -> Column:
-    month, dom, year = F.month(day), F.dayofmonth(day), F.year(day)
+def _fixed_date_holiday(day: str) -> str:
+    """New Year, Juneteenth (since 2021), Independence, Veterans and Christmas Day."""
     return (
-        ((month == 1) & (dom == 1))
-        | ((month == 6) & (dom == 19) & (year >= 2021))
-        | ((month == 7) & (dom == 4))
-        | ((month == 11) & (dom == 11))
-        | ((month == 12) & (dom == 25))
+        f"(date_format({day}, 'MMdd') IN ('0101', '0704', '1111', '1225')"
+        f" OR (date_format({day}, 'MMdd') = '0619' AND year({day}) >= 2021))"
     )
 
 
-def _weekday_holiday(day: Column) -> Column:
-    """Holidays set as the n-th weekday of a month (Monday, but Thursday in November)."""
-    month, dom, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
-    monday = weekday == 0
-    return (
-        (monday & month.isin(1, 2) & dom.between(15, 21))
-        | (monday & (month == 5) & (dom >= 25))
-        | (monday & (month == 9) & (dom <= 7))
-        | (monday & (month == 10) & dom.between(8, 14))
-        | ((weekday == 3) & (month == 11) & dom.between(22, 28))
-    )
+def _weekday_holiday(day: str) -> str:
+    """Holidays set as the n-th weekday of a month (a Monday, but a Thursday in November)."""
+    return f"""CASE weekday({day})
+        WHEN 0 THEN CASE month({day})
+            WHEN 1 THEN dayofmonth({day}) BETWEEN 15 AND 21
+            WHEN 2 THEN dayofmonth({day}) BETWEEN 15 AND 21
+            WHEN 5 THEN dayofmonth({day}) >= 25
+            WHEN 9 THEN dayofmonth({day}) <= 7
+            WHEN 10 THEN dayofmonth({day}) BETWEEN 8 AND 14
+        END
+        WHEN 3 THEN month({day}) = 11 AND dayofmonth({day}) BETWEEN 22 AND 28
+    END"""
 
 
-def holiday_flag(ts: Column) -> Column:
+def holiday_flag(day: str) -> str:
     """1 on a US federal holiday or its observed day (Saturday to Friday, Sunday to Monday).
 
     Computed from the rules, so no calendar table has to cover the data's years.
     """
-    day = ts.cast("date")
-    weekday = F.weekday(day)
-    return as_flag(
-        _fixed_date_holiday(day)
-        | ((weekday == 4) & _fixed_date_holiday(F.date_add(day, 1)))
-        | ((weekday == 0) & _fixed_date_holiday(F.date_sub(day, 1)))
-        | _weekday_holiday(day)
+    return _flag(
+        f"""{_fixed_date_holiday(day)}
+        OR (weekday({day}) = 4 AND {_fixed_date_holiday(f"date_add({day}, 1)")})
+        OR (weekday({day}) = 0 AND {_fixed_date_holiday(f"date_sub({day}, 1)")})
+        OR coalesce({_weekday_holiday(day)}, false)"""
     )
 
 
 def add_calendar_features(df: DataFrame) -> DataFrame:
     """hour, day_of_week (0 = Monday), month, is_weekend, is_rush_hour, season, is_holiday."""
-    ts = F.col("trip_start_timestamp")
+    ts = "trip_start_timestamp"
     return df.withColumns(
-        {
-            "hour": F.hour(ts),
-            "day_of_week": F.weekday(ts),
-            "month": F.month(ts),
-            "is_weekend": as_flag(F.weekday(ts).isin(5, 6)),
-            "is_rush_hour": rush_flag(F.hour(ts)),
-            "season": season_of(F.month(ts)),
-            "is_holiday": holiday_flag(ts),
-        }
+        as_columns(
+            {
+                "hour": f"hour({ts})",
+                "day_of_week": f"weekday({ts})",
+                "month": f"month({ts})",
+                "is_weekend": _flag(f"weekday({ts}) IN (5, 6)"),
+                "is_rush_hour": rush_flag(f"hour({ts})"),
+                "season": season_of(f"month({ts})"),
+                "is_holiday": holiday_flag(f"cast({ts} AS date)"),
+            }
+        )
     )

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from urbanweave.functions.casting import lenient_double
+from urbanweave.functions.casting import as_columns, lenient_doubles
 
 
 def add_fare_features(df: DataFrame) -> DataFrame:
@@ -13,18 +12,15 @@ def add_fare_features(df: DataFrame) -> DataFrame:
 
     Without a ``tips`` column the tip share is NULL and the total is the fare.
     """
-    amounts = [c for c in ("trip_miles", "trip_seconds", "fare", "tips") if c in df.columns]
-    df = df.withColumns({name: lenient_double(df, name) for name in amounts})
-    miles, seconds, fare = F.col("trip_miles"), F.col("trip_seconds"), F.col("fare")
-    if "tips" in amounts:
-        tip_share, total = F.col("tips") / fare * 100, fare + F.col("tips")
-    else:
-        tip_share, total = F.lit(None).cast("double"), fare
-    return df.withColumns(
-        {
-            "speed_mph": F.when(seconds > 0, miles / (seconds / 3600)),
-            "fare_per_mile": F.when(miles > 0, fare / miles),
-            "tip_percentage": F.when(fare > 0, tip_share),
-            "total_amount": total,
-        }
+    amounts = lenient_doubles(df, ["trip_miles", "trip_seconds", "fare", "tips"])
+    tips = "tips" in amounts
+    return df.withColumns(as_columns(amounts)).withColumns(
+        as_columns(
+            {
+                "speed_mph": "CASE WHEN trip_seconds > 0 THEN trip_miles / (trip_seconds / 3600) END",
+                "fare_per_mile": "CASE WHEN trip_miles > 0 THEN fare / trip_miles END",
+                "tip_percentage": "CASE WHEN fare > 0 THEN tips / fare * 100 END" if tips else "cast(NULL AS double)",
+                "total_amount": "fare + tips" if tips else "fare",
+            }
+        )
     )

@@ -19,6 +19,25 @@ from urbanweave.runtime import settle, settle_counted, settle_with, small_side
 DAMPING = 0.85
 
 
+# Rounds planned together before the scores are settled and compared.
+ROUNDS_PER_STEP = 5
+
+
+def _score_links(edges: DataFrame) -> DataFrame:
+    """(origin, target, share, base): the share of the origin's score each edge passes on.
+
+    Every node also has a row to itself that passes nothing and carries its
+    base score, so a round reads the scores only once.
+    """
+    out = edges.groupBy(F.col("pickup_h3").alias("origin")).agg(F.sum("weight").alias("out"))
+    passing = (
+        edges.withColumnRenamed("pickup_h3", "origin")
+        .join(out, "origin")
+        .selectExpr("origin", "dropoff_h3 AS target", "weight / out AS share", "0D AS base")
+    )
+    return passing.union(graph_nodes(edges).selectExpr("h3_cell", "h3_cell", "0D", "1D"))
+
+
 def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-10) -> DataFrame:
     """(h3_cell, pagerank): weighted, directed, summing to 1.
 
@@ -27,34 +46,27 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-1
     but needs no total in each round. The change shrinks by ``damping`` per
     round at least, so the loop ends.
     """
-    out = edges.groupBy(F.col("pickup_h3").alias("origin")).agg(F.sum("weight").alias("_out"))
-    links = settle(
-        edges.withColumnRenamed("pickup_h3", "origin")
-        .join(out, "origin")
-        .select("origin", F.col("dropoff_h3").alias("target"), (F.col("weight") / F.col("_out")).alias("share"))
-    )
-    start = graph_nodes(edges).select("h3_cell", F.lit(1 / (1 - damping)).alias("score"))
+    links = settle(_score_links(edges))
+    start = links.where("base = 1").selectExpr("origin AS h3_cell", f"{1 / (1 - damping)}D AS score")
     scores, seen = settle_with(start, n=F.count(F.lit(1)), total=F.sum("score"))
     nodes, total = seen["n"], seen["total"]
     if nodes == 0:
-        return scores.select("h3_cell", F.col("score").alias("pagerank"))
+        return scores.withColumnRenamed("score", "pagerank")
 
     enough = tolerance * (1 - damping) / damping
     longest = math.ceil(math.log(enough) / math.log(damping)) + 1
-    for _ in range(longest):
-        passed = links.join(small_side(scores, nodes), links["origin"] == scores["h3_cell"]).select(
-            F.col("target").alias("h3_cell"),
-            (F.lit(damping) * F.col("score") * F.col("share")).alias("gain"),
-            F.lit(0.0).alias("before"),
-        )
-        kept = scores.select("h3_cell", F.lit(1.0).alias("gain"), F.col("score").alias("before"))
-        scores, seen = settle_with(
-            passed.unionByName(kept)
-            .groupBy("h3_cell")
-            .agg(F.sum("gain").alias("score"), F.sum("before").alias("before")),
-            change=F.sum(F.abs(F.col("score") - F.col("before"))),
-            total=F.sum("score"),
-        )
+    for _ in range(math.ceil(longest / ROUNDS_PER_STEP)):
+        for _ in range(ROUNDS_PER_STEP):
+            known = small_side(scores.selectExpr("h3_cell AS origin", "score"), nodes)
+            scores = (
+                links.join(known, "origin")
+                .groupBy(F.col("target").alias("h3_cell"))
+                .agg(
+                    F.expr(f"sum({damping}D * share * score + base)").alias("score"),
+                    F.expr("sum(base * score)").alias("before"),
+                )
+            )
+        scores, seen = settle_with(scores, change=F.expr("sum(abs(score - before))"), total=F.sum("score"))
         total = seen["total"]
         if seen["change"] / total < enough:
             break

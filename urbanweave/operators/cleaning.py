@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.functions.casting import lenient_double, lenient_timestamp
-from urbanweave.schemas import GEO_COLUMNS
+from urbanweave.functions.casting import as_columns, half_even, lenient_doubles, lenient_timestamp
+from urbanweave.schemas import GEO_COLUMNS, TIME_COLUMNS
 
 # Inclusive limits of the service area, distance, duration and fare.
 LAT_RANGE = (41.6, 42.1)
 LON_RANGE = (-87.9, -87.5)
-MILES_RANGE = (0.0, 100.0)
-SECONDS_RANGE = (60, 7200)
-FARE_RANGE = (2.50, 500.00)
+MEASURE_RANGES = {
+    "trip_miles": (0.0, 100.0),
+    "trip_seconds": (60, 7200),
+    "fare": (2.50, 500.00),
+}
 
 # Rules in the order in which a removal is charged, with their short names in the report.
 RULES = {
@@ -25,43 +27,39 @@ RULES = {
 }
 
 
-def inside_area(latitude: Column, longitude: Column) -> Column:
+def inside_area(latitude: str, longitude: str) -> str:
     """True inside the inclusive box, false outside or on NULL."""
-    inside = latitude.between(*LAT_RANGE) & longitude.between(*LON_RANGE)
-    return F.coalesce(inside, F.lit(False))
-
-
-def _outside(df: DataFrame, name: str, limits: tuple[float, float]) -> Column:
-    """True for a value outside ``limits``; NULL and missing columns pass."""
-    if name not in df.columns:
-        return F.lit(False)
-    return F.coalesce(~lenient_double(df, name).between(*limits), F.lit(False))
+    return (
+        f"coalesce({latitude} BETWEEN {LAT_RANGE[0]}D AND {LAT_RANGE[1]}D"
+        f" AND {longitude} BETWEEN {LON_RANGE[0]}D AND {LON_RANGE[1]}D, false)"
+    )
 
 
 def first_failed_rule(df: DataFrame) -> Column:
-    """Name of the first rule the row breaks, NULL for a clean row."""
-    plat, plon, dlat, dlon = (lenient_double(df, c) for c in GEO_COLUMNS)
-    if {"trip_start_timestamp", "trip_end_timestamp"} <= set(df.columns):
-        ends_early = lenient_timestamp("trip_end_timestamp") < lenient_timestamp("trip_start_timestamp")
-    else:
-        ends_early = F.lit(False)
-    return (
-        F.when(~(inside_area(plat, plon) & inside_area(dlat, dlon)), "invalid_coordinates")
-        .when(_outside(df, "trip_miles", MILES_RANGE), "invalid_trip_miles")
-        .when(_outside(df, "trip_seconds", SECONDS_RANGE), "invalid_trip_seconds")
-        .when(_outside(df, "fare", FARE_RANGE), "invalid_fare")
-        .when(F.coalesce(ends_early, F.lit(False)), "invalid_timestamps")
-    )
+    """Name of the first rule the row breaks, NULL for a clean row.
+
+    A NULL measure passes its rule, as does one whose column is absent.
+    """
+    number = lenient_doubles(df, GEO_COLUMNS + list(MEASURE_RANGES))
+    plat, plon, dlat, dlon = (number[c] for c in GEO_COLUMNS)
+    cases = [f"WHEN NOT ({inside_area(plat, plon)} AND {inside_area(dlat, dlon)}) THEN 'invalid_coordinates'"]
+    cases += [
+        f"WHEN {number[name]} NOT BETWEEN {low}D AND {high}D THEN 'invalid_{name}'"
+        for name, (low, high) in MEASURE_RANGES.items()
+        if name in number
+    ]
+    if set(TIME_COLUMNS) <= set(df.columns):
+        start, end = (lenient_timestamp(c) for c in TIME_COLUMNS)
+        cases.append(f"WHEN {end} < {start} THEN 'invalid_timestamps'")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def keep_valid(df: DataFrame) -> DataFrame:
     """Rows that pass all rules, with measures cast to double and times to timestamps."""
-    measures = [c for c in ("trip_miles", "trip_seconds", "fare") if c in df.columns]
-    times = [c for c in ("trip_start_timestamp", "trip_end_timestamp") if c in df.columns]
     valid = df.where(first_failed_rule(df).isNull())
-    return valid.withColumns(
-        {c: lenient_double(df, c) for c in GEO_COLUMNS + measures} | {c: lenient_timestamp(c) for c in times}
-    )
+    numbers = lenient_doubles(df, GEO_COLUMNS + list(MEASURE_RANGES))
+    times = {c: lenient_timestamp(c) for c in TIME_COLUMNS if c in df.columns}
+    return valid.withColumns(as_columns(numbers | times))
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
@@ -94,9 +92,7 @@ def quality_report(df: DataFrame, file: Column) -> DataFrame:
     removed = F.col("rows_raw") - F.col("rows_clean")
 
     def percent(part: Column) -> Column:
-        return F.when(F.col("rows_raw") > 0, F.bround((part / F.col("rows_raw") * 100).cast("decimal(20,10)"), 2)).cast(
-            "double"
-        )
+        return F.when(F.col("rows_raw") > 0, half_even(part / F.col("rows_raw") * 100, 2))
 
     return totals.select(
         F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("file")).alias("file"),

@@ -17,8 +17,9 @@ from urbanweave.runtime import settle, settle_counted, settle_with, small_side
 
 # Fixed value: passes over the whole graph.
 MAX_PASSES = 10
-# Modularity differences below this count as none.
+# A move must raise modularity by this much, a whole pass by that much.
 NO_GAIN = 1e-9
+NO_PASS_GAIN = 1e-4
 
 
 def _level(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float, int]:
@@ -86,75 +87,65 @@ def _pairs(edges: DataFrame) -> DataFrame:
 
 
 def _best_moves(links: DataFrame, placed: DataFrame, nodes: int, total: float) -> DataFrame:
-    """(node, community, target, gain): the best move of each node that has one.
+    """(node, community, target, gain): the best move of each node that gains by one.
 
-    ``placed`` is (node, community, degree).
+    ``placed`` is (node, community, degree). A node weighs up the communities it
+    has links into, and its own.
     """
     sizes = placed.groupBy("community").agg(F.sum("degree").alias("size"))
-    small = small_side(placed, nodes)
-    home = small.select(F.col("node").alias("b"), F.col("community").alias("target"))
-    toward = links.join(home, "b").groupBy(F.col("a").alias("node"), "target").agg(F.sum("w").alias("weight"))
-    # Every node also weighs up its own community, even without links into it.
-    own = placed.select("node", F.col("community").alias("target"), F.lit(0.0).alias("weight"))
-    choices = toward.unionByName(own).groupBy("node", "target").agg(F.sum("weight").alias("weight"))
-    others = F.col("size") - F.when(F.col("target") == F.col("community"), F.col("degree")).otherwise(F.lit(0.0))
+    small = small_side(placed.select("node", "community", "degree"), nodes)
+    toward = (
+        links.join(small.selectExpr("node AS b", "community AS target"), "b")
+        .groupBy(F.col("a").alias("node"), "target")
+        .agg(F.sum("w").alias("weight"))
+    )
+    own = placed.selectExpr("node", "community AS target", "0D AS weight")
+    value = f"""weight / {total}D
+        - degree * (size - if(target = community, degree, 0D)) / {2 * total * total}D"""
     scored = (
-        choices.join(small, "node")
+        toward.union(own)
+        .groupBy("node", "target")
+        .agg(F.sum("weight").alias("weight"))
+        .join(small, "node")
         .join(small_side(sizes.withColumnRenamed("community", "target"), nodes), "target")
-        .withColumn("value", F.col("weight") / total - F.col("degree") * others / (2 * total * total))
+        .selectExpr("node", "community", "target", f"{value} AS value")
     )
     best = scored.groupBy("node").agg(
-        F.min(F.struct((-F.col("value")).alias("cost"), "target")).alias("best"),
-        F.max(F.when(F.col("target") == F.col("community"), F.col("value"))).alias("stay"),
+        F.expr("min(struct(-value AS cost, target))").alias("best"),
+        F.expr("max(if(target = community, value, NULL))").alias("stay"),
         F.min("community").alias("community"),
     )
-    return best.select(
-        "node", "community", F.col("best.target").alias("target"), (-F.col("best.cost") - F.col("stay")).alias("gain")
-    ).where((F.col("gain") > NO_GAIN) & (F.col("target") != F.col("community")))
-
-
-def _independent(moves: DataFrame) -> DataFrame:
-    """Moves that are the best one for both communities they touch.
-
-    They touch disjoint communities, so their gains add up exactly.
-    """
-    order = F.struct((-F.col("gain")).alias("cost"), "node")
-    touched = moves.select(
-        F.explode(F.array("community", "target")).alias("touched"), order.alias("order")
+    return best.selectExpr("node", "community", "best.target AS target", "-best.cost - stay AS gain").where(
+        f"gain > {NO_GAIN}D AND target <> community"
     )
-    winners = touched.groupBy("touched").agg(F.min("order").alias("winner"))
-    chosen = winners.groupBy(F.col("winner.node").alias("node")).agg(F.count(F.lit(1)).alias("wins"))
-    return moves.join(chosen.where("wins = 2").select("node"), "node", "left_semi")
 
 
 def _move(placed: DataFrame, moves: DataFrame) -> DataFrame:
-    going = moves.select("node", "target")
-    return placed.join(going, "node", "left").select(
-        "node", F.coalesce("target", "community").alias("community"), "degree"
+    return placed.join(moves.select("node", "target", "goes"), "node", "left").selectExpr(
+        "node", "if(goes, target, community) AS community", "degree", "target IS NOT NULL AS waiting"
     )
 
 
-def _local_moves(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, float]:
-    """Move single nodes until none gains; returns (node, community) and the modularity."""
+def _local_moves(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+    """Move single nodes while they gain; returns (node, community) and whether any moved.
+
+    Each turn moves half of the gaining nodes, picked by hash, so neighbours
+    rarely swap places. A single one left just moves. What still waits when the
+    turns are used up is taken up by the next pass.
+    """
     links, degrees, total, nodes = _level(pairs)
     placed = settle(degrees.join(members, "node").select("node", "community", "degree"))
-    quality = modularity_of(pairs, placed).first()["modularity"]
-    turn = 0
-    while True:
-        moves, waiting = settle_counted(_best_moves(links, placed, nodes, total))
+    waiting, any_moved = nodes, False
+    for turn in range(nodes.bit_length() + 4):
+        groups = 2 if waiting > 1 else 1
+        goes = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups)) == 0
+        moves = _best_moves(links, placed, nodes, total).withColumn("goes", goes)
+        moved, seen = settle_with(_move(placed, moves), waiting=F.count_if("waiting"))
+        waiting = seen["waiting"]
         if not waiting:
-            return placed.select("node", "community"), quality
-        # Half of the movers at once is fast; it is kept only if it really helps.
-        turn += 1
-        half = moves.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-        trial = settle(_move(placed, half))
-        reached = modularity_of(pairs, trial).first()["modularity"]
-        if reached <= quality + NO_GAIN:
-            trial = settle(_move(placed, _independent(moves)))
-            reached = modularity_of(pairs, trial).first()["modularity"]
-            if reached <= quality:
-                return placed.select("node", "community"), quality
-        placed, quality = trial, reached
+            break
+        placed, any_moved = moved.select("node", "community", "degree"), True
+    return placed.select("node", "community"), any_moved
 
 
 def connected_parts(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -197,22 +188,25 @@ def _merged(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def _one_pass(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, float]:
-    """Move nodes, then whole connected communities, until merging changes nothing."""
-    moved, quality = _local_moves(pairs, members)
-    members = connected_parts(pairs, moved)
+def _one_pass(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+    """Move nodes, then whole connected communities, until merging changes nothing.
+
+    Returns (node, community) and whether any node moved.
+    """
+    members, any_moved = _local_moves(pairs, members)
+    if not any_moved:
+        return members, False
+    members = connected_parts(pairs, members)
     while True:
         coarse = settle(_merged(pairs, members))
         groups = members.select(F.col("community").alias("node")).distinct()
-        start, before = settle_counted(groups.select("node", F.col("node").alias("community")))
-        moved, reached = _local_moves(coarse, start)
-        if reached <= quality + NO_GAIN:
-            return members, modularity_of(pairs, members).first()["modularity"]
-        joined = moved.select(F.col("node").alias("community"), F.col("community").alias("wider"))
-        members = settle(
-            members.join(small_side(joined, before), "community").select("node", F.col("wider").alias("community"))
-        )
-        members, quality = connected_parts(pairs, members), reached
+        start, count = settle_counted(groups.select("node", F.col("node").alias("community")))
+        moved, any_moved = _local_moves(coarse, start)
+        if not any_moved:
+            return members, True
+        wider = moved.select(F.col("node").alias("community"), F.col("community").alias("wider"))
+        members = members.join(small_side(wider, count), "community").selectExpr("node", "wider AS community")
+        members = connected_parts(pairs, settle(members))
 
 
 def detect_communities(edges: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -220,13 +214,15 @@ def detect_communities(edges: DataFrame, max_passes: int = MAX_PASSES) -> DataFr
     pairs = settle(_pairs(edges))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     members, count = settle_counted(nodes.select("node", F.col("node").alias("community")))
-    if count:
-        quality = float("-inf")
-        for _ in range(max_passes):
-            found, reached = _one_pass(pairs, members)
-            if reached <= quality + NO_GAIN:
-                break
-            members, quality = found, reached
+    best = None
+    for _ in range(max_passes if count else 0):
+        found, moved = _one_pass(pairs, members)
+        if not moved:
+            break
+        reached = modularity_of(pairs, found).first()["modularity"]
+        if best is not None and reached <= best + NO_PASS_GAIN:
+            break
+        members, best = found, reached
     return number_communities(members.select(F.col("node").alias("h3_cell"), "community"))
 
 

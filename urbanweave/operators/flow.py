@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from urbanweave.functions.casting import rounded
 
-_ROWS = F.count(F.lit(1))
-
 # Measures shown as means, with the expression they average.
 MEAN_MEASURES = {
     "avg_ticket": "total_amount",
@@ -23,6 +21,10 @@ MEAN_MEASURES = {
 }
 
 
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def mean_of(name: str, digits: int = 2) -> Column:
     return rounded(F.avg(F.expr(MEAN_MEASURES[name])), digits).alias(name)
 
@@ -58,7 +60,7 @@ def summary(trips: DataFrame) -> DataFrame:
     means = ["avg_ticket", "avg_miles", "avg_duration_min"]
     ts = F.col("trip_start_timestamp")
     groups = trips.groupBy("neighborhood", "pickup_h3").agg(
-        _ROWS.alias("_trips"),
+        _rows().alias("_trips"),
         F.min(ts).alias("_first"),
         F.max(ts).alias("_last"),
         *partial_means(means),
@@ -79,7 +81,7 @@ def neighborhoods(trips: DataFrame) -> DataFrame:
     return (
         trips.where(F.col("neighborhood").isNotNull())
         .groupBy("neighborhood")
-        .agg(_ROWS.alias("total_trips"), *[mean_of(m) for m in means])
+        .agg(_rows().alias("total_trips"), *[mean_of(m) for m in means])
         .orderBy(F.col("total_trips").desc(), "neighborhood")
     )
 
@@ -90,7 +92,7 @@ def neighborhood_general(trips: DataFrame, name: str) -> DataFrame:
         trips.where(F.col("neighborhood") == name)
         .groupBy("neighborhood")
         .agg(
-            _ROWS.alias("total_trips"),
+            _rows().alias("total_trips"),
             *[mean_of(m) for m in MEAN_MEASURES],
             F.count_if(F.col("is_weekend") == 1).alias("weekend_trips"),
             F.count_if(F.col("is_rush_hour") == 1).alias("rush_trips"),
@@ -108,7 +110,7 @@ def neighborhood_detail(trips: DataFrame, name: str) -> DataFrame:
         trips.where(F.col("neighborhood") == name)
         .groupBy("neighborhood", "hour", "day_of_week")
         .agg(
-            _ROWS.alias("trips"),
+            _rows().alias("trips"),
             F.count_if(F.col("is_weekend") == 1).alias("_weekend"),
             F.count_if(F.col("is_rush_hour") == 1).alias("_rush"),
             *partial_means(means),
@@ -144,7 +146,7 @@ def neighborhood_detail(trips: DataFrame, name: str) -> DataFrame:
 
 
 def _counted_by(trips: DataFrame, key: str) -> DataFrame:
-    return trips.groupBy(key).agg(_ROWS.alias("trips")).orderBy(F.col(key).asc_nulls_last())
+    return trips.groupBy(key).agg(_rows().alias("trips")).orderBy(F.col(key).asc_nulls_last())
 
 
 def hourly_flow(trips: DataFrame, neighborhood: str | None = None, season: str | None = None) -> DataFrame:
@@ -162,7 +164,7 @@ def seasonal_flow(trips: DataFrame) -> DataFrame:
     return (
         trips.where(F.col("season").isNotNull())
         .groupBy("season")
-        .agg(_ROWS.alias("trips"), mean_of("avg_ticket"))
+        .agg(_rows().alias("trips"), mean_of("avg_ticket"))
         .orderBy(F.col("trips").desc(), "season")
     )
 
@@ -171,14 +173,14 @@ def rush_flow(trips: DataFrame) -> DataFrame:
     """Trips, mean ticket and miles in and outside the peak hours."""
     return (
         trips.groupBy("is_rush_hour")
-        .agg(_ROWS.alias("trips"), mean_of("avg_ticket"), mean_of("avg_miles"))
+        .agg(_rows().alias("trips"), mean_of("avg_ticket"), mean_of("avg_miles"))
         .orderBy(F.col("is_rush_hour").asc_nulls_last())
     )
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its row count."""
-    counted = [t.agg(_ROWS.alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()]
+    counted = [t.agg(_rows().alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()]
     result = counted[0]
     for other in counted[1:]:
         result = result.unionByName(other)
@@ -189,7 +191,7 @@ def busiest_neighborhoods(trips: DataFrame, n: int = 5) -> DataFrame:
     return (
         trips.where(F.col("neighborhood").isNotNull())
         .groupBy("neighborhood")
-        .agg(_ROWS.alias("trips"))
+        .agg(_rows().alias("trips"))
         .orderBy(F.col("trips").desc(), "neighborhood")
         .limit(n)
     )
@@ -211,7 +213,7 @@ def top_origins(trips: DataFrame, n: int = 20) -> DataFrame:
     return (
         trips.where(F.col("pickup_h3").isNotNull())
         .groupBy("pickup_h3")
-        .agg(_ROWS.alias("trips"))
+        .agg(_rows().alias("trips"))
         .orderBy(F.col("trips").desc(), "pickup_h3")
         .limit(n)
     )
@@ -238,7 +240,7 @@ def temporal_breakdowns(trips: DataFrame) -> DataFrame:
     sets then run on those few rows.
     """
     keys = list(BREAKDOWNS.values())
-    combos = trips.groupBy(*keys).agg(_ROWS.alias("trips"))
+    combos = trips.groupBy(*keys).agg(_rows().alias("trips"))
     sets = combos.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
         F.sum("trips").alias("trips"), *[F.grouping(k).alias(f"_off_{k}") for k in keys]
     )

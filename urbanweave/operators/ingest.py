@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanweave.functions.casting import lenient_double, lenient_timestamp, share_pct
+from urbanweave.functions.casting import as_columns, lenient_doubles, lenient_timestamp, share_pct
 from urbanweave.schemas import DOWNLOAD_LOG, GEO_COLUMNS, TIME_COLUMNS, conform
 
 # First landed year, and the first year served by the current source.
@@ -20,13 +20,13 @@ def month_scan(df: DataFrame, year: int, month: int) -> DataFrame:
     """Trips starting in [month, next month), earliest first."""
     start = F.lit(date(year, month, 1)).cast("timestamp_ntz")
     end = F.lit(date(year + month // 12, month % 12 + 1, 1)).cast("timestamp_ntz")
-    ts = lenient_timestamp("trip_start_timestamp")
+    ts = F.expr(lenient_timestamp("trip_start_timestamp"))
     return df.where((ts >= start) & (ts < end)).orderBy(ts, "trip_id")
 
 
 def route_sources(historical: DataFrame, current: DataFrame) -> DataFrame:
     """Years before the change from the historical source, later ones from the current one."""
-    year = F.year(lenient_timestamp("trip_start_timestamp"))
+    year = F.expr(f"year({lenient_timestamp('trip_start_timestamp')})")
     old = historical.where(year < CURRENT_SOURCE_FROM)
     new = current.where(year >= CURRENT_SOURCE_FROM)
     return old.unionByName(new, allowMissingColumns=True)
@@ -34,23 +34,19 @@ def route_sources(historical: DataFrame, current: DataFrame) -> DataFrame:
 
 def latest_trips(current: DataFrame, n: int = 1000) -> DataFrame:
     """The ``n`` trips that started last."""
-    ts = lenient_timestamp("trip_start_timestamp")
+    ts = F.expr(lenient_timestamp("trip_start_timestamp"))
     return current.orderBy(ts.desc_nulls_last(), "trip_id").limit(n)
 
 
-def _geo_numbers(df: DataFrame) -> dict[str, Column]:
-    return {name: lenient_double(df, name) for name in GEO_COLUMNS if name in df.columns}
-
-
 def drop_missing_geo(df: DataFrame) -> DataFrame:
     """Cast the geo columns to double and drop rows where one is missing, blank or no number."""
-    numbers = _geo_numbers(df)
-    return df.withColumns(numbers).dropna(subset=list(numbers)) if numbers else df
+    numbers = lenient_doubles(df, GEO_COLUMNS)
+    return df.withColumns(as_columns(numbers)).dropna(subset=list(numbers)) if numbers else df
 
 
 def cast_times(df: DataFrame) -> DataFrame:
     """Start and end as timestamps; unreadable ones become NULL, the row stays."""
-    return df.withColumns({c: lenient_timestamp(c) for c in TIME_COLUMNS if c in df.columns})
+    return df.withColumns(as_columns({c: lenient_timestamp(c) for c in TIME_COLUMNS if c in df.columns}))
 
 
 def _keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -84,9 +80,8 @@ def dedup_for_load(df: DataFrame) -> DataFrame:
 
 def ingest_loss(landed: DataFrame) -> DataFrame:
     """One row: rows landed, kept by clean_and_cast, removed, and percent removed."""
-    placed = F.lit(True)
-    for number in _geo_numbers(landed).values():
-        placed = placed & number.isNotNull()
+    numbers = lenient_doubles(landed, GEO_COLUMNS).values()
+    placed = F.expr(" AND ".join(f"{number} IS NOT NULL" for number in numbers) or "true")
     per_id = landed.groupBy("trip_id").agg(
         F.count(F.lit(1)).alias("copies"), F.max(placed).alias("placed")
     )

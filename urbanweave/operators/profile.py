@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.functions.casting import lenient_double, lenient_timestamp, rounded
-from urbanweave.operators.cleaning import FARE_RANGE, LAT_RANGE, LON_RANGE, MILES_RANGE, SECONDS_RANGE
+from urbanweave.functions.casting import as_columns, half_even, lenient_doubles, lenient_timestamp, rounded
+from urbanweave.operators.cleaning import LAT_RANGE, LON_RANGE, MEASURE_RANGES
 from urbanweave.operators.ordering import exact_quantiles
+from urbanweave.schemas import GEO_COLUMNS, TIME_COLUMNS
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def _false_if_null(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
 def start_year() -> Column:
-    return F.year(lenient_timestamp("trip_start_timestamp"))
+    return F.expr(f"year({lenient_timestamp('trip_start_timestamp')})")
 
 
 def shape_by_year(df: DataFrame) -> DataFrame:
@@ -44,7 +41,7 @@ def nulls_by_year(df: DataFrame) -> DataFrame:
             F.col("_year").alias("year"),
             "column",
             "nulls",
-            F.bround((F.col("nulls") / F.col("_rows") * 100).cast("decimal(20,10)"), 2).cast("double").alias("pct"),
+            half_even(F.col("nulls") / F.col("_rows") * 100, 2).alias("pct"),
         )
         .orderBy("year", F.col("nulls").desc(), "column")
     )
@@ -52,24 +49,27 @@ def nulls_by_year(df: DataFrame) -> DataFrame:
 
 def is_outlier(df: DataFrame) -> Column:
     """Distance below 0 or from 100 miles up, duration or fare outside its limits."""
-    miles, seconds, fare = (lenient_double(df, c) for c in ("trip_miles", "trip_seconds", "fare"))
-    return (
-        _false_if_null((miles < MILES_RANGE[0]) | (miles >= MILES_RANGE[1]))
-        | _false_if_null((seconds < SECONDS_RANGE[0]) | (seconds > SECONDS_RANGE[1]))
-        | _false_if_null((fare < FARE_RANGE[0]) | (fare > FARE_RANGE[1]))
-    )
+    number = lenient_doubles(df, MEASURE_RANGES)
+    tests = []
+    for name, (low, high) in MEASURE_RANGES.items():
+        above = ">=" if name == "trip_miles" else ">"
+        tests.append(f"coalesce({number[name]} < {low}D OR {number[name]} {above} {high}D, false)")
+    return F.expr(" OR ".join(tests))
 
 
 def is_pickup_outside(df: DataFrame) -> Column:
     """Pickup outside the box; unlike the cleaning rule, NULL does not count."""
-    lat, lon = lenient_double(df, "pickup_centroid_latitude"), lenient_double(df, "pickup_centroid_longitude")
-    return _false_if_null((lat < LAT_RANGE[0]) | (lat > LAT_RANGE[1])) | _false_if_null(
-        (lon < LON_RANGE[0]) | (lon > LON_RANGE[1])
+    number = lenient_doubles(df, GEO_COLUMNS)
+    lat, lon = number["pickup_centroid_latitude"], number["pickup_centroid_longitude"]
+    return F.expr(
+        f"coalesce({lat} NOT BETWEEN {LAT_RANGE[0]}D AND {LAT_RANGE[1]}D, false)"
+        f" OR coalesce({lon} NOT BETWEEN {LON_RANGE[0]}D AND {LON_RANGE[1]}D, false)"
     )
 
 
 def is_time_reversed() -> Column:
-    return _false_if_null(lenient_timestamp("trip_end_timestamp") < lenient_timestamp("trip_start_timestamp"))
+    start, end = (lenient_timestamp(c) for c in TIME_COLUMNS)
+    return F.expr(f"coalesce({end} < {start}, false)")
 
 
 def issues_by_year(df: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def duplicates_by_year(df: DataFrame) -> DataFrame:
 
 def describe_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max of numeric columns, one row each."""
-    numbers = df.select(*[lenient_double(df, c).alias(c) for c in names])
-    values = numbers.unpivot([], names, "column", "value").where("value is not null")
+    numbers = df.withColumns(as_columns(lenient_doubles(df, names)))
+    values = numbers.select(*names).unpivot([], names, "column", "value").where("value is not null")
     moments = values.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

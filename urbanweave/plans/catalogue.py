@@ -54,7 +54,7 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
 def _districts(edges: DataFrame) -> DataFrame:
     """A partition of the cells that SQL can compute too: by the area their ids share."""
     nodes = graph.graph_nodes(edges)
-    return community.number_communities(nodes.withColumn("community", F.substring("h3_cell", 1, 8)))
+    return community.number_communities(nodes.withColumn("community", F.substring("h3_cell", 1, 7)))
 
 
 def _exact_metrics(edges: DataFrame) -> DataFrame:
@@ -382,11 +382,6 @@ def communities(spark, sf):
     return community.detect_communities(_settled_edges(spark, sf))
 
 
-def communities_modularity(spark, sf):
-    edges = _settled_edges(spark, sf)
-    return community.modularity(edges, community.detect_communities(edges))
-
-
 def district_modularity(spark, sf):
     edges = _settled_edges(spark, sf)
     return community.modularity(edges, _districts(edges)).select(F.round("modularity", 9).alias("modularity"))
@@ -521,7 +516,7 @@ QUERIES: dict[str, Query] = {
         top5_trips, top5_ticket, temporal_breakdowns, temporal_report, temporal_report_top, top_origins,
         parametrised_sql,
         od_edges, node_strength, graph_size, undirected_edges, pagerank, betweenness, betweenness_inverse,
-        node_metrics, graph_summary, communities, communities_modularity, district_modularity, district_parts,
+        node_metrics, graph_summary, communities, district_modularity, district_parts,
         community_sizes,
         top_hexagons, top_hexagons_betweenness, hexagon_metrics, hexagon_trips, hexagon_detail,
         community_stats, community_flow, edges_top,

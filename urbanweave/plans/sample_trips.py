@@ -6,77 +6,63 @@ missing ids, and unreadable positions, times and amounts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from urbanweave.operators.cleaning import keep_valid
 from urbanweave.plans.jobs import add_all_features
-from urbanweave.schemas import RAW_TRIP, TRIP, conform
+from urbanweave.schemas import RAW_TRIP, TRIP
 
 # Stops lie on a lattice, so pickup and dropoff cells coincide.
 STOPS = 41
 
 
-def _latitude(stop: Column) -> Column:
-    return F.lit(41.57) + stop.cast("double") * F.lit(0.0129)
+_PICKUP = f"(user_id % {STOPS})"
+_DROPOFF = f"(cast(get_json_object(props, '$.k') AS bigint) % {STOPS})"
+_DAYS = "cast(event_id % 730 AS int)"
 
+_COLUMNS = {
+    "trip_id": "concat('t', cast(event_id AS string))",
+    "trip_start_timestamp": f"ts + make_dt_interval({_DAYS})",
+    "trip_end_timestamp": f"ts + make_dt_interval({_DAYS}, 0, 0, cast(event_id * 37 % 9000 - 60 AS int))",
+    "trip_seconds": "CASE WHEN event_id % 41 <> 0 THEN cast(event_id * 37 % 9000 AS double) END",
+    "trip_miles": "CASE WHEN event_id % 43 <> 0 THEN cast(event_id * 7 % 1050 AS double) / 8 END",
+    "fare": "CASE WHEN event_id % 53 <> 0 THEN value END",
+    "tips": "CASE WHEN event_id % 47 <> 0 THEN cast(event_id % 9 AS double) END",
+    "pickup_community_area": "cast(user_id % 80 AS double)",
+    "pickup_centroid_latitude": f"41.57D + cast({_PICKUP} AS double) * 0.0129D",
+    "pickup_centroid_longitude": f"-87.89D + cast({_PICKUP} * 7 % {STOPS} AS double) * 0.0095D",
+    "dropoff_centroid_latitude": f"41.57D + cast({_DROPOFF} AS double) * 0.0129D",
+    "dropoff_centroid_longitude": f"-87.89D + cast({_DROPOFF} * 7 % {STOPS} AS double) * 0.0095D",
+}
 
-def _longitude(stop: Column) -> Column:
-    return F.lit(-87.89) + ((stop * 7) % STOPS).cast("double") * F.lit(0.0095)
+_DIRT = {
+    "trip_id": """CASE WHEN event_id % 97 = 0 THEN NULL
+        WHEN event_id % 10 = 3 THEN concat('t', cast(event_id - 1 AS string)) ELSE trip_id END""",
+    "trip_start_timestamp": "CASE WHEN event_id % 59 = 0 THEN 'not a time' ELSE trip_start_timestamp END",
+    "trip_miles": "CASE WHEN event_id % 61 = 0 THEN '12d' WHEN event_id % 67 = 0 THEN 'NaN' ELSE trip_miles END",
+    "pickup_centroid_latitude": """CASE WHEN event_id % 29 = 0 THEN ' ' WHEN event_id % 31 = 0 THEN 'n/a'
+        WHEN event_id % 37 = 0 THEN NULL ELSE pickup_centroid_latitude END""",
+}
 
 
-def _unless_multiple(of: int, value: Column) -> Column:
-    return F.when(F.col("event_id") % of != 0, value)
-
-
-def _with_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id")
-    days = F.make_dt_interval((event % 730).cast("int"))
-    seconds = event * 37 % 9000
-    ride = F.make_dt_interval(
-        (event % 730).cast("int"), F.lit(0), F.lit(0), (seconds - 60).cast("decimal(18,6)")
-    )
-    pickup = F.col("user_id") % STOPS
-    dropoff = F.get_json_object("props", "$.k").cast("bigint") % STOPS
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(
-        "event_id",
-        F.concat(F.lit("t"), event.cast("string")).alias("trip_id"),
-        (F.col("ts") + days).alias("trip_start_timestamp"),
-        (F.col("ts") + ride).alias("trip_end_timestamp"),
-        _unless_multiple(41, seconds.cast("double")).alias("trip_seconds"),
-        _unless_multiple(43, (event * 7 % 1050).cast("double") / 8).alias("trip_miles"),
-        _unless_multiple(53, F.col("value")).alias("fare"),
-        _unless_multiple(47, (event % 9).cast("double")).alias("tips"),
-        (F.col("user_id") % 80).cast("double").alias("pickup_community_area"),
-        _latitude(pickup).alias("pickup_centroid_latitude"),
-        _longitude(pickup).alias("pickup_centroid_longitude"),
-        _latitude(dropoff).alias("dropoff_centroid_latitude"),
-        _longitude(dropoff).alias("dropoff_centroid_longitude"),
-    )
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(_with_event(spark, sf_dir), TRIP)
+    shaped = [
+        f"{_COLUMNS[f.name]} AS {f.name}"
+        if f.name in _COLUMNS
+        else f"cast(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in TRIP.fields
+    ]
+    return _events(spark, sf_dir).selectExpr(*shaped)
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id")
-    source = _with_event(spark, sf_dir)
-    copied = F.concat(F.lit("t"), (event - 1).cast("string"))
-    dirty = source.withColumns({f.name: F.col(f.name).cast("string") for f in RAW_TRIP if f.name in source.columns})
-    dirty = dirty.withColumns(
-        {
-            "trip_id": F.when(event % 97 == 0, None).when(event % 10 == 3, copied).otherwise(F.col("trip_id")),
-            "trip_start_timestamp": F.when(event % 59 == 0, "not a time").otherwise(F.col("trip_start_timestamp")),
-            "trip_miles": F.when(event % 61 == 0, "12d").when(event % 67 == 0, "NaN").otherwise(F.col("trip_miles")),
-            "pickup_centroid_latitude": F.when(event % 29 == 0, " ")
-            .when(event % 31 == 0, "n/a")
-            .when(event % 37 == 0, None)
-            .otherwise(F.col("pickup_centroid_latitude")),
-        }
-    )
-    return conform(dirty, RAW_TRIP)
+    as_text = [f"cast({_COLUMNS.get(f.name, 'NULL')} AS string) AS {f.name}" for f in RAW_TRIP.fields]
+    dirty = [f"{_DIRT.get(f.name, f.name)} AS {f.name}" for f in RAW_TRIP.fields]
+    return _events(spark, sf_dir).selectExpr("event_id", *as_text).selectExpr(*dirty)
 
 
 def clean_trips(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="urbanweave-")
+    folder = tempfile.mkdtemp(prefix="urbanweave-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` into the shared folder and go on from the written table.
+
+    Unlike a checkpoint, the table carries no constraints of the plan it came
+    from. In long loops those grow until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle_with(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
