@@ -22,27 +22,36 @@ NO_GAIN = 1e-9
 NO_PASS_GAIN = 1e-4
 
 
-def _level(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float, int]:
-    """Both directions of each pair, degrees, total weight and node count of one level.
+def _links(pairs: DataFrame) -> DataFrame:
+    """Both directions of each pair of different nodes.
 
     ``pairs`` is (a, b, w), each unordered pair once; a = b holds inner weight.
     """
-    backwards = pairs.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
-    links = settle(pairs.where("a != b").select("a", "b", "w").unionByName(backwards))
-    ends = links.select(F.col("a").alias("node"), F.col("w").alias("k")).unionByName(
-        pairs.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("k"))
+    outer = pairs.where("a <> b").select("a", "b", "w")
+    return outer.union(outer.select("b", "a", "w"))
+
+
+def _placed(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, int, float]:
+    """(node, community, degree) with the number of nodes and the total weight."""
+    ends = _links(pairs).selectExpr("a AS node", "w").union(pairs.where("a = b").selectExpr("a", "2 * w"))
+    degrees = ends.groupBy("node").agg(F.sum("w").alias("degree"))
+    placed, seen = settle_with(
+        degrees.join(members, "node").select("node", "community", "degree"),
+        n=F.count(F.lit(1)),
+        weight=F.sum("degree"),
     )
-    degrees, seen = settle_with(
-        ends.groupBy("node").agg(F.sum("k").alias("degree")), n=F.count(F.lit(1)), total=F.sum("degree")
-    )
-    return links, degrees, (seen["total"] or 0.0) / 2, seen["n"]
+    return placed, seen["n"], (seen["weight"] or 0.0) / 2
+
+
+def _with_ends(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs with the communities ca and cb of their ends."""
+    of_a = members.selectExpr("node AS a", "community AS ca")
+    return pairs.join(of_a, "a").join(members.selectExpr("node AS b", "community AS cb"), "b")
 
 
 def modularity_parts(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(community, inside, degree): weight inside and total degree of each community."""
-    of_a = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-    of_b = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    placed = pairs.join(of_a, "a").join(of_b, "b")
+    placed = _with_ends(pairs, members)
     within = F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(F.lit(0.0))
     # One row per pair and end, so the weights are summed in a single aggregation.
     ends = placed.select(
@@ -86,14 +95,15 @@ def _pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def _best_moves(links: DataFrame, placed: DataFrame, nodes: int, total: float) -> DataFrame:
-    """(node, community, target, gain): the best move of each node that gains by one.
+def _turn(links: DataFrame, placed: DataFrame, nodes: int, total: float, turn: int, groups: int) -> DataFrame:
+    """(node, community, degree, waiting) after one turn.
 
-    ``placed`` is (node, community, degree). A node weighs up the communities it
-    has links into, and its own.
+    A node waits when another community would raise modularity. One hashed group
+    of the waiting nodes moves, each to its best community; ties go to the
+    smallest name. A node weighs up the communities it has links into, and its own.
     """
-    sizes = placed.groupBy("community").agg(F.sum("degree").alias("size"))
-    small = small_side(placed.select("node", "community", "degree"), nodes)
+    sizes = placed.groupBy(F.col("community").alias("target")).agg(F.sum("degree").alias("size"))
+    small = small_side(placed, nodes)
     toward = (
         links.join(small.selectExpr("node AS b", "community AS target"), "b")
         .groupBy(F.col("a").alias("node"), "target")
@@ -102,27 +112,25 @@ def _best_moves(links: DataFrame, placed: DataFrame, nodes: int, total: float) -
     own = placed.selectExpr("node", "community AS target", "0D AS weight")
     value = f"""weight / {total}D
         - degree * (size - if(target = community, degree, 0D)) / {2 * total * total}D"""
-    scored = (
+    best = (
         toward.union(own)
         .groupBy("node", "target")
         .agg(F.sum("weight").alias("weight"))
         .join(small, "node")
-        .join(small_side(sizes.withColumnRenamed("community", "target"), nodes), "target")
-        .selectExpr("node", "community", "target", f"{value} AS value")
-    )
-    best = scored.groupBy("node").agg(
-        F.expr("min(struct(-value AS cost, target))").alias("best"),
-        F.expr("max(if(target = community, value, NULL))").alias("stay"),
-        F.min("community").alias("community"),
-    )
-    return best.selectExpr("node", "community", "best.target AS target", "-best.cost - stay AS gain").where(
-        f"gain > {NO_GAIN}D AND target <> community"
+        .join(small_side(sizes, nodes), "target")
+        .selectExpr("node", "community", "degree", "target", f"{value} AS value")
+        .groupBy("node")
+        .agg(
+            F.expr("min(struct(-value AS cost, target))").alias("best"),
+            F.expr("max(if(target = community, value, NULL))").alias("stay"),
+            F.min("community").alias("community"),
+            F.min("degree").alias("degree"),
+        )
     )
-
-
-def _move(placed: DataFrame, moves: DataFrame) -> DataFrame:
-    return placed.join(moves.select("node", "target", "goes"), "node", "left").selectExpr(
-        "node", "if(goes, target, community) AS community", "degree", "target IS NOT NULL AS waiting"
+    waits = f"(best.target <> community AND -best.cost - stay > {NO_GAIN}D)"
+    goes = f"{waits} AND pmod(xxhash64(node, {turn}), {groups}) = 0"
+    return best.selectExpr(
+        "node", f"if({goes}, best.target, community) AS community", "degree", f"{waits} AS waiting"
     )
 
 
@@ -133,14 +141,14 @@ def _local_moves(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]
     rarely swap places. A single one left just moves. What still waits when the
     turns are used up is taken up by the next pass.
     """
-    links, degrees, total, nodes = _level(pairs)
-    placed = settle(degrees.join(members, "node").select("node", "community", "degree"))
+    links = _links(pairs)
+    placed, nodes, total = _placed(pairs, members)
     waiting, any_moved = nodes, False
     for turn in range(nodes.bit_length() + 4):
         groups = 2 if waiting > 1 else 1
-        goes = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups)) == 0
-        moves = _best_moves(links, placed, nodes, total).withColumn("goes", goes)
-        moved, seen = settle_with(_move(placed, moves), waiting=F.count_if("waiting"))
+        moved, seen = settle_with(
+            _turn(links, placed, nodes, total, turn, groups), waiting=F.count_if("waiting")
+        )
         waiting = seen["waiting"]
         if not waiting:
             break
@@ -148,47 +156,41 @@ def _local_moves(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]
     return placed.select("node", "community"), any_moved
 
 
-def connected_parts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def connected_parts(pairs: DataFrame, members: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, community) with every community split into its connected parts.
 
     Each part is named after its smallest node, found by passing the smallest
     known name along the links until nothing changes.
     """
-    of_a = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-    of_b = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    inner = pairs.where("a != b").join(of_a, "a").join(of_b, "b").where("ca = cb").select("a", "b")
-    links, _ = settle_counted(inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    names, nodes = settle_counted(members.select("node", F.col("node").alias("community"), F.lit(True).alias("fresh")))
+    inner = _with_ends(pairs, members).where("ca = cb")
+    links = settle(_links(inner).select("a", "b"))
+    nodes = members.count() if nodes is None else nodes
+    names = speaking = members.selectExpr("node", "node AS name")
     while True:
-        fresh = small_side(names.where("fresh").select(F.col("node").alias("a"), "community"), nodes)
-        heard = links.join(fresh, "a").select(F.col("b").alias("node"), F.col("community").alias("name"))
-        offered = names.select("node", F.col("community").alias("name"), F.lit(True).alias("own")).unionByName(
-            heard.withColumn("own", F.lit(False))
+        heard = links.join(small_side(speaking.selectExpr("node AS a", "name"), nodes), "a").selectExpr(
+            "b AS node", "name", "NULL AS own"
         )
-        merged = offered.groupBy("node").agg(
-            F.min("name").alias("community"), F.min(F.when(F.col("own"), F.col("name"))).alias("before")
+        merged = names.selectExpr("node", "name", "name AS own").union(heard).groupBy("node").agg(
+            F.min("name").alias("name"), F.min("own").alias("own")
         )
         names, seen = settle_with(
-            merged.select("node", "community", (F.col("community") < F.col("before")).alias("fresh")),
-            fresh=F.count_if("fresh"),
+            merged.selectExpr("node", "name", "name < own AS fresh"), fresh=F.count_if("fresh")
         )
         if not seen["fresh"]:
-            return names.select("node", "community")
+            return names.selectExpr("node", "name AS community")
+        speaking = names.where("fresh")
 
 
 def _merged(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The graph whose nodes are the communities."""
-    of_a = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-    of_b = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
     return (
-        pairs.join(of_a, "a")
-        .join(of_b, "b")
+        _with_ends(pairs, members)
         .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
         .agg(F.sum("w").alias("w"))
     )
 
 
-def _one_pass(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+def _one_pass(pairs: DataFrame, members: DataFrame, nodes: int) -> tuple[DataFrame, bool]:
     """Move nodes, then whole connected communities, until merging changes nothing.
 
     Returns (node, community) and whether any node moved.
@@ -196,7 +198,7 @@ def _one_pass(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
     members, any_moved = _local_moves(pairs, members)
     if not any_moved:
         return members, False
-    members = connected_parts(pairs, members)
+    members = connected_parts(pairs, members, nodes)
     while True:
         coarse = settle(_merged(pairs, members))
         groups = members.select(F.col("community").alias("node")).distinct()
@@ -206,7 +208,7 @@ def _one_pass(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
             return members, True
         wider = moved.select(F.col("node").alias("community"), F.col("community").alias("wider"))
         members = members.join(small_side(wider, count), "community").selectExpr("node", "wider AS community")
-        members = connected_parts(pairs, settle(members))
+        members = connected_parts(pairs, settle(members), nodes)
 
 
 def detect_communities(edges: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -216,7 +218,7 @@ def detect_communities(edges: DataFrame, max_passes: int = MAX_PASSES) -> DataFr
     members, count = settle_counted(nodes.select("node", F.col("node").alias("community")))
     best = None
     for _ in range(max_passes if count else 0):
-        found, moved = _one_pass(pairs, members)
+        found, moved = _one_pass(pairs, members, count)
         if not moved:
             break
         reached = modularity_of(pairs, found).first()["modularity"]

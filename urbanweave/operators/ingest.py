@@ -52,7 +52,7 @@ def cast_times(df: DataFrame) -> DataFrame:
 def _keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     # row_number = 1 lets Spark cut each map task to one row per key before the
     # shuffle, so a key with very many copies does not load a single task.
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order, *keys)))
     return ranked.where("_rn = 1").drop("_rn")
 
 
