@@ -82,5 +82,6 @@ def test_arrivals_are_loaded_once(spark, roots):
     part = spark.table("arrived").count()
     feed.write.mode("append").json(roots["arrivals"])
     load_arrivals(spark, roots["arrivals"], roots["progress"], "arrived").awaitTermination()
+    spark.catalog.refreshTable("arrived")
     whole = spark.table("arrived")
     assert 0 < part < whole.count() == whole.select("trip_id").distinct().count()

@@ -33,6 +33,8 @@ def new_trips(trips: DataFrame, loaded_ids: DataFrame) -> DataFrame:
 def append_trips(trips: DataFrame, table: str = TRIPS_TABLE) -> None:
     """Append the trips that are not in the table; running it again adds nothing."""
     spark = trips.sparkSession
+    # Another session, such as that of a stream, may have added files since.
+    spark.catalog.refreshTable(table)
     new_trips(trips, spark.table(table)).write.mode("append").insertInto(table)
 
 
