@@ -138,12 +138,20 @@ def _axial_point(a: np.ndarray, b: np.ndarray):
     return np.degrees(np.arcsin(sin_lat)), np.degrees(FACE_CENTRE_LNG + dlam)
 
 
+def _once(udf):
+    """Marked as not repeatable, so that Spark never copies the call into a pushed
+    filter and computes the cells of each row a second time there."""
+    return udf.asNondeterministic()
+
+
+@_once
 @F.pandas_udf(T.LongType())
 def _point_number(lat: pd.Series, lng: pd.Series) -> pd.Series:
     a, b, known = _point_axial(lat.to_numpy(float), lng.to_numpy(float))
     return pd.Series(_axial_cell(a, b, known))
 
 
+@_once
 @F.pandas_udf(_TRIP_NUMBERS)
 def _trip_numbers(plat: pd.Series, plng: pd.Series, dlat: pd.Series, dlng: pd.Series) -> pd.DataFrame:
     pa, pb, pknown = _point_axial(plat.to_numpy(float), plng.to_numpy(float))
@@ -154,14 +162,16 @@ def _trip_numbers(plat: pd.Series, plng: pd.Series, dlat: pd.Series, dlng: pd.Se
     return pd.DataFrame({"pickup": pickup, "dropoff": dropoff, "steps": steps})
 
 
+@_once
 @F.pandas_udf(T.IntegerType())
 def _cell_steps(first: pd.Series, second: pd.Series) -> pd.Series:
     a1, b1, known1 = _cell_axial(first)
     a2, b2, known2 = _cell_axial(second)
-    steps = _axial_distance(a1 - a2, b1 - b2)
-    return pd.Series(np.where(known1 & known2, steps, -1).astype(np.int32))
+    steps = np.where(known1 & known2, _axial_distance(a1 - a2, b1 - b2), -1)
+    return pd.Series(np.where((first == second).to_numpy(bool), 0, steps).astype(np.int32))
 
 
+@_once
 @F.pandas_udf(_LAT_LON)
 def _cell_centre(cells: pd.Series) -> pd.DataFrame:
     a, b, known = _cell_axial(cells)
@@ -169,6 +179,7 @@ def _cell_centre(cells: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"lat": np.where(known, lat, np.nan), "lon": np.where(known, lng, np.nan)})
 
 
+@_once
 @F.pandas_udf(T.ArrayType(_LAT_LON))
 def _cell_corners(cells: pd.Series) -> pd.Series:
     a, b, known = _cell_axial(cells)
@@ -186,11 +197,12 @@ def _cell_corners(cells: pd.Series) -> pd.Series:
 
 
 def _text(number: Column) -> Column:
-    return F.when(number >= 0, F.lower(F.hex(number)))
+    """15 hex digits, NULL for -1; the number is used once."""
+    return F.lower(F.hex(_non_negative(number)))
 
 
-def _non_negative(steps: Column) -> Column:
-    return F.when(steps >= 0, steps)
+def _non_negative(number: Column) -> Column:
+    return F.nullif(number, F.lit(-1).cast("long"))
 
 
 def point_cell(lat: Column, lng: Column) -> Column:
@@ -199,8 +211,8 @@ def point_cell(lat: Column, lng: Column) -> Column:
 
 
 def cell_distance(first: Column, second: Column) -> Column:
-    """Grid steps between two cells; 0 when equal, NULL when either is no known cell."""
-    return F.when(first == second, F.lit(0)).otherwise(_non_negative(_cell_steps(first, second)))
+    """Grid steps between two cells: 0 for equal texts, NULL when either is no known cell."""
+    return _non_negative(_cell_steps(first, second))
 
 
 def cell_centre(cell: Column) -> Column:

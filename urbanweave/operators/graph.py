@@ -22,19 +22,19 @@ def od_edges(trips: DataFrame, min_weight: int = MIN_EDGE_WEIGHT) -> DataFrame:
 
 def graph_nodes(edges: DataFrame) -> DataFrame:
     """Distinct end points of the edges."""
-    ends = edges.select(F.col("pickup_h3").alias("h3_cell")).union(edges.select("dropoff_h3"))
-    return ends.distinct()
+    return edges.selectExpr("explode(array(pickup_h3, dropoff_h3)) AS h3_cell").distinct()
 
 
 def node_strength(edges: DataFrame) -> DataFrame:
-    """Incoming, outgoing and total trips per cell, in one aggregation over both edge ends."""
-    weight, none = F.col("weight").cast("double"), F.lit(0.0)
-    arriving = edges.select(F.col("dropoff_h3").alias("h3_cell"), weight.alias("_in"), none.alias("_out"))
-    leaving = edges.select(F.col("pickup_h3").alias("h3_cell"), none.alias("_in"), weight.alias("_out"))
+    """Incoming, outgoing and total trips per cell; both ends of an edge in one aggregation."""
+    ends = edges.selectExpr(
+        """inline(array(
+            named_struct('h3_cell', dropoff_h3, 'arriving', cast(weight AS double), 'leaving', 0D),
+            named_struct('h3_cell', pickup_h3, 'arriving', 0D, 'leaving', cast(weight AS double))))"""
+    )
     return (
-        arriving.unionByName(leaving)
-        .groupBy("h3_cell")
-        .agg(F.sum("_in").alias("in_strength"), F.sum("_out").alias("out_strength"))
+        ends.groupBy("h3_cell")
+        .agg(F.sum("arriving").alias("in_strength"), F.sum("leaving").alias("out_strength"))
         .withColumn("total_flow", F.col("in_strength") + F.col("out_strength"))
     )
 

@@ -56,16 +56,17 @@ def _keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where("_rn = 1").drop("_rn")
 
 
-def dedup_first(df: DataFrame) -> DataFrame:
+def dedup_first(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """One row per trip_id: the earliest start; remaining columns break ties.
 
-    All rows without id count as copies of one another.
+    All rows without id count as copies of one another. ``within`` names columns,
+    such as the month, inside which copies are looked for.
     """
     if "trip_id" not in df.columns:
         return df
     lead = ["trip_start_timestamp"] if "trip_start_timestamp" in df.columns else []
-    others = [c for c in df.columns if c not in ("trip_id", *lead)]
-    return _keep_one(df, ["trip_id"], [F.col(c).asc_nulls_last() for c in lead + others])
+    others = [c for c in df.columns if c not in ("trip_id", *lead, *within)]
+    return _keep_one(df, [*within, "trip_id"], [F.col(c).asc_nulls_last() for c in lead + others])
 
 
 def clean_and_cast(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanweave.functions.areas import add_neighborhood
@@ -19,7 +19,9 @@ from urbanweave.operators.flow import temporal_report
 from urbanweave.operators.graph import graph_summary, od_edges
 from urbanweave.operators.hexes import hexagon_export
 from urbanweave.operators.ingest import (
-    clean_and_cast,
+    cast_times,
+    dedup_first,
+    drop_missing_geo,
     merge_log,
     month_calendar,
     month_counts,
@@ -42,12 +44,20 @@ def add_all_features(trips: DataFrame) -> DataFrame:
     return add_cells(add_neighborhood(add_fare_features(add_calendar_features(trips))))
 
 
-def _of_months(trips: DataFrame, months: DataFrame) -> DataFrame:
-    """Trips whose start lies in one of ``months`` (a calendar, so small by nature)."""
-    ts = F.col("trip_start_timestamp")
-    keyed = trips.withColumns({"_year": F.year(ts), "_month": F.month(ts)})
-    wanted = months.select(F.col("year").alias("_year"), F.col("month").alias("_month"))
-    return keyed.join(F.broadcast(wanted), ["_year", "_month"], "left_semi").drop("_year", "_month")
+def _in_months(months: DataFrame, year: Column, month: Column) -> Column:
+    """Whether a row lies in one of ``months``.
+
+    The months come from a calendar, so they are few; as literals they prune
+    partitions when the query is planned.
+    """
+    wanted = [row.year * 100 + row.month for row in months.select("year", "month").collect()]
+    by_year: dict[int, list[int]] = {}
+    for number in wanted:
+        by_year.setdefault(number // 100, []).append(number % 100)
+    inside = F.lit(False)
+    for one_year, its_months in by_year.items():
+        inside = inside | ((year == one_year) & month.isin(its_months))
+    return inside
 
 
 def land(
@@ -58,12 +68,18 @@ def land(
     months: list[int] | None = None,
     skip_existing: bool = True,
 ) -> DataFrame:
-    """Clean up and write the wanted months that are missing; returns the merged run log."""
+    """Clean up and write the wanted months that are missing; returns the merged run log.
+
+    Copies of a trip are dropped inside each month; the load drops those across months.
+    """
     spark = landed.sparkSession
     started = time.monotonic()
     wanted = month_calendar(spark, today, years, months)
     todo = settle(pending_months(wanted, present_months(spark, root), skip_existing))
-    write_months(_of_months(clean_and_cast(landed), todo), root)
+    ts = F.col("trip_start_timestamp")
+    typed = cast_times(drop_missing_geo(landed)).withColumns({"_year": F.year(ts), "_month": F.month(ts)})
+    monthly = typed.where(_in_months(todo, F.col("_year"), F.col("_month")))
+    write_months(dedup_first(monthly, within=("_year", "_month")).drop("_year", "_month"), root)
 
     log_path = f"{root}_log"
     counts = month_counts(spark.read.parquet(root)) if exists(spark, root) else month_counts(spark.createDataFrame([], TRIP))
@@ -78,8 +94,7 @@ def land(
 def _pending_rows(spark: SparkSession, source: str, target: str, target_names, year, month, skip_existing) -> DataFrame:
     rows = in_scope(spark.read.parquet(source), year, month)
     todo = pending_months(present_months(spark, source), present_months(spark, target, target_names), skip_existing)
-    # Joined on the partition columns, so skipped months are not read.
-    return rows.join(F.broadcast(todo), ["year", "month"], "left_semi")
+    return rows.where(_in_months(todo, F.col("year"), F.col("month")))
 
 
 def clean(
