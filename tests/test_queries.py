@@ -145,3 +145,20 @@ def test_bound_parameters_are_not_spliced(spark, trips):
     trips.createOrReplaceTempView("bound_trips")
     statement = "SELECT count(*) AS n FROM bound_trips WHERE neighborhood = :name"
     assert flow.run_sql(spark, statement, name="x' OR 'a' = 'a").first().n == 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SLOW))
+def test_plan_has_no_pairwise_join(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["od_edges", "top_origins", "summary", "feature_table"])
+def test_cells_are_computed_once_per_row(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_scans_read_only_what_a_query_needs(spark):
+    plan = QUERIES["data_range"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan

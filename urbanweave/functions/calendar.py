@@ -35,10 +35,8 @@ def season_of(month: str) -> str:
 
 def _fixed_date_holiday(day: str) -> str:
     """New Year, Juneteenth (since 2021), Independence, Veterans and Christmas Day."""
-    return (
-        f"(date_format({day}, 'MMdd') IN ('0101', '0704', '1111', '1225')"
-        f" OR (date_format({day}, 'MMdd') = '0619' AND year({day}) >= 2021))"
-    )
+    month_day = f"month({day}) * 100 + dayofmonth({day})"
+    return f"({month_day} IN (101, 704, 1111, 1225) OR ({month_day} = 619 AND year({day}) >= 2021))"
 
 
 def _weekday_holiday(day: str) -> str:

@@ -97,22 +97,25 @@ def _same_length(a, b):
 def shortest_distances(arcs: DataFrame, arc_rows: int, sources: DataFrame) -> DataFrame:
     """(source, node, dist) for every reachable node.
 
-    Only pairs improved in the last round are extended in the next.
+    Starts from the arcs that leave a source. Only pairs improved in the last
+    round are extended in the next.
     """
-    start = sources.select(F.col("h3_cell").alias("source"), F.col("h3_cell").alias("node"))
-    state = settle(start.select("source", "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")))
+    own = sources.selectExpr("h3_cell AS source", "h3_cell AS node", "0D AS dist", "false AS fresh")
+    leaving = arcs.join(sources.withColumnRenamed("h3_cell", "tail"), "tail", "left_semi")
+    state = settle(own.union(leaving.selectExpr("tail", "head", "len", "true")))
     arcs = small_side(arcs, arc_rows)
     while True:
         reached = (
             state.where("fresh")
             .join(arcs, F.col("node") == F.col("tail"))
-            .select("source", F.col("head").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("dist") + F.col("len")).alias("new"))
+            .selectExpr("source", "head", "cast(NULL AS double)", "dist + len")
         )
-        known = state.select("source", "node", F.col("dist").alias("old"), F.lit(None).cast("double").alias("new"))
-        merged = known.unionByName(reached).groupBy("source", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
-        shorter = F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull())
+        known = state.selectExpr("source", "node", "dist AS old", "cast(NULL AS double) AS new")
+        merged = known.union(reached).groupBy("source", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
         state, seen = settle_with(
-            merged.select("source", "node", F.least("old", "new").alias("dist"), shorter.alias("fresh")),
+            merged.selectExpr(
+                "source", "node", "least(old, new) AS dist", "coalesce(new < old, old IS NULL) AS fresh"
+            ),
             fresh=F.count_if("fresh"),
         )
         if seen["fresh"] == 0:
@@ -134,9 +137,8 @@ def _shortest_path_arcs(dist: DataFrame, arcs: DataFrame, arc_rows: int) -> Data
 
 def _path_counts(dag: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, paths): number of shortest paths, summed over their hop counts."""
-    wave = sources.select(F.col("h3_cell").alias("source"), F.col("h3_cell").alias("node"), F.lit(1.0).alias("paths"))
-    wave, rows = settle_counted(wave)
-    waves = [wave]
+    wave, rows = settle_counted(dag.where("tail = source").selectExpr("source", "head AS node", "1D AS paths"))
+    waves = [sources.selectExpr("h3_cell AS source", "h3_cell AS node", "1D AS paths"), wave]
     while rows:
         grown = (
             dag.join(small_side(wave.withColumnRenamed("node", "tail"), rows), ["source", "tail"])
@@ -190,17 +192,15 @@ def betweenness(edges: DataFrame, length: str = "weight", batches: int = 1) -> D
     is still used.
     """
     arcs, arc_rows = settle_counted(edge_lengths(edges, length))
-    nodes, node_rows = settle_counted(graph_nodes(edges))
-    parts = [nodes.select("h3_cell", F.lit(0.0).alias("score"))]
-    for batch in range(batches if node_rows else 0):
+    nodes = settle(arcs.selectExpr("explode(array(tail, head)) AS h3_cell").distinct())
+    parts = [nodes.selectExpr("h3_cell", "0D AS score")]
+    for batch in range(batches if arc_rows else 0):
         sources = nodes.where(F.pmod(F.xxhash64("h3_cell"), F.lit(batches)) == batch)
         dist = shortest_distances(arcs, arc_rows, sources)
         dag = settle(_shortest_path_arcs(dist, arcs, arc_rows))
         paths, path_rows = settle_counted(_path_counts(dag, sources))
-        if not path_rows:
-            continue
-        scores = _dependencies(dag, paths, path_rows)
-        parts.append(scores.select(F.col("node").alias("h3_cell"), "score"))
+        if path_rows:
+            parts.append(_dependencies(dag, paths, path_rows).withColumnRenamed("node", "h3_cell"))
     return _all_of(parts).groupBy("h3_cell").agg(F.sum("score").alias("betweenness"))
 
 

@@ -71,7 +71,7 @@ def rule_counts(df: DataFrame) -> DataFrame:
 
 def month_file(ts: Column) -> Column:
     """Name of the month file a start time belongs to."""
-    return F.date_format(ts, "'year='yyyy'/month='MM'/data.parquet'")
+    return F.when(ts.isNotNull(), F.format_string("year=%04d/month=%02d/data.parquet", F.year(ts), F.month(ts)))
 
 
 def quality_report(df: DataFrame, file: Column) -> DataFrame:

@@ -54,7 +54,8 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: st
 def exact_quantiles(values: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``key``, one column per point.
 
-    Works on counts per distinct value; NULLs do not count.
+    Works on counts per distinct value; NULLs do not count. Meant for few keys,
+    such as column names, each of any size.
     """
     counted = (
         values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -62,7 +63,7 @@ def exact_quantiles(values: DataFrame, key: str, value: str, points: dict[str, f
     running = with_running_total(counted, [key, value], "_n", "_seen")
     # One row per key: where its values start in the running total, and how many there are.
     spans = running.groupBy(key).agg(F.min("_seen").alias("_start"), F.sum("_n").alias("_all"))
-    placed = running.join(spans, key).withColumn("_first", F.col("_seen") - F.col("_start"))
+    placed = running.join(F.broadcast(spans), key).withColumn("_first", F.col("_seen") - F.col("_start"))
 
     def value_at(index: Column) -> Column:
         inside = (F.col("_first") <= index) & (index < F.col("_first") + F.col("_n"))

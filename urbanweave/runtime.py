@@ -26,9 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="urbanweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="urbanweave-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -60,7 +60,9 @@ def write_months(trips: DataFrame, root: str, names: tuple[str, str] = ("year",
     """
     year, month = names
     ts = F.col("trip_start_timestamp")
-    parted = trips.where(ts.isNotNull()).withColumns({year: F.date_format(ts, "yyyy"), month: F.date_format(ts, "MM")})
+    parted = trips.where(ts.isNotNull()).withColumns(
+        {year: F.year(ts).cast("string"), month: F.lpad(F.month(ts).cast("string"), 2, "0")}
+    )
     (
         parted.hint("rebalance", year, month)
         .write.mode("overwrite")
