@@ -552,6 +552,13 @@ FINALS: dict[str, str] = {
     "neighborhood_board": """select (row_number() over (order by n desc, neighborhood))::integer as position, upper(neighborhood) as title,
           n as total_trips, printf('%.0f', round(n / 1000.0, 0)) || 'k' as trips_label, round(n / (max(n) over ()) * 100, 9) as pct_of_leader
         from (select neighborhood, count(*) as n from wide where neighborhood is not null group by 1)""",
+    "pagerank_board": f"""select (row_number() over (order by pagerank desc, h3_cell))::integer as position,
+          coalesce(nullif(neighborhood, ''), left(h3_cell, 12) || '...') as label,
+          printf('%.4f', round(pagerank, 4)) as pagerank_label, community
+        from (select {_TOP_HEX} order by pagerank desc, h3_cell limit 10)""",
+    "community_board": """select community, count(*) as hexagon_count, printf('%.1f', round(sum(total_flow) / 1e6, 1)) || 'M' as flow_label,
+          printf('%.4f', round(cast(round(cast(avg(pagerank) as decimal(38,10)), 6) as double), 4)) as pagerank_label
+        from districts join metrics using (h3_cell) group by 1""",
     "day_labels": f"""select [{', '.join(f"'{d}'" for d in display.DAY_LABELS)}][day_of_week + 1] as day,
           case when is_rush_hour = 1 then 'Rush Hour' else 'Fora do Pico' end as period, count(*) as trips,
           printf('%.2f', round(count(*) * 1000 / 1e6, 2)) || 'M' as millions from wide group by 1, 2""",

@@ -13,6 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 SLOW = {
     "pagerank", "betweenness", "betweenness_inverse", "node_metrics", "graph_summary", "communities",
     "top_hexagons", "top_hexagons_betweenness", "hexagon_metrics", "hexagon_detail", "community_stats", "map_styles",
+    "pagerank_board", "community_board",
 }
 
 
@@ -135,6 +136,13 @@ def test_scaling_of_equal_values_and_missing_flow(spark, metrics, communities):
     assert {r.flow_share for r in display.flow_share(flows).collect()} == {0.0}
 
 
+def test_boards(metrics, communities, trips):
+    leaders = hexes.top_hexagons(metrics, communities, trips, metric="pagerank")
+    assert [tuple(r) for r in display.pagerank_board(leaders).collect()] == [(1, "c3...", "0.7000", None), (2, "Loop", "0.3000", 0)]
+    stats = hexes.community_stats(metrics, communities)
+    assert [tuple(r) for r in display.community_board(stats).collect()] == [(0, 1, "0.0M", "0.3000")]
+
+
 def test_report_as_json(trips):
     row = flow.temporal_report(trips, top_n=1).select(F.to_json(F.struct("*")).alias("j")).first()
     report = json.loads(row.j)

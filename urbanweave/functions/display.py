@@ -82,6 +82,10 @@ def in_millions(value: Column, digits: int = 2) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", F.round(value / 1e6, digits)), F.lit("M"))
 
 
+def four_digits(value: Column) -> Column:
+    return F.format_string("%.4f", F.round(value, 4))
+
+
 def to_viewport(
     lat: Column, lon: Column, width: float, height: float, left: float = 0.0, top: float = 0.0, bounds: dict | None = None
 ) -> Column:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanweave.functions.display import (
+    cell_label,
     community_color,
     flow_color,
+    four_digits,
+    in_millions,
     in_thousands,
     opacity,
     pagerank_color,
@@ -68,3 +72,25 @@ def neighborhood_board(neighborhoods: DataFrame) -> DataFrame:
         in_thousands(F.col("total_trips")).alias("trips_label"),
         "pct_of_leader",
     )
+
+
+def pagerank_board(leaders: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` of ``top_hexagons`` by PageRank: position, label, short score, community."""
+    order = [F.col("pagerank").desc(), F.col("h3_cell")]
+    # n rows, so one task may number them.
+    return leaders.orderBy(*order).limit(n).select(
+        F.row_number().over(W.orderBy(*order)).alias("position"),
+        cell_label(F.col("neighborhood"), F.col("h3_cell")).alias("label"),
+        four_digits(F.col("pagerank")).alias("pagerank_label"),
+        "community",
+    )
+
+
+def community_board(stats: DataFrame) -> DataFrame:
+    """The community list as shown: cells, flow in millions, short mean PageRank."""
+    return stats.select(
+        "community",
+        "hexagon_count",
+        in_millions(F.col("total_flow"), 1).alias("flow_label"),
+        four_digits(F.col("avg_pagerank")).alias("pagerank_label"),
+    )

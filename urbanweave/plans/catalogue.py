@@ -473,6 +473,15 @@ def neighborhood_board(spark, sf):
     return board.withColumn("pct_of_leader", F.round("pct_of_leader", 9))
 
 
+def pagerank_board(spark, sf):
+    leaders = hexes.top_hexagons(*_graph_tables(spark, sf), add_cells(_wide(spark, sf)), metric="pagerank")
+    return display.pagerank_board(leaders)
+
+
+def community_board(spark, sf):
+    return display.community_board(hexes.community_stats(*_graph_tables(spark, sf)))
+
+
 def day_labels(spark, sf):
     trips = _wide(spark, sf)
     labelled = trips.select(
@@ -520,6 +529,6 @@ QUERIES: dict[str, Query] = {
         community_sizes,
         top_hexagons, top_hexagons_betweenness, hexagon_metrics, hexagon_trips, hexagon_detail,
         community_stats, community_flow, edges_top,
-        map_styles, flow_share, neighborhood_board, day_labels, cell_labels, viewport, hexagon_export,
+        map_styles, flow_share, neighborhood_board, pagerank_board, community_board, day_labels, cell_labels, viewport, hexagon_export,
     )
 }
