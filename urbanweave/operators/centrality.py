@@ -41,7 +41,7 @@ def _score_links(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-10) -> DataFrame:
     """(h3_cell, pagerank): weighted, directed, summing to 1.
 
-    Solves x = 1 + damping * (incoming share of x). Scaled to sum 1, this equals
+    The edges are read three times, so pass a table or settled edges. Solves x = 1 + damping * (incoming share of x). Scaled to sum 1, this equals
     the form in which nodes without outgoing links spread their score evenly,
     but needs no total in each round. The change shrinks by ``damping`` per
     round at least, so the loop ends. After each step the scores are scaled so
