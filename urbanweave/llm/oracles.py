@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urbanweave.llm import licenses, secret_ledger
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_quality_rules"] = r"""
@@ -56,3 +58,89 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
 """
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def secret_spans(table: str = "documents") -> str:
+    """Statement of all spans of a table: doc_id, place, kind, s, e."""
+    parts = []
+    for place, rule in enumerate(secret_ledger.RULES):
+        pattern = _quoted(rule.pattern)
+        parts.append(f"""
+  SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, s, s + len(hit) AS e
+  FROM (
+    SELECT doc_id, hits[i] AS hit, judged[i] AS part,
+           list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS s
+    FROM (
+      SELECT *, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS hits, regexp_extract_all(text, {pattern}, {rule.group}) AS judged,
+                   string_split_regex(text, {pattern}) AS gaps FROM {table} WHERE regexp_matches(text, {pattern}))
+    )
+  )
+  WHERE len(part) >= {rule.shortest}""")
+    return "\n  UNION ALL".join(parts)
+
+
+_BASE = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_ledger.BASE_RULES)
+_KINDS = ", ".join(f"'{r.kind}'" for r in secret_ledger.BASE_RULES)
+_SPAN = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place)"
+ORACLES["op2_secret_ledger"] = f"""
+WITH spans AS ({secret_spans()}
+), found AS (
+  SELECT doc_id, {_BASE}, {_SPAN} FILTER (kind IN ({_KINDS})) AS base, {_SPAN} AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_ledger.BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
+def _license_places(rules: str, label: str) -> str:
+    """Statement of the places of the patterns of ``rules``: doc_id, label, priority, s, e in words."""
+    return f"""
+  SELECT doc_id, {label} AS label, priority, s // 2 AS s, (s + spaces) // 2 AS e
+  FROM (
+    SELECT doc_id, label, priority, len(hits[i]) - len(replace(hits[i], ' ', '')) AS spaces,
+           list_sum(list_transform(gaps[1:i], lambda x: len(x) - len(replace(x, ' ', ''))))
+           + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x) - len(replace(x, ' ', '')))), 0) AS s
+    FROM (
+      SELECT *, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT doc_id, label, priority, regexp_extract_all(norm, pattern) AS hits, string_split_regex(norm, pattern) AS gaps
+            FROM norms, ({rules}) WHERE contains(norm, keyword))
+    )
+  )"""
+
+
+_RULES = "VALUES " + ", ".join(
+    f"({_quoted(r.label)}, {_quoted(f' {r.keyword} ')}, {_quoted(r.pattern)}, {r.priority})" for r in licenses.signatures()
+)
+_PHRASES = "VALUES " + ", ".join(
+    f"({_quoted(label)}, {_quoted(licenses.words(phrase))}, {_quoted(licenses.words(phrase))}, {licenses.BARE})" for phrase, label in licenses.BASE
+)
+_COLUMNS = "(label, keyword, pattern, priority)"
+ORACLES["op5_licenses"] = f"""
+WITH norms AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN '' ELSE ' ' || array_to_string(ws, '  ') || ' ' END AS norm, len(ws) AS n_words
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents)
+), base AS ({_license_places(f"SELECT * FROM ({_PHRASES}) r{_COLUMNS}", "label")}
+), found AS ({_license_places(f"SELECT * FROM ({_RULES}) r{_COLUMNS}", "label")}
+), ranked AS (
+  SELECT DISTINCT doc_id, label, priority, s, e FROM found
+), kept AS (
+  SELECT * FROM ranked a WHERE NOT EXISTS (
+    SELECT 1 FROM ranked b WHERE a.doc_id = b.doc_id AND b.priority >= a.priority AND b.s <= a.s AND b.e >= a.e
+      AND (b.s < a.s OR b.e > a.e OR b.priority > a.priority OR b.label < a.label))
+), b AS (
+  SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id
+), l AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(priority) / {float(licenses.PRIORITIES)} AS score
+  FROM (SELECT doc_id, label, priority FROM kept UNION ALL SELECT doc_id, label, priority FROM base) GROUP BY doc_id
+)
+SELECT n.doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM norms n LEFT JOIN b ON n.doc_id = b.doc_id LEFT JOIN l ON n.doc_id = l.doc_id
+"""

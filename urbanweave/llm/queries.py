@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, quality_rules, token_files
+from urbanweave.llm import decontaminate, licenses, quality_rules, secret_ledger, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -17,6 +17,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    addresses, ledger = secret_ledger.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    found = secret_ledger.findings(addresses, ledger)
+    kinds = [rule.kind for rule in secret_ledger.BASE_RULES]
+    counts = [secret_ledger.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_ledger.span_text(F.col("spans"), kinds), 256).alias("base_sha256"),
+        secret_ledger.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_digest(licenses.detect(documents(spark, sf_dir)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.with_counts(decontaminate.contamination(documents(spark, sf_dir), items))
@@ -33,6 +50,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_ledger": op2_secret_ledger,
+    "op5_licenses": op5_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
