@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, licenses, quality_rules, secret_ledger, token_files
+from urbanweave.llm import decontaminate, language_id, licenses, quality_model, quality_rules, secret_ledger, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -30,6 +30,19 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = language_id.in_fold("doc_id", 4, 2).alias("held_out")
+    return quality_model.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = language_id.in_fold("doc_id", 5, 0).alias("held_out")
+    return language_id.predict(docs, language_id.train(docs)).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_digest(licenses.detect(documents(spark, sf_dir)))
 
@@ -51,7 +64,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_ledger": op2_secret_ledger,
+    "op4_quality_model": op4_quality_model,
     "op5_licenses": op5_licenses,
+    "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
