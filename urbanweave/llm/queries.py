@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, language_id, licenses, quality_model, quality_rules, secret_ledger, token_files
+from urbanweave.llm import decontaminate, language_id, licenses, piece_sampling, quality_model, quality_rules, secret_ledger, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -37,6 +37,19 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, decoded again: their number and hash, and whether the text came back."""
+    docs = documents(spark, sf_dir)
+    model = piece_sampling.default_model(spark)
+    back = piece_sampling.decode(piece_sampling.encode(docs, model, given=True), model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.sha2("text", 256) == F.col("given")).alias("lossless"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = language_id.in_fold("doc_id", 5, 0).alias("held_out")
@@ -66,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_ledger": op2_secret_ledger,
     "op4_quality_model": op4_quality_model,
     "op5_licenses": op5_licenses,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,

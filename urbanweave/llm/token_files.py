@@ -14,10 +14,13 @@ that runs again, or twice, leaves the same files.
 from __future__ import annotations
 
 import io
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,52 +33,99 @@ from urbanweave.llm.common import keyed_texts
 from urbanweave.runtime import settle, shared_folder
 
 GAMMA = 2.0
-_NULL = np.int64(0)
+_GROUP_CHARS = 100_000
 _ABSENT = -1
+_UINT32 = "I"  # four bytes on every platform Spark runs on, little-endian there
 
-# Below this code point the classes of letters, digits and white space are the same in
-# every Unicode version; texts with others, or with U+001C to U+001F, are encoded whole.
-_PLAIN = re.compile(r"[^\x1c-\x1fɐ-\U0010ffff]*")
-# The pieces of the byte-level pre-tokenizer, for plain texts.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# A space with white space, or nothing, behind it. In texts without one, every space
+# begins a piece of the byte-level pre-tokenizer, so the parts between are independent.
+_RUN = re.compile(r" (?:\s|\Z)")
+
+
+class _Parts(dict):
+    """Ids by part; parts asked for in vain give None and are noted in ``missing``."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: set[str] = set()
+
+    def __missing__(self, part: str) -> None:
+        self.missing.add(part)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; repeated pieces are encoded once per worker."""
+    """Ids of texts by the tokenizers library; a part between spaces is encoded once per worker.
 
-    def __init__(self, path: str, end_id: int, most_pieces: int = 400_000):
+    Parts are remembered (with the space before them) in two generations of at most
+    ``most_parts`` or so: when the younger is full it becomes the older, and parts
+    in use move back. Tokenizers of another kind encode every text as a whole.
+    """
+
+    def __init__(self, path: str, end_id: int, most_parts: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
-        self.pieces: dict[str, bytes] = {}
-        self.most = most_pieces
+        self.parts, self.older = _Parts(), {}
+        self.most = most_parts
         kind = self.tokenizer.pre_tokenizer
-        self.by_piece = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers, end id included; null is an empty text."""
-        text = text or ""
-        if not self.by_piece or not _PLAIN.fullmatch(text):
-            return self._encode([text])[0] + self.end
-        pieces = _PIECES.findall(text)
-        known = self.pieces
-        try:
-            return b"".join([known[p] for p in pieces]) + self.end
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        missing = [p for p in set(pieces) if p not in known]
-        known.update(zip(missing, self._encode(missing), strict=True))
-        return b"".join([known[p] for p in pieces]) + self.end
+        self.by_part = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+
+    def _encode(self, text: str) -> bytes:
+        coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array(_UINT32, coded[0].ids).tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts as one text; the ids that begin with a space are the first ones of the parts."""
+        if not parts:
+            return
+        data = self._encode(" " + " ".join(parts))
+        firsts = np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])
+        cuts = np.append(firsts * 4, len(data)).tolist()
+        self.parts.update(zip(parts, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Per text its ids as little-endian 32-bit integers, end id included; null is an empty text."""
+        if len(self.parts) > self.most:
+            self.older, self.parts = self.parts, _Parts()
+        known = self.parts
+        cut = [t.split(" ") if t and self.by_part and not _RUN.search(t) else None for t in texts]
+        found = [None if c is None else list(map(known.__getitem__, c[1:])) for c in cut]
+        missing, known.missing = known.missing, set()
+        kept = {p for p in missing if p in self.older}
+        known.update((p, self.older[p]) for p in kept)
+        self._learn(list(missing - kept))
+        out = []
+        for text, parts, ids in zip(texts, cut, found, strict=True):
+            if parts is None:
+                out.append((self._encode(text) if text else b"") + self.end)
+            else:
+                head = self._encode(parts[0]) if parts[0] else b""
+                out.append(head + b"".join([known[p] if i is None else i for p, i in zip(parts[1:], ids, strict=True)]) + self.end)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """``encode_all`` in groups of a bounded number of characters."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text or "")
+            if size > _GROUP_CHARS:
+                yield from self.encode_all(group)
+                group, size = [], 0
+        yield from self.encode_all(group)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker, kept from task to task."""
+    return Encoder(path, end_id)
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -212,10 +262,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = _encoder(tokenizer_path, end_id)
         keys, counts, chunks, widest = [], [], [], 0
         for batch in batches:
-            coded = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+            coded = list(encoder.encode_batch(batch.column(1).to_pylist()))
             keys += batch.column(0).to_pylist()
             counts += [len(c) // 4 for c in coded]
             ids = np.frombuffer(b"".join(coded), "<u4")
@@ -243,9 +293,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
 
 def read_token_files(manifest: DataFrame, folder: str | None = None) -> DataFrame:
-    """Read the shards back, one task per few shards: doc_id, nth, start, n_tokens, ids (binary, 32-bit little-endian)."""
+    """Read the shards back, a task per shard: doc_id, nth, start, n_tokens, ids (binary, 32-bit little-endian)."""
     schema = "doc_id long, nth long, start long, n_tokens long, ids binary"
-    shards = manifest.select("shard", "path", "start").repartition("shard")
+    shards = manifest.select("shard", "path", "start").repartitionByRange(max(1, manifest.count()), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
