@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, language_id, licenses, piece_sampling, quality_model, quality_rules, secret_ledger, token_files
+from urbanweave.llm import decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -60,6 +60,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_digest(licenses.detect(documents(spark, sf_dir)))
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.with_counts(decontaminate.contamination(documents(spark, sf_dir), items))
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_piece_sampling": op6_piece_sampling,
     "op7_language_id": op7_language_id,
+    "op8_parity_join": op8_parity_join,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
