@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, token_files
+from urbanweave.llm import decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, suffix_dedup, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -30,6 +30,18 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(documents(spark, sf_dir))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -81,6 +93,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_ledger": op2_secret_ledger,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_model": op4_quality_model,
     "op5_licenses": op5_licenses,
     "op6_piece_sampling": op6_piece_sampling,
