@@ -62,3 +62,15 @@ _LOWER_WORDS = _lower_word_table()
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text with A-Z lower-cased, as UTF-8."""
     return [] if text is None else text.encode("utf-8").translate(_LOWER_WORDS).split()
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """Rows of ``df``, with all their columns, for which the function made by ``make`` says so of ``column``."""
+    where = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(where).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

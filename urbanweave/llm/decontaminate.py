@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanweave.llm.common import keyed_texts, lower_words, map_batches
+from urbanweave.llm.common import keep_rows, keyed_texts, lower_words, map_batches
 from urbanweave.runtime import settle
 
 WINDOW = 10
@@ -95,10 +95,15 @@ def _original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int
 _SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "end_word", "start", "end")])
 
 
+def _shared(docs: DataFrame, windows: DataFrame):
+    """One block of windows with their items, for all tasks; the block was counted."""
+    rows = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).collect()
+    return docs.sparkSession.sparkContext.broadcast([(bytes(r.window), list(r["items"])) for r in rows])
+
+
 def _scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of ``docs`` with their words, hit spans and items, against one block of windows."""
-    rows = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).collect()
-    shared = docs.sparkSession.sparkContext.broadcast([(bytes(r.window), list(r["items"])) for r in rows])
+    shared = _shared(docs, windows)
     fields = [docs.schema["doc_id"], T.StructField("text_id", T.LongType()), T.StructField("n_words", T.LongType())]
     fields += [T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
 
@@ -122,6 +127,15 @@ def _scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return map_batches(docs, fields, make)
 
 
+def _in_blocks(windows: DataFrame, max_windows: int) -> tuple[DataFrame, int]:
+    """Windows with the block they are dealt into, and the number of blocks, from their count and bytes."""
+    found = windows.groupBy("window").agg(F.length(F.first("window")).alias("size")).agg(F.count("*"), F.sum("size")).first()
+    filled = max(found[0] / max_windows, (found[1] or 0) / (max_windows * WINDOW_BYTES))
+    blocks = 1 if filled <= 1 else int(filled * 1.5) + 1  # a hash deals unevenly
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    return (dealt if blocks == 1 else settle(dealt)), blocks
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (words and code points of the original), items.
 
@@ -132,12 +146,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
     """
     texts = keyed_texts(docs).withColumn("text_id", F.xxhash64("text"))
     windows = item_windows(items, window=window)
-    found = windows.groupBy("window").agg(F.length(F.first("window")).alias("size")).agg(F.count("*"), F.sum("size")).first()
-    filled = max(found[0] / max_windows, (found[1] or 0) / (max_windows * WINDOW_BYTES))
-    if filled <= 1:
-        return _scan(texts, windows).drop("text_id")
-    blocks = int(filled * 1.5) + 1  # a hash deals unevenly
-    windows = settle(windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))))
+    windows, blocks = _in_blocks(windows, max_windows)
+    if blocks == 1:
+        return _scan(texts, windows.drop("block")).drop("text_id")
     hits, base = None, None
     for block in range(blocks):
         scanned = _scan(texts, windows.where(F.col("block") == block).drop("block"))
@@ -164,3 +175,18 @@ def with_counts(found: DataFrame) -> DataFrame:
             "contaminated": F.size("spans") > 0,
         }
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose text no window of an item occurs: one pass per block of windows."""
+    windows, blocks = _in_blocks(item_windows(items, window=window), max_windows)
+    for block in range(blocks):
+        shared = _shared(docs, windows.where(F.col("block") == block))
+
+        def make(shared=shared):
+            scanner = Scanner(shared.value)
+            return lambda texts: [not scanner.scan(text)[1] for text in texts]
+
+        docs = keep_rows(docs, "text", make)
+        docs = settle(docs) if block < blocks - 1 else docs
+    return docs

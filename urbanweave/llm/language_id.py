@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanweave.llm.common import keyed_texts, map_batches
+from urbanweave.llm.common import keep_rows, keyed_texts, map_batches
 
 # Language families by code; a language without one is its own family.
 FAMILIES = {
@@ -155,11 +155,16 @@ def in_fold(key: str, folds: int, fold: int):
 
 
 def sample_per_class(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most about ``most`` rows per value of ``label``, picked by hash; all of them where there are fewer."""
-    counts = rows.groupBy(label).count()
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))
-    picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000
-    return rows.join(counts, label).where(picked).drop("count")
+    """At most about ``most`` rows per value of ``label``, picked by hash; all of them where there are fewer.
+
+    The shares come to the driver, one number per class (as many as the model
+    tells apart), so that rows are picked where they are read.
+    """
+    shares = [(r[0], min(1.0, most / r[1])) for r in rows.groupBy(label).count().collect()]
+    if not shares:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for pair in shares for x in pair])[F.col(label)]
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def train(docs: DataFrame, most_rows: int = MOST_ROWS, folds: int = 5, fold: int = 0) -> Model:
@@ -213,3 +218,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return judge
 
     return map_batches(texts, fields, make)
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text is in a learned language with at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda texts: [found[1] >= least_score and found[0] != UNDETERMINED for found in map(shared.value.predict, texts)]
+
+    return keep_rows(docs, "text", make)

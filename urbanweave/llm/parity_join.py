@@ -491,3 +491,25 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     found = grouped.join(best, "group")
     return found.select("doc_id", "text_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.node") == F.col("node")).alias("stays"))
+
+
+def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """Rows of ``docs``, all columns, of which one per group of linked rows stays.
+
+    Rows go by doc_id and a hash of the text. Only of repeated rows (same id and
+    text), of which one stays, the copies are parted from each other.
+    """
+    judged = components(docs, rule).groupBy("doc_id", "text_id").agg(F.max("stays").alias("any"), F.min("stays").alias("all"))
+    judged = settle(judged.where("not all"))
+    columns, gone = docs.columns, judged.where("not any").select(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text"))
+    hashed = F.xxhash64(docs["text"])
+    same = docs["doc_id"].eqNullSafe(gone.gone_id) & (hashed == gone.gone_text)
+    rest = docs.join(small_side(gone, gone.count()), same, "left_anti")
+    twice = judged.where("any").select(F.col("doc_id").alias("twice_id"), F.col("text_id").alias("twice_text"))
+    copies = twice.count()
+    if not copies:
+        return rest
+    same = rest["doc_id"].eqNullSafe(twice.twice_id) & (F.xxhash64(rest["text"]) == twice.twice_text)
+    single = rest.join(small_side(twice, copies), same, "left_anti")
+    first = rest.join(small_side(twice, copies), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(first).select(*columns)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from urbanweave.llm.common import keyed_texts, map_batches
 from urbanweave.llm.language_id import in_fold, sample_per_class
+from urbanweave.runtime import settle_counted, small_side
 
 BITS = 18
 #: Labelled rows per class the model may be fitted on; with more, a hash picks this share.
@@ -52,6 +53,7 @@ class Hasher:
             codes = [known[t] for t in tokens]
         ones = np.array(codes, np.uint32)
         both = (ones[:-1] * np.uint32(0x9E3779B1)) ^ (ones[1:] + np.uint32(0x7F4A7C15))
+        both[ones[:-1] == ones[1:]] = 1  # any word twice in a row is one feature
         mixed = np.concatenate([ones, both]) * np.uint32(0x85EBCA77)
         return (mixed ^ (mixed >> np.uint32(15))) & self.mask
 
@@ -100,8 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, folds:
     every score is one half.
     """
     judged = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    picked = sample_per_class(judged.where(~in_fold("doc_id", folds, fold)), "quality", most_rows)
-    rows = keyed_texts(docs).join(picked, "doc_id").withColumn("all", F.lit(1))
+    picked, counted = settle_counted(sample_per_class(judged.where(~in_fold("doc_id", folds, fold)), "quality", most_rows))
+    rows = keyed_texts(docs).join(small_side(picked, counted), "doc_id").withColumn("all", F.lit(1))
 
     def learn(table: pa.Table) -> pa.Table:
         hasher = Hasher()

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.runtime import shared_folder
+from urbanweave.runtime import settle_counted, shared_folder, small_side
 
 
 @dataclass(frozen=True)
@@ -170,3 +170,21 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate(spans, first, step, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def redact_all(docs: DataFrame, rules: list[SecretRule] | None = None, size: str | None = "n_chars") -> DataFrame:
+    """Rows of ``docs``, all columns, with every span found in ``text`` replaced, and ``size`` brought up to date.
+
+    Only blobs with findings are joined back; they are broadcast when counted few.
+    """
+    columns = docs.columns
+    _, ledger = scan(docs.select("text"), rules=rules)
+    found, rows = settle_counted(ledger.where(F.size("spans") > 0).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")))
+    blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    joined = docs.join(small_side(found, rows), blob == F.col("found_blob"), "left")
+    hit = F.col("found_blob").isNotNull()
+    text = F.when(hit, redact(docs["text"], F.col("found_spans"))).otherwise(docs["text"])
+    new = {"text": text.alias("text")}
+    if size in columns:
+        new[size] = F.when(hit, F.length(text)).otherwise(docs[size]).cast(docs.schema[size].dataType).alias(size)
+    return joined.select(*[new.get(c, docs[c]) for c in columns])

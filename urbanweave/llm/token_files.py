@@ -61,7 +61,7 @@ class Encoder:
     in use move back. Tokenizers of another kind encode every text as a whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_parts: int = 300_000):
+    def __init__(self, path: str, end_id: int, most_parts: int = 700_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
