@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.common import keyed_texts
+from urbanweave.llm.common import keyed_texts, slices
 from urbanweave.runtime import settle
 
 LENGTH = 50
 MER = 24
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Strings of one minimizer above which its windows are dealt further, and bytes of one transform.
-MOST_STRINGS, TRANSFORM_BYTES = 4096, 2_000_000
+MOST_STRINGS, TRANSFORM_BYTES = 4096, 1_000_000
 _GRAM = 7  # symbols of 9 bits that one key holds
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -66,8 +66,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         words = _words(data[at : at + count + length - 1])
         n = count + width - 1
         scores = words[:n] * _U(0x9E3779B97F4A7C15)
-        scores ^= words[8 : 8 + n] * _U(0xC2B2AE3D27D4EB4F)
-        scores += words[mer - 8 : mer - 8 + n] * _U(0x165667B19E3779F9)
+        for k in sorted({*range(8, mer - 7, 8), mer - 8}):  # the m-gram in words of eight bytes
+            scores ^= scores >> _U(31)
+            scores += words[k : k + n] * _U(0xC2B2AE3D27D4EB4F)
         scores ^= scores >> _U(29)
         scores *= _U(0xBF58476D1CE4E5B9)
         # The place in the low bits: of equal scores the leftmost wins, in every window alike.
@@ -193,7 +194,7 @@ def _write_blocks(texts: DataFrame) -> DataFrame:
                 names=["block", "ids", "nulls", "sizes", "data"],
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8")
                 if rows and size + len(raw) > BLOCK_BYTES:
