@@ -33,7 +33,7 @@ def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
             columns = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))
             out = apply(columns)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -41,6 +41,12 @@ def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only few rows are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def ascii_space(text: str | None) -> bytes:
     """UTF-8 bytes of a text; None has none. ``bytes.split()`` then cuts at space and U+0009 to U+000D."""
     return b"" if text is None else text.encode("utf-8")

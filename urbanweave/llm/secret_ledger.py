@@ -129,14 +129,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Secre
 
 
 def findings(addresses: DataFrame, ledger: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
-    """Rows of ``addresses`` with ``spans``: what the current rule versions found in their blob."""
+    """Rows of ``addresses`` with ``spans`` (in place of any such column): what the current rule versions found in their blob."""
     rules = RULES if rules is None else rules
     current = F.array(*[F.lit(rule.id) for rule in rules]).cast("array<string>")
     # Each (blob, rule version) was scanned once, so a row's spans count where its rules do.
     rows = ledger.where(F.arrays_overlap("rules", current))
     ours = rows.withColumn("spans", F.filter("spans", lambda s: _is_current(s["kind"], rules, F.col("rules"))))
     known = ours.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return addresses.join(known, "blob", "left").withColumn("spans", F.coalesce("spans", _none()))
+    return addresses.drop("spans").join(known, "blob", "left").withColumn("spans", F.coalesce("spans", _none()))
 
 
 def _is_current(kind: Column, rules: list[SecretRule], scanned: Column) -> Column:
@@ -179,11 +179,11 @@ def redact_all(docs: DataFrame, rules: list[SecretRule] | None = None, size: str
     """
     columns = docs.columns
     _, ledger = scan(docs.select("text"), rules=rules)
-    found, rows = settle_counted(ledger.where(F.size("spans") > 0).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")))
+    found, rows = settle_counted(ledger.where(F.size("spans") > 0).select("blob", "spans"))
     blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    joined = docs.join(small_side(found, rows), blob == F.col("found_blob"), "left")
-    hit = F.col("found_blob").isNotNull()
-    text = F.when(hit, redact(docs["text"], F.col("found_spans"))).otherwise(docs["text"])
+    joined = docs.join(small_side(found, rows), blob == found["blob"], "left")
+    hit = found["blob"].isNotNull()
+    text = F.when(hit, redact(docs["text"], found["spans"])).otherwise(docs["text"])
     new = {"text": text.alias("text")}
     if size in columns:
         new[size] = F.when(hit, F.length(text)).otherwise(docs[size]).cast(docs.schema[size].dataType).alias(size)
