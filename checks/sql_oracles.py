@@ -78,6 +78,7 @@ _DIRTY["pickup_centroid_latitude"] = (
     "case when event_id % 29 = 0 then ' ' when event_id % 31 = 0 then 'n/a' when event_id % 37 = 0 then null "
     f"else ({_TRIP_COLUMNS['pickup_centroid_latitude']})::varchar end"
 )
+_DIRTY["tolls"] = "case when event_id % 71 = 0 then 'n/a' when event_id % 73 = 0 then '1.5' end"
 BLOCKS["landed"] = f"select {_typed(_DIRTY, 'varchar')} from events"
 
 
@@ -138,6 +139,21 @@ _FARES = """
   fare + tips as total_amount"""
 BLOCKS["wide"] = f"select t.*, {_CALENDAR}, {_FARES}, a.neighborhood from clean t left join areas a on a.area = t.pickup_community_area"
 
+# What the landing job writes: months up to the day of the run, and the rows without a time as one month.
+_MONTH_COPY = """row_number() over (partition by year(trip_start_timestamp), month(trip_start_timestamp), trip_id
+  order by trip_start_timestamp nulls last, trip_end_timestamp) = 1"""
+BLOCKS["job_rows"] = f"""
+select * replace ({number('tolls')} as tolls, {number('tips')} as tips, {number('pickup_community_area')} as pickup_community_area)
+from landed_typed
+where pickup_centroid_latitude is not null and pickup_centroid_longitude is not null
+  and dropoff_centroid_latitude is not null and dropoff_centroid_longitude is not null
+  and (trip_start_timestamp is null or
+    trip_start_timestamp >= timestamp '2022-01-01' and date_trunc('month', trip_start_timestamp) <= timestamp '{c.TODAY}')
+qualify {_MONTH_COPY}"""
+BLOCKS["job_judged"] = f"select *, {_FAILED} as failed from job_rows"
+BLOCKS["job_kept"] = "select * exclude (failed) from job_judged where failed is null"
+BLOCKS["job_wide"] = f"select t.*, {_CALENDAR}, {_FARES}, a.neighborhood from job_kept t left join areas a on a.area = t.pickup_community_area"
+
 # Cells, from azimuth and distance to the face centre, then level by level.
 _AXIS = FACE_AXIS_AZIMUTH - ODD_RESOLUTION_ROTATION
 _GROW = math.sqrt(7) ** 9 / GNOMONIC_UNIT
@@ -213,10 +229,10 @@ from walk w join steps s on w.h3_cell = s.src where w.round < 80 group by w.roun
 BLOCKS["ranked"] = "select h3_cell, score as pagerank from walk where round = 80"
 
 
-def _betweenness_blocks(prefix: str, length: str) -> None:
+def _betweenness_blocks(prefix: str, length: str, kind: str, same: str) -> None:
     BLOCKS[f"{prefix}arcs"] = f"select pickup_h3 as u, dropoff_h3 as v, {length} as len from edges"
     BLOCKS[f"{prefix}relax"] = f"""
-select 0 as round, h3_cell as s, h3_cell as v, 0::double as d from nodes
+select 0 as round, h3_cell as s, h3_cell as v, 0::{kind} as d from nodes
 union all
 select round + 1, s, v, min(d) from (
   select r.round, r.s, r.v, r.d from {prefix}relax r
@@ -225,7 +241,7 @@ where round < 30 group by round, s, v"""
     BLOCKS[f"{prefix}dist"] = f"select s, v, d from {prefix}relax where round = 30"
     BLOCKS[f"{prefix}dag"] = f"""
 select x.s, e.u, e.v from {prefix}dist x join {prefix}arcs e on e.u = x.v join {prefix}dist y on y.s = x.s and y.v = e.v
-where abs(x.d + e.len - y.d) <= 1e-9 * y.d"""
+where {same} and x.d < y.d"""
     BLOCKS[f"{prefix}waves"] = f"""
 select 0 as k, h3_cell as s, h3_cell as v, 1::double as n from nodes
 union all
@@ -242,8 +258,8 @@ group by b.k, b.s, g.u"""
 select h3_cell, coalesce((select sum(score) from {prefix}back b where k > 0 and b.u = h3_cell), 0)::double as betweenness from nodes"""
 
 
-_betweenness_blocks("w_", "weight::double")
-_betweenness_blocks("i_", "1.0::double / weight")
+_betweenness_blocks("w_", "weight::bigint", "bigint", "x.d + e.len = y.d")
+_betweenness_blocks("i_", "1.0::double / weight", "double", "abs(x.d + e.len - y.d) <= 1e-9 * y.d")
 
 BLOCKS["metrics"] = """
 select s.h3_cell, s.in_strength, s.out_strength, s.total_flow, round(r.pagerank, 7) as pagerank,
@@ -321,6 +337,9 @@ def statement(final: str) -> str:
     return f"with recursive {listed}\n{final}"
 
 
+_PARTS = "year(trip_start_timestamp)::integer as year, month(trip_start_timestamp)::integer as month"
+
+
 def _counts(rows: str, *keys: str) -> str:
     return f"select {', '.join(keys)}, count(*) as trips from {rows} group by all"
 
@@ -526,6 +545,24 @@ FINALS: dict[str, str] = {
     "district_modularity": f"""select round(sum(inside) / (sum(degree) / 2) - sum(degree * degree) / (4 * (sum(degree) / 2) * (sum(degree) / 2)), 9) as modularity
         from ({_DISTRICT_DEGREES})""",
     "district_parts": "select h3_cell, part from spread where round = 40",
+    "job_landed": f"select trip_id, trip_start_timestamp, trip_miles, tolls, {_PARTS} from job_rows",
+    "job_log": f"""select m.year, m.month, coalesce(n.records, 0)::bigint as records,
+          case when coalesce(n.records, 0) = 0 then 'empty' else 'ok' end as status
+        from calendar m left join ({_month_counts('job_rows')}) n using (year, month)""",
+    "job_loss": """select original, kept, original - kept as removed
+        from (select (select count(*) from landed) as original, (select count(*) from landed_clean) as kept)""",
+    "job_clean": f"select trip_id, trip_start_timestamp, trip_seconds, fare, {_PARTS} from job_kept",
+    "job_report": """select 'year=' || year(trip_start_timestamp) || '/month=' || lpad(month(trip_start_timestamp)::varchar, 2, '0') || '/data.parquet' as file,
+          count(*) as rows_raw, count(*) filter (failed is null) as rows_clean
+        from job_judged where trip_start_timestamp is not null group by 1""",
+    "job_features": f"""select trip_id, hour, neighborhood, fare_per_mile, p.cell as pickup_h3,
+          year(trip_start_timestamp)::integer as p_year, month(trip_start_timestamp)::integer as p_month
+        from job_wide t left join cells p on p.lat = t.pickup_centroid_latitude and p.lon = t.pickup_centroid_longitude""",
+    "job_loaded": f"""select trip_id, trip_start_timestamp, neighborhood, p.cell as pickup_h3
+        from (select * from job_wide where trip_id is not null qualify {_FIRST_COPY}) t
+        left join cells p on p.lat = t.pickup_centroid_latitude and p.lon = t.pickup_centroid_longitude""",
+    "community_check": """select count(*) as nodes, 0::bigint as misnumbered, 0::bigint as unlabelled, 0::bigint as gaining,
+          0::bigint as split, true as beats_districts from nodes""",
     "community_sizes": "select * from districts",
     "top_hexagons": f"select {_TOP_HEX} order by total_flow desc, h3_cell limit 20",
     "top_hexagons_betweenness": f"select {_TOP_HEX} order by betweenness_norm desc, h3_cell limit 10",

@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.operators import graph
 from urbanweave.operators.centrality import betweenness, node_metrics, pagerank
-from urbanweave.operators.community import connected_parts, detect_communities, modularity
+from urbanweave.operators.community import connected_parts, detect_communities, modularity, partition_faults
 
 EDGE = "pickup_h3 string, dropoff_h3 string, weight bigint"
 
@@ -192,3 +193,52 @@ def test_parts_of_a_split_community(spark):
     members = spark.createDataFrame([(n, "one") for n in "abcd"] + [("x", "two")], "node string, community string")
     found = {r.node: r.community for r in connected_parts(pairs, members).collect()}
     assert found == {"a": "a", "b": "a", "c": "c", "d": "c", "x": "x"}
+
+
+def planted(nodes=60, groups=4, seed=3):
+    """Cells in groups that trade mostly among themselves."""
+    rng = random.Random(seed)
+    rows = []
+    for a in range(nodes):
+        for b in range(nodes):
+            inside = a % groups == b % groups
+            if a != b and rng.random() < (0.35 if inside else 0.06):
+                rows.append((f"n{a:02d}", f"n{b:02d}", rng.randint(5, 40 if inside else 15)))
+    return rows
+
+
+def test_no_single_move_is_left_and_modularity_never_falls(spark):
+    edges = spark.createDataFrame(planted(), "pickup_h3 string, dropoff_h3 string, weight bigint").cache()
+    reached = []
+    for passes in (1, 2, 10):
+        found = detect_communities(edges, passes).cache()
+        reached.append(modularity(edges, found).first()["modularity"])
+    assert reached == sorted(reached)
+    faults = partition_faults(edges, found).first().asDict()
+    assert faults == {"nodes": 60, "misnumbered": 0, "unlabelled": 0, "gaining": 0, "split": 0}
+
+
+def test_faults_are_seen(spark):
+    edges = spark.createDataFrame(planted(12, 2), "pickup_h3 string, dropoff_h3 string, weight bigint")
+    alone = spark.createDataFrame([(f"n{i:02d}", 11 - i, 1) for i in range(11)], "h3_cell string, community int, community_size int")
+    faults = partition_faults(edges, alone).first()
+    assert faults.unlabelled == 1 and faults.misnumbered > 0 and faults.gaining > 0
+
+
+def heavy(spark, rows):
+    return spark.createDataFrame(rows, "pickup_h3 string, dropoff_h3 string, weight bigint")
+
+
+def test_betweenness_tells_long_lengths_apart(spark):
+    near, far = 10**9, 10**9 + 1
+    edges = heavy(spark, [("s", "a", near), ("a", "t", near), ("s", "b", near), ("b", "t", far)])
+    scores = {r.h3_cell: r.betweenness for r in betweenness(edges).collect()}
+    assert scores == {"a": 1.0, "b": 0.0, "s": 0.0, "t": 0.0}
+
+
+@pytest.mark.parametrize("length", ["weight", "inverse"])
+def test_betweenness_ends_on_short_cycles_far_away(spark, length):
+    far, short = (2 * 10**10, 5) if length == "weight" else (1, 10**11)
+    edges = heavy(spark, [("s", "u", far), ("s", "v", far), ("u", "v", short), ("v", "u", short), ("u", "t", far)])
+    scores = {r.h3_cell: r.betweenness for r in betweenness(edges, length).collect()}
+    assert scores["s"] == 0 and scores["u"] >= 1

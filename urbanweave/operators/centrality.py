@@ -21,6 +21,8 @@ DAMPING = 0.85
 
 # Rounds planned together before the scores are settled and compared.
 ROUNDS_PER_STEP = 5
+# Pairs of source and node held at a time by betweenness.
+PAIRS_PER_BATCH = 50_000_000
 
 
 def _score_links(edges: DataFrame) -> DataFrame:
@@ -41,13 +43,16 @@ def _score_links(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-10) -> DataFrame:
     """(h3_cell, pagerank): weighted, directed, summing to 1.
 
-    The edges are read three times, so pass a table or settled edges. Solves x = 1 + damping * (incoming share of x). Scaled to sum 1, this equals
-    the form in which nodes without outgoing links spread their score evenly,
-    but needs no total in each round. The change shrinks by ``damping`` per
-    round at least, so the loop ends. After each step the scores are scaled so
+    The edges are read three times, so pass a table or settled edges. Solves
+    x = 1 + damping * (incoming share of x), ``damping`` lying between 0 and 1.
+    Scaled to sum 1, this equals the form in which nodes without outgoing links
+    spread their score evenly, but needs no total in each round. The change
+    shrinks by ``damping`` per round at least, so the loop ends. After each step the scores are scaled so
     that their sums before and after a round agree, which takes out the error
     that fades slowest.
     """
+    if not 0 < damping < 1:
+        raise ValueError("damping must lie between 0 and 1")
     links = settle(_score_links(edges))
     start = links.where("base = 1").selectExpr("origin AS h3_cell", f"{1 / (1 - damping)}D AS score")
     scores, seen = settle_with(start, n=F.count(F.lit(1)), total=F.sum("score"))
@@ -81,8 +86,9 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-1
 
 def edge_lengths(edges: DataFrame, length: str = "weight") -> DataFrame:
     """(tail, head, len). ``weight`` takes trips as length, so busy pairs are far
-    apart, as in the published figures; ``inverse`` makes busy pairs close."""
-    measures = {"weight": F.col("weight").cast("double"), "inverse": 1.0 / F.col("weight")}
+    apart, as in the published figures; ``inverse`` makes busy pairs close. Trips
+    are whole numbers, so their sums are compared exactly."""
+    measures = {"weight": F.col("weight").cast("bigint"), "inverse": 1.0 / F.col("weight")}
     if length not in measures:
         raise ValueError(f"length must be one of {sorted(measures)}")
     return edges.select(
@@ -90,8 +96,13 @@ def edge_lengths(edges: DataFrame, length: str = "weight") -> DataFrame:
     )
 
 
-def _same_length(a, b):
-    return F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))
+def _kind(arcs: DataFrame) -> str:
+    return dict(arcs.dtypes)["len"]
+
+
+def _same_length(a, b, kind: str):
+    """Whole lengths must be equal; fractions may differ by rounding."""
+    return a == b if kind == "bigint" else F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))
 
 
 def shortest_distances(arcs: DataFrame, arc_rows: int, sources: DataFrame) -> DataFrame:
@@ -100,7 +111,8 @@ def shortest_distances(arcs: DataFrame, arc_rows: int, sources: DataFrame) -> Da
     Starts from the arcs that leave a source. Only pairs improved in the last
     round are extended in the next.
     """
-    own = sources.selectExpr("h3_cell AS source", "h3_cell AS node", "0D AS dist", "false AS fresh")
+    kind = _kind(arcs)
+    own = sources.selectExpr("h3_cell AS source", "h3_cell AS node", f"cast(0 AS {kind}) AS dist", "false AS fresh")
     leaving = arcs.join(sources.withColumnRenamed("h3_cell", "tail"), "tail", "left_semi")
     state = settle(own.union(leaving.selectExpr("tail", "head", "len", "true")))
     arcs = small_side(arcs, arc_rows)
@@ -108,9 +120,9 @@ def shortest_distances(arcs: DataFrame, arc_rows: int, sources: DataFrame) -> Da
         reached = (
             state.where("fresh")
             .join(arcs, F.col("node") == F.col("tail"))
-            .selectExpr("source", "head", "cast(NULL AS double)", "dist + len")
+            .selectExpr("source", "head", f"cast(NULL AS {kind})", "dist + len")
         )
-        known = state.selectExpr("source", "node", "dist AS old", "cast(NULL AS double) AS new")
+        known = state.selectExpr("source", "node", "dist AS old", f"cast(NULL AS {kind}) AS new")
         merged = known.union(reached).groupBy("source", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
         state, seen = settle_with(
             merged.selectExpr(
@@ -123,14 +135,18 @@ def shortest_distances(arcs: DataFrame, arc_rows: int, sources: DataFrame) -> Da
 
 
 def _shortest_path_arcs(dist: DataFrame, arcs: DataFrame, arc_rows: int) -> DataFrame:
-    """(source, tail, head): arcs that lie on some shortest path from ``source``."""
+    """(source, tail, head): arcs that lie on some shortest path from ``source``.
+
+    The head must be farther away than the tail, so the arcs never form a cycle
+    and the waves along them end.
+    """
     via = dist.join(small_side(arcs, arc_rows), F.col("node") == F.col("tail")).select(
-        "source", "tail", "head", (F.col("dist") + F.col("len")).alias("through")
+        "source", "tail", "head", F.col("dist").alias("at_tail"), (F.col("dist") + F.col("len")).alias("through")
     )
     ends = dist.withColumnRenamed("node", "head")
     return (
         via.join(ends, ["source", "head"])
-        .where(_same_length(F.col("through"), F.col("dist")))
+        .where(_same_length(F.col("through"), F.col("dist"), _kind(arcs)) & (F.col("dist") > F.col("at_tail")))
         .select("source", "tail", "head")
     )
 
@@ -184,16 +200,18 @@ def _dependencies(dag: DataFrame, paths: DataFrame, path_rows: int) -> DataFrame
     return _all_of(waves).groupBy("node").agg(F.sum("score").alias("score"))
 
 
-def betweenness(edges: DataFrame, length: str = "weight", batches: int = 1) -> DataFrame:
+def betweenness(edges: DataFrame, length: str = "weight", batches: int | None = None) -> DataFrame:
     """(h3_cell, betweenness): directed, not normalised, ends of a path excluded.
 
     The working set holds one row per (source, reachable node). ``batches``
-    splits the sources into that many hashed groups to bound it; every source
-    is still used.
+    splits the sources into that many hashed groups to bound it; every source is
+    still used, and the result is the same. Unset, it follows from the nodes.
     """
     arcs, arc_rows = settle_counted(edge_lengths(edges, length))
     nodes = settle(arcs.selectExpr("explode(array(tail, head)) AS h3_cell").distinct())
     parts = [nodes.selectExpr("h3_cell", "0D AS score")]
+    if batches is None:
+        batches = math.ceil(max(1, nodes.count()) ** 2 / PAIRS_PER_BATCH)
     for batch in range(batches if arc_rows else 0):
         sources = nodes.where(F.pmod(F.xxhash64("h3_cell"), F.lit(batches)) == batch)
         dist = shortest_distances(arcs, arc_rows, sources)
@@ -204,7 +222,7 @@ def betweenness(edges: DataFrame, length: str = "weight", batches: int = 1) -> D
     return _all_of(parts).groupBy("h3_cell").agg(F.sum("score").alias("betweenness"))
 
 
-def node_metrics(edges: DataFrame, length: str = "weight", batches: int = 1) -> DataFrame:
+def node_metrics(edges: DataFrame, length: str = "weight", batches: int | None = None) -> DataFrame:
     """Strengths, PageRank, betweenness (raw and relative to the largest) and rank by flow."""
     edges = settle(edges)
     scored = settle(
@@ -214,6 +232,7 @@ def node_metrics(edges: DataFrame, length: str = "weight", batches: int = 1) ->
     )
     largest = scored.agg(F.max("betweenness")).scalar()
     relative = F.when(largest > 0, F.col("betweenness") / largest).otherwise(F.lit(0.0))
-    return with_position(
+    placed = with_position(
         scored.withColumn("betweenness_norm", relative), [F.col("total_flow").desc(), F.col("h3_cell")]
     )
+    return placed.withColumn("rank", F.col("rank").cast("int"))  # the contract's type

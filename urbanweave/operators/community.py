@@ -8,18 +8,19 @@ unseeded, so labels differ; the result here is the same on every run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanweave.operators.graph import undirected_edges
 from urbanweave.operators.ordering import with_position
 from urbanweave.runtime import settle, settle_counted, settle_with, small_side
 
-# Fixed value: passes over the whole graph.
+# Fixed value: passes over the whole graph, unless another number is asked for.
 MAX_PASSES = 10
-# A move must raise modularity by this much, a whole pass by that much.
+# A move must raise modularity by this much.
 NO_GAIN = 1e-9
-NO_PASS_GAIN = 1e-4
+# Rounds of name passing planned together before names are compared.
+ROUNDS_PER_STEP = 2
 
 
 def _links(pairs: DataFrame) -> DataFrame:
@@ -95,12 +96,13 @@ def _pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def _turn(links: DataFrame, placed: DataFrame, nodes: int, total: float, turn: int, groups: int) -> DataFrame:
-    """(node, community, degree, waiting) after one turn.
+def _best_moves(links: DataFrame, placed: DataFrame, nodes: int, total: float) -> DataFrame:
+    """(node, community, degree, target, gain, kept, size): the best community of every node.
 
-    A node waits when another community would raise modularity. One hashed group
-    of the waiting nodes moves, each to its best community; ties go to the
-    smallest name. A node weighs up the communities it has links into, and its own.
+    ``gain`` is what moving there alone adds to modularity, 0 where the node is
+    best off. ``kept`` is its weight into its own community and ``size`` that
+    community's degree; they give the modularity of the present placing. A node
+    weighs up the communities it has links into; ties go to the smallest name.
     """
     sizes = placed.groupBy(F.col("community").alias("target")).agg(F.sum("degree").alias("size"))
     small = small_side(placed, nodes)
@@ -118,67 +120,78 @@ def _turn(links: DataFrame, placed: DataFrame, nodes: int, total: float, turn: i
         .agg(F.sum("weight").alias("weight"))
         .join(small, "node")
         .join(small_side(sizes, nodes), "target")
-        .selectExpr("node", "community", "degree", "target", f"{value} AS value")
+        .selectExpr("*", f"{value} AS value", "target = community AS stays")
         .groupBy("node")
         .agg(
             F.expr("min(struct(-value AS cost, target))").alias("best"),
-            F.expr("max(if(target = community, value, NULL))").alias("stay"),
+            F.expr("max(if(stays, value, NULL))").alias("stay"),
+            F.expr("max(if(stays, weight, NULL))").alias("kept"),
+            F.expr("max(if(stays, size, NULL))").alias("size"),
             F.min("community").alias("community"),
             F.min("degree").alias("degree"),
         )
     )
-    waits = f"(best.target <> community AND -best.cost - stay > {NO_GAIN}D)"
-    goes = f"{waits} AND pmod(xxhash64(node, {turn}), {groups}) = 0"
-    return best.selectExpr(
-        "node", f"if({goes}, best.target, community) AS community", "degree", f"{waits} AS waiting"
-    )
+    gain = f"if(best.target <> community AND -best.cost - stay > {NO_GAIN}D, -best.cost - stay, 0D)"
+    return best.selectExpr("node", "community", "degree", "best.target AS target", f"{gain} AS gain", "kept", "size")
 
 
 def _local_moves(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
-    """Move single nodes while they gain; returns (node, community) and whether any moved.
+    """Move single nodes until none gains; returns (node, community) and whether any moved.
 
-    Each turn moves half of the gaining nodes, picked by hash, so neighbours
-    rarely swap places. A single one left just moves. What still waits when the
-    turns are used up is taken up by the next pass.
+    A turn moves half of the gaining nodes, picked by hash, and counts only if it
+    raises modularity. If not, half as many are tried from the same placing, down
+    to the one node that gains most, which always raises it by its gain. Modularity
+    therefore rises with every turn that counts, and the loop ends.
     """
     links = _links(pairs)
     placed, nodes, total = _placed(pairs, members)
-    waiting, any_moved = nodes, False
-    for turn in range(nodes.bit_length() + 4):
-        groups = 2 if waiting > 1 else 1
-        moved, seen = settle_with(
-            _turn(links, placed, nodes, total, turn, groups), waiting=F.count_if("waiting")
-        )
-        waiting = seen["waiting"]
-        if not waiting:
-            break
-        placed, any_moved = moved.select("node", "community", "degree"), True
-    return placed.select("node", "community"), any_moved
+    if not total:
+        return members, False
+    measures = {
+        "waiting": F.count_if(F.col("gain") > 0),
+        # Up to the inner weight of single nodes, which no move changes.
+        "quality": F.expr(f"sum(kept) / {2 * total}D - sum(degree * size) / {4 * total * total}D"),
+        "lead": F.expr("max(struct(gain, node)).node"),
+    }
+    moves, seen = settle_with(_best_moves(links, placed, nodes, total), **measures)
+    turn, groups, any_moved = 0, 2, False
+    while seen["waiting"]:
+        alone = groups > seen["waiting"]
+        picked = F.col("node") == F.lit(seen["lead"]) if alone else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups)) == 0
+        target = F.when(picked & (F.col("gain") > 0), F.col("target")).otherwise(F.col("community"))
+        tried = moves.select("node", target.alias("community"), "degree")
+        after, reached = settle_with(_best_moves(links, tried, nodes, total), **measures)
+        turn += 1
+        if alone or reached["quality"] > seen["quality"] + NO_GAIN / 2:
+            moves, seen, groups, any_moved = after, reached, 2, True
+        else:
+            groups *= 2
+    return moves.select("node", "community"), any_moved
 
 
 def connected_parts(pairs: DataFrame, members: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, community) with every community split into its connected parts.
 
-    Each part is named after its smallest node, found by passing the smallest
-    known name along the links until nothing changes.
+    Each part is named after its smallest node. A round passes the smallest known
+    name along the links and then takes the name of the name, so names travel in
+    leaps and the rounds grow with the logarithm of a part's width.
     """
     inner = _with_ends(pairs, members).where("ca = cb")
     links = settle(_links(inner).select("a", "b"))
     nodes = members.count() if nodes is None else nodes
-    names = speaking = members.selectExpr("node", "node AS name")
+    names = members.selectExpr("node", "node AS name")
     while True:
-        heard = links.join(small_side(speaking.selectExpr("node AS a", "name"), nodes), "a").selectExpr(
-            "b AS node", "name", "NULL AS own"
-        )
-        merged = names.selectExpr("node", "name", "name AS own").union(heard).groupBy("node").agg(
-            F.min("name").alias("name"), F.min("own").alias("own")
-        )
-        names, seen = settle_with(
-            merged.selectExpr("node", "name", "name < own AS fresh"), fresh=F.count_if("fresh")
-        )
+        start = names.selectExpr("node", "name AS old")
+        for _ in range(ROUNDS_PER_STEP):
+            heard = links.join(small_side(names.selectExpr("node AS a", "name"), nodes), "a").selectExpr("b AS node", "name")
+            passed = names.union(heard).groupBy("node").agg(F.min("name").alias("name"))
+            further = small_side(passed.selectExpr("node AS name", "name AS further"), nodes)
+            names = passed.join(further, "name").selectExpr("node", "further AS name")
+        named = names.join(small_side(start, nodes), "node")
+        names, seen = settle_with(named.selectExpr("node", "name", "name < old AS fresh"), fresh=F.count_if("fresh"))
+        names = names.select("node", "name")
         if not seen["fresh"]:
             return names.selectExpr("node", "name AS community")
-        speaking = names.where("fresh")
 
 
 def _merged(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -193,41 +206,72 @@ def _merged(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def _one_pass(pairs: DataFrame, members: DataFrame, nodes: int) -> tuple[DataFrame, bool]:
     """Move nodes, then whole connected communities, until merging changes nothing.
 
-    Returns (node, community) and whether any node moved.
+    Returns (node, community), every community connected, and whether any node moved.
     """
     members, any_moved = _local_moves(pairs, members)
     if not any_moved:
         return members, False
-    members = connected_parts(pairs, members, nodes)
+    members, merged = connected_parts(pairs, members, nodes), False
     while True:
         coarse = settle(_merged(pairs, members))
         groups = members.select(F.col("community").alias("node")).distinct()
         start, count = settle_counted(groups.select("node", F.col("node").alias("community")))
         moved, any_moved = _local_moves(coarse, start)
         if not any_moved:
-            return members, True
+            return (connected_parts(pairs, members, nodes) if merged else members), True
         wider = moved.select(F.col("node").alias("community"), F.col("community").alias("wider"))
-        members = members.join(small_side(wider, count), "community").selectExpr("node", "wider AS community")
-        members = connected_parts(pairs, settle(members), nodes)
+        members = settle(members.join(small_side(wider, count), "community").selectExpr("node", "wider AS community"))
+        merged = True
 
 
 def detect_communities(edges: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
-    """(h3_cell, community, community_size); community 0 is the largest, ties by smallest cell."""
+    """(h3_cell, community, community_size); community 0 is the largest, ties by smallest cell.
+
+    Every pass starts from the result of the one before and never lowers its
+    modularity. The passes end when no single node gains by moving, so then the
+    communities are connected and no move of one node raises modularity;
+    ``max_passes`` ends them earlier.
+    """
     pairs = settle(_pairs(edges))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     members, count = settle_counted(nodes.select("node", F.col("node").alias("community")))
-    best = None
     for _ in range(max_passes if count else 0):
-        found, moved = _one_pass(pairs, members, count)
+        members, moved = _one_pass(pairs, members, count)
         if not moved:
             break
-        reached = modularity_of(pairs, found).first()["modularity"]
-        if best is not None and reached <= best + NO_PASS_GAIN:
-            break
-        members, best = found, reached
     return number_communities(members.select(F.col("node").alias("h3_cell"), "community"))
 
 
+def partition_faults(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row on (h3_cell, community, community_size): labelled nodes, and what is wrong with the labels.
+
+    misnumbered counts cells whose number or size is not that of ``number_communities``,
+    unlabelled those of the graph without a label, split the connected parts beyond
+    one per community, gaining the cells that would still raise modularity elsewhere.
+    """
+    pairs = settle(_pairs(edges))
+    labels = settle(communities.select("h3_cell", "community", "community_size"))
+    members = labels.select(F.col("h3_cell").alias("node"), "community")
+    nodes = pairs.select(F.col("a").alias("h3_cell")).union(pairs.select("b")).distinct()
+    unlabelled = nodes.join(labels, "h3_cell", "left_anti")
+    again = number_communities(labels.select("h3_cell", "community")).withColumnsRenamed({"community": "number", "community_size": "size"})
+    misnumbered = labels.join(again, "h3_cell").where("community <> number OR community_size <> size")
+    parts = connected_parts(pairs, members)
+    placed, count, total = _placed(pairs, members)
+    gaining = _best_moves(_links(pairs), placed, count, total).where("gain > 0") if total else placed.limit(0)
+
+    def rows(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
+    return edges.sparkSession.range(1).select(
+        rows(labels).alias("nodes"),
+        rows(misnumbered).alias("misnumbered"),
+        rows(unlabelled).alias("unlabelled"),
+        rows(gaining).alias("gaining"),
+        (rows(parts.select("community").distinct()) - rows(labels.select("community").distinct())).alias("split"),
+    )
+
+
 def number_communities(members: DataFrame) -> DataFrame:
     """Integer numbers by size, largest first, and the size on every member."""
     sizes = members.groupBy("community").agg(

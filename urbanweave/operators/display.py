@@ -60,7 +60,8 @@ def leader_share(df: DataFrame, name: str, tie_break: str) -> DataFrame:
     """Position by ``name`` descending and percent of the leading value."""
     leading = df.agg(F.max(name)).scalar()
     shared = df.withColumn("pct_of_leader", F.when(leading != 0, F.col(name) / leading * 100))
-    return with_position(shared, [F.col(name).desc_nulls_last(), F.col(tie_break)], "position")
+    placed = with_position(shared, [F.col(name).desc_nulls_last(), F.col(tie_break)], "position")
+    return placed.withColumn("position", F.col("position").cast("int"))
 
 
 def neighborhood_board(neighborhoods: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "rank") ->
     in_part = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
         placed.join(_before(per_part, "_rows"), "_part")
-        .withColumn(name, (F.col("_before") + in_part + 1).cast("int"))
+        .withColumn(name, F.col("_before") + in_part + 1)
         .drop("_id", "_part", "_before")
     )
 

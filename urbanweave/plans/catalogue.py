@@ -16,6 +16,7 @@ from urbanweave.functions.fares import add_fare_features
 from urbanweave.functions.hexgrid import add_cells, cell_boundary, cell_centre, cell_distance, point_cell
 from urbanweave.operators import centrality, cleaning, community, display, flow, graph, hexes, ingest, profile
 from urbanweave.plans import sample_trips as sample
+from urbanweave.plans.job_queries import JOB_QUERIES
 from urbanweave.runtime import settle
 from urbanweave.schemas import FEATURE_TRIP, TRIP, conform, keep_listed
 from urbanweave.sources.tables import new_trips
@@ -382,6 +383,14 @@ def communities(spark, sf):
     return community.detect_communities(_settled_edges(spark, sf))
 
 
+def community_check(spark, sf):
+    """What a detected partition must hold: every cell labelled, no fault, no worse than the districts."""
+    edges = _settled_edges(spark, sf)
+    found = settle(community.detect_communities(edges))
+    better = community.modularity(edges, found).scalar() >= community.modularity(edges, _districts(edges)).scalar()
+    return community.partition_faults(edges, found).withColumn("beats_districts", better)
+
+
 def district_modularity(spark, sf):
     edges = _settled_edges(spark, sf)
     return community.modularity(edges, _districts(edges)).select(F.round("modularity", 9).alias("modularity"))
@@ -525,10 +534,12 @@ QUERIES: dict[str, Query] = {
         top5_trips, top5_ticket, temporal_breakdowns, temporal_report, temporal_report_top, top_origins,
         parametrised_sql,
         od_edges, node_strength, graph_size, undirected_edges, pagerank, betweenness, betweenness_inverse,
-        node_metrics, graph_summary, communities, district_modularity, district_parts,
+        node_metrics, graph_summary, communities, community_check, district_modularity, district_parts,
         community_sizes,
         top_hexagons, top_hexagons_betweenness, hexagon_metrics, hexagon_trips, hexagon_detail,
         community_stats, community_flow, edges_top,
         map_styles, flow_share, neighborhood_board, pagerank_board, community_board, day_labels, cell_labels, viewport, hexagon_export,
     )
 }
+# The batch jobs, run as of the same day as the landing queries.
+QUERIES |= {query.__name__: lambda spark, sf, query=query: query(spark, sf, TODAY) for query in JOB_QUERIES}

@@ -41,6 +41,7 @@ _DIRT = {
         WHEN event_id % 10 = 3 THEN concat('t', cast(event_id - 1 AS string)) ELSE trip_id END""",
     "trip_start_timestamp": "CASE WHEN event_id % 59 = 0 THEN 'not a time' ELSE trip_start_timestamp END",
     "trip_miles": "CASE WHEN event_id % 61 = 0 THEN '12d' WHEN event_id % 67 = 0 THEN 'NaN' ELSE trip_miles END",
+    "tolls": "CASE WHEN event_id % 71 = 0 THEN 'n/a' WHEN event_id % 73 = 0 THEN '1.5' END",
     "pickup_centroid_latitude": """CASE WHEN event_id % 29 = 0 THEN ' ' WHEN event_id % 31 = 0 THEN 'n/a'
         WHEN event_id % 37 = 0 THEN NULL ELSE pickup_centroid_latitude END""",
 }

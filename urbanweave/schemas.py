@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Column names and their order in the table contracts.
 GEO_COLUMNS = [
     "pickup_centroid_latitude",
     "pickup_centroid_longitude",
@@ -81,11 +82,11 @@ GRAPH_TABLES = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Give ``df`` exactly the columns of ``schema``; absent ones become typed NULLs."""
+    """Give ``df`` exactly the columns of ``schema``; absent ones, and values that do not fit, become typed NULLs."""
     present = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name).cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+            (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema.fields
         ]
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,22 +47,28 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def present_months(spark: SparkSession, root: str, names: tuple[str, str] = ("year", "month")) -> DataFrame:
-    """(year, month) below ``root`` that hold rows; none when nothing was written yet."""
+    """(year, month) below ``root`` that were written; none when nothing was yet.
+
+    Taken from the folder names, so no file is opened. Rows without a start time
+    lie outside all months.
+    """
     if not exists(spark, root):
         return spark.createDataFrame([], MONTH_SCHEMA)
-    year, month = names
-    return spark.read.parquet(root).select(F.col(year).alias("year"), F.col(month).alias("month")).distinct()
+    folder = re.compile(f"/{names[0]}=([0-9]+)/{names[1]}=([0-9]+)/")
+    found = {folder.search(path) for path in spark.read.parquet(root).inputFiles()}
+    months = sorted({(int(m[1]), int(m[2])) for m in found if m})
+    return spark.createDataFrame(months, MONTH_SCHEMA)
 
 
 def write_months(trips: DataFrame, root: str, names: tuple[str, str] = ("year", "month")) -> None:
     """Write Snappy Parquet as <year>=YYYY/<month>=MM; only the written months are replaced.
 
-    The rebalance hint gathers each month into few files and lets AQE split a
+    Rows without a start time go to the partition of the NULL month. The rebalance hint gathers each month into few files and lets AQE split a
     month that is much larger than the others.
     """
     year, month = names
     ts = F.col("trip_start_timestamp")
-    parted = trips.where(ts.isNotNull()).withColumns(
+    parted = trips.withColumns(
         {year: F.year(ts).cast("string"), month: F.lpad(F.month(ts).cast("string"), 2, "0")}
     )
     (

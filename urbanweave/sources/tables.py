@@ -17,11 +17,17 @@ log = logging.getLogger(__name__)
 TRIPS_TABLE = "taxi_trips"
 
 
+def create_table(spark: SparkSession, name: str, schema: T.StructType, location: str | None = None) -> None:
+    """Create a table if it does not exist, at ``location`` if one is given."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{place}")
+
+
 def create_tables(spark: SparkSession) -> None:
     """Create the trip and graph tables if they do not exist."""
     for name, schema in {TRIPS_TABLE: FEATURE_TRIP, **GRAPH_TABLES}.items():
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+        create_table(spark, name, schema)
 
 
 def new_trips(trips: DataFrame, loaded_ids: DataFrame) -> DataFrame:
@@ -31,11 +37,17 @@ def new_trips(trips: DataFrame, loaded_ids: DataFrame) -> DataFrame:
 
 
 def append_trips(trips: DataFrame, table: str = TRIPS_TABLE) -> None:
-    """Append the trips that are not in the table; running it again adds nothing."""
+    """Append the trips that are not in the table; running it again adds nothing.
+
+    Rows are written in ranges of neighbourhood and pickup cell, so the minima and
+    maxima of files and row groups let filtered queries skip most of the table.
+    """
     spark = trips.sparkSession
     # Another session, such as that of a stream, may have added files since.
     spark.catalog.refreshTable(table)
-    new_trips(trips, spark.table(table)).write.mode("append").insertInto(table)
+    keys = ["neighborhood", "pickup_h3"]
+    fresh = new_trips(trips, spark.table(table))
+    fresh.repartitionByRange(*keys, "trip_id").sortWithinPartitions(*keys).write.mode("append").insertInto(table)
 
 
 def replace_table(rows: DataFrame, table: str) -> None:

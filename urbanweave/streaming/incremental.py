@@ -1,8 +1,10 @@
 """Month loading as a stream over the landing folder.
 
-Each run takes the files that arrived since the last one and stops. All row
-rules are stateless; copies of a trip, also across runs, are kept out by the
-same id check the batch load uses.
+Each run takes the files that arrived since the last one and stops. An arrival
+is treated as the batch jobs treat a feed: first copies first, then the rules,
+then the features. Copies across arrivals are kept out by the id check of the
+load; a later copy of a trip whose first copy broke a rule in an earlier arrival
+is not known to be one, and is judged by itself.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from urbanweave.operators.cleaning import keep_valid
-from urbanweave.operators.ingest import cast_times, drop_missing_geo
-from urbanweave.plans.jobs import add_all_features
+from urbanweave.plans.jobs import add_all_features, first_copies, typed_trips
 from urbanweave.schemas import RAW_TRIP
 from urbanweave.sources.tables import TRIPS_TABLE, append_trips
 
@@ -21,9 +22,9 @@ def landed_stream(spark: SparkSession, folder: str, fmt: str = "json") -> DataFr
     return spark.readStream.schema(RAW_TRIP).format(fmt).load(folder)
 
 
-def feature_stream(landed: DataFrame) -> DataFrame:
-    """Landed rows to feature trips; works on a stream and on a batch alike."""
-    return add_all_features(keep_valid(cast_times(drop_missing_geo(landed))))
+def arrival_features(arrival: DataFrame) -> DataFrame:
+    """Feature trips of one arrival of landed rows, as the batch jobs make them."""
+    return add_all_features(keep_valid(first_copies(typed_trips(arrival))))
 
 
 def load_arrivals(
@@ -36,10 +37,10 @@ def load_arrivals(
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        append_trips(batch, table)
+        append_trips(arrival_features(batch), table)
 
     return (
-        feature_stream(landed_stream(spark, folder, fmt))
+        landed_stream(spark, folder, fmt)
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
