@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from urbanweave.llm.common import keyed_texts
+from urbanweave.llm.common import keyed_texts, slices
 
 OFFSET = 10.0
 SPACE = "▁"
-_MOST_EDGES = 6_000_000
-_PART_CHARS = 1_000_000
+_MOST_EDGES = 3_000_000
+_PART_CHARS = 500_000
 
 
 class Trie:
@@ -107,6 +107,22 @@ class Trie:
         return start, end, number
 
 
+def spellings(path: str) -> list[bytes | None]:
+    """Bytes of every id of a model file; None for ids that stand for no text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out: list[bytes | None] = []
+    for i in range(model.vocab_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(piece[1:-1], 16)]))
+        else:
+            empty = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+            out.append(None if empty else piece.replace(SPACE, " ").encode("utf-8"))
+    return out
+
+
 class Vocabulary:
     """Pieces of a model file in plain text (spaces as spaces), byte pieces, and log weights."""
 
@@ -114,32 +130,22 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = model.vocab_size()
-        self.pieces: set[str] = set()
-        ids: dict[str, int] = {}
+        self.spelled = spellings(path)
         self.bytes = [-1] * 256
-        self.spelled: list[bytes | None] = [None] * self.size
-        rank = np.arange(self.size) + OFFSET
-        self.weights = -np.log(rank) - np.log((1 / rank).sum())
-        for i in range(self.size):
-            piece = model.id_to_piece(i)
+        ids: dict[str, int] = {}
+        for i, data in enumerate(self.spelled):
             if model.is_byte(i):
-                self.bytes[int(piece[1:-1], 16)] = i
-                self.spelled[i] = bytes([int(piece[1:-1], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                plain = piece.replace(SPACE, " ")
-                self.pieces.add(plain)
-                ids[plain] = i
-                self.spelled[i] = plain.encode("utf-8")
+                self.bytes[data[0]] = i
+            elif data is not None:
+                ids[data.decode("utf-8")] = i
         if -1 in self.bytes:
             raise ValueError("the vocabulary has no byte pieces; decoding would lose characters")
+        if any(" " in piece.lstrip(" ") or "\0" in piece or ("\n" in piece and len(piece) > 1) for piece in ids):
+            raise ValueError("a piece crosses a unit")
+        self.pieces = frozenset(ids)
         self.trie = Trie(ids)
-        for piece in self.pieces:
-            if " " in piece.lstrip(" ") or "\0" in piece or ("\n" in piece and len(piece) > 1):
-                raise ValueError("a piece crosses a unit")
-
-
-_UNITS = re.compile(r"\n| *[^ \n]+| +")
+        rank = np.arange(len(self.spelled)) + OFFSET
+        self.weights = -np.log(rank) - np.log((1 / rank).sum())
 
 
 @lru_cache(maxsize=1)
@@ -153,6 +159,9 @@ def _sampler(path: str, alpha: float, seed: int) -> Sampler:
     return Sampler(_vocabulary(path), alpha, seed)
 
 
+_UNITS = re.compile(r"\n| *[^ \n]+| +")
+
+
 def units(text: str) -> list[str]:
     """Parts of the text, with one space put before it, that no piece crosses."""
     return _UNITS.findall(" " + text) if text else []
@@ -354,7 +363,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_path, alpha, seed)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             done = 0
             while done < len(keys):
@@ -385,8 +394,8 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     where = chosen.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = _vocabulary(model_path).spelled
-        for batch in batches:
+        spelled = spellings(model_path)
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = []
             for row in batch.column(where):
                 ids = row.values
