@@ -404,7 +404,8 @@ def _describe(name: str) -> str:
         "p75": f"quantile_cont({name}, 0.75)", "max": f"max({name})",
     }
     rounded = ", ".join(f"cast(round(cast({e} as decimal(38,10)), 6) as double) as {k}" for k, e in stats.items())
-    return f"select '{name}' as \"column\", count({name}) as count, {rounded} from trips"
+    year = "year(trip_start_timestamp)::integer"
+    return f"select {year} as year, '{name}' as \"column\", count({name}) as count, {rounded} from trips group by 1 having count({name}) > 0"
 
 
 def _color(level: str, steps, rest: str) -> str:
@@ -540,7 +541,7 @@ FINALS: dict[str, str] = {
     "node_metrics": "select * from metrics",
     "graph_summary": f"""select '{c.LOGGED_AT}' as generated_at, n as nodes, e as edges, 5 as min_edge_weight, true as is_directed,
           case when n > 1 then e / (n * (n - 1))::double end as density,
-          (select to_json(list(h3_cell order by rank))::varchar from metrics where rank <= 10) as top_10_by_flow
+          (select string_agg(h3_cell || ':' || total_flow::bigint || ':' || round(pagerank * 1e7)::bigint, ',' order by rank) from metrics where rank <= 10) as top_10_by_flow
         from (select (select count(*) from nodes) as n, (select count(*) from edges) as e)""",
     "district_modularity": f"""select round(sum(inside) / (sum(degree) / 2) - sum(degree * degree) / (4 * (sum(degree) / 2) * (sum(degree) / 2)), 9) as modularity
         from ({_DISTRICT_DEGREES})""",
@@ -570,8 +571,6 @@ FINALS: dict[str, str] = {
     "hexagon_trips": f"""select count(*) as total_trips, {avg2('total_amount')} as avg_ticket, {avg2('trip_miles')} as avg_miles,
           {avg2('speed_mph')} as avg_speed, (select neighborhood from usual where h3_cell = (select leader from leader)) as neighborhood
         from celled where pickup_h3 = (select leader from leader)""",
-    "hexagon_detail": """select h3_cell, rank, community, (select count(*) from celled where pickup_h3 = h3_cell) as total_trips, avg_ticket, neighborhood
-        from metrics left join districts using (h3_cell) left join usual using (h3_cell) where rank = 1""",
     "community_stats": """select community, count(*) as hexagon_count, sum(total_flow) as total_flow,
           cast(round(cast(avg(pagerank) as decimal(38,10)), 6) as double) as avg_pagerank
         from districts join metrics using (h3_cell) group by 1""",
@@ -605,6 +604,7 @@ FINALS: dict[str, str] = {
     "hexagon_export": f"""select h3_cell, total_flow as flow, 6 as corners, {_r7('lat').replace(' as lat', ' as first_lat')}, {_r7('lon').replace(' as lon', ' as first_lon')}
         from strength join (select distinct on (h3_cell) * from every_corner where corner = 0) using (h3_cell)""",
 }
+FINALS["hexagon_detail"] = f"select * from ({FINALS['hexagon_metrics']}), ({FINALS['hexagon_trips']})"
 BLOCKS["every_spot"] = "select distinct cell as h3_cell, a9, b9 from cells"
 BLOCKS["every_corner"] = _position("a9 + ca / 3.0::double", "b9 + cb / 3.0::double", "(select * from every_spot, corner_list)", "h3_cell, corner,")
 

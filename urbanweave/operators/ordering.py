@@ -51,15 +51,15 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: st
     )
 
 
-def exact_quantiles(values: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
+def exact_quantiles(values: DataFrame, key: str, value: str, points: dict[str, float], weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``key``, one column per point.
 
-    Works on counts per distinct value; NULLs do not count. Meant for few keys,
-    such as column names, each of any size.
+    Works on counts per distinct value; NULLs do not count. ``weight`` names a
+    column that says how often a row counts. Meant for few keys, such as column
+    names, each of any size.
     """
-    counted = (
-        values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(times.alias("_n"))
     running = with_running_total(counted, [key, value], "_n", "_seen")
     # One row per key: where its values start in the running total, and how many there are.
     spans = running.groupBy(key).agg(F.min("_seen").alias("_start"), F.sum("_n").alias("_all"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urbanweave.functions.casting import as_columns, half_even, lenient_doubles, lenient_timestamp, rounded
 from urbanweave.operators.cleaning import LAT_RANGE, LON_RANGE, MEASURE_RANGES
 from urbanweave.operators.ordering import exact_quantiles
+from urbanweave.runtime import settle
 from urbanweave.schemas import GEO_COLUMNS, TIME_COLUMNS
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -94,18 +95,27 @@ def duplicates_by_year(df: DataFrame) -> DataFrame:
     )
 
 
-def describe_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of numeric columns, one row each."""
-    numbers = df.withColumns(as_columns(lenient_doubles(df, names)))
-    values = numbers.select(*names).unpivot([], names, "column", "value").where("value is not null")
-    moments = values.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(values, "column", "value", QUARTILES)
-    return moments.join(quartiles, "column").select(
-        "column", "count", "mean", "std", "min", *QUARTILES, "max"
+def describe_columns(df: DataFrame, names: list[str], by: str | None = None) -> DataFrame:
+    """count, mean, std, min, exact quartiles and max of numeric columns, one row each.
+
+    With ``by``, a column such as the year, one row per value of it and column;
+    rows where it is NULL are left out. The rows are read once, for the counts per
+    distinct value; everything follows from those.
+    """
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    numbers = df.withColumns(as_columns(lenient_doubles(df, names))).select(group.alias("_group"), *names)
+    values = numbers.unpivot(["_group"], names, "column", "value").where("value is not null and _group is not null")
+    keyed = values.withColumn("slot", F.concat_ws("|", "_group", "column"))
+    counted = settle(keyed.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")))
+    n, value = F.col("n"), F.col("value")
+    sums = counted.groupBy("slot").agg(
+        F.sum("n").alias("count"), (F.sum(n * value) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
+    around = counted.join(sums.select("slot", "mean"), "slot")
+    spread = F.sum(n * (value - F.col("mean")) * (value - F.col("mean")))
+    deviation = around.groupBy("slot").agg(F.when(F.sum("n") > 1, F.sqrt(spread / (F.sum("n") - 1))).alias("std"))
+    quartiles = exact_quantiles(counted, "slot", "value", QUARTILES, "n")
+    found = sums.join(deviation, "slot").join(quartiles, "slot")
+    parts = F.split("slot", r"\|", 2)
+    lead = [] if by is None else [parts[0].cast(df.schema[by].dataType).alias(by)]
+    return found.select(*lead, parts[1].alias("column"), "count", "mean", "std", "min", *QUARTILES, "max")

@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanweave.functions import display as show
 from urbanweave.functions.areas import add_neighborhood
@@ -183,12 +184,14 @@ def profile_duplicates(spark, sf):
     return profile.duplicates_by_year(sample.landed(spark, sf))
 
 
-DESCRIBED = ["trip_seconds", "trip_miles", "fare", "tips", "pickup_community_area", "pickup_centroid_latitude"]
+DESCRIBED = [f.name for f in TRIP.fields if f.dataType == T.DoubleType()]
 
 
 def describe_trips(spark, sf):
-    found = profile.describe_columns(sample.trips(spark, sf), DESCRIBED)
-    return found.select("column", "count", *[rounded(F.col(c), 6).alias(c) for c in found.columns[2:]])
+    """All numeric columns, per year of the start."""
+    trips = sample.trips(spark, sf).withColumn("year", F.year("trip_start_timestamp"))
+    found = profile.describe_columns(trips, DESCRIBED, by="year")
+    return found.select("year", "column", "count", *[rounded(F.col(c), 6).alias(c) for c in found.columns[3:]])
 
 
 # --- features ----------------------------------------------------------------
@@ -375,8 +378,9 @@ def node_metrics(spark, sf):
 
 def graph_summary(spark, sf):
     edges = _settled_edges(spark, sf)
-    found = graph.graph_summary(edges, _exact_metrics(edges), LOGGED_AT)
-    return found.withColumn("top_10_by_flow", F.to_json(F.transform("top_10_by_flow", lambda c: c["h3_cell"])))
+    found = graph.graph_summary(edges, _graph_tables(spark, sf)[0], LOGGED_AT)
+    cell = lambda c: F.concat_ws(":", c["h3_cell"], c["total_flow"].cast("bigint"), F.round(c["pagerank"] * 1e7).cast("bigint"))
+    return found.withColumn("top_10_by_flow", F.array_join(F.transform("top_10_by_flow", cell), ","))
 
 
 def communities(spark, sf):
@@ -413,9 +417,16 @@ def community_sizes(spark, sf):
 # --- cells, communities and edges --------------------------------------------
 
 
+_GRAPH_TABLES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def _graph_tables(spark, sf):
-    edges = _settled_edges(spark, sf)
-    return settle(_exact_metrics(edges)), settle(_districts(edges))
+    """Node metrics and districts, written once per session and folder of tables, as the load job does."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRAPH_TABLES:
+        edges = _settled_edges(spark, sf)
+        _GRAPH_TABLES[key] = settle(_exact_metrics(edges)), settle(_districts(edges))
+    return _GRAPH_TABLES[key]
 
 
 def top_hexagons(spark, sf):
@@ -446,9 +457,7 @@ def hexagon_trips(spark, sf):
 def hexagon_detail(spark, sf):
     metrics, districts = _graph_tables(spark, sf)
     detail = hexes.hexagon_detail(metrics, districts, add_cells(_wide(spark, sf)), _busiest_cell(metrics))
-    return detail.select(
-        "metrics.h3_cell", "metrics.rank", "metrics.community", "trips.total_trips", "trips.avg_ticket", "trips.neighborhood"
-    )
+    return detail.select("metrics.*", "trips.*")
 
 
 def community_stats(spark, sf):
