@@ -19,7 +19,8 @@ from urbanweave.llm.common import keyed_texts
 # Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Label, keyword, spellings of the name (words; "?" after optional ones), versions.
+# Label, keyword (where the name has it), spellings of the name (words; "?" after
+# optional ones, and before one that may be joined to the word before), versions.
 FAMILIES = [
     ("mit", "mit", ["mit", "expat"], []),
     ("apache", "apache", ["apache", "apache software"], ["1.0", "1.1", "2.0"]),
@@ -110,24 +111,28 @@ class Signature:
 
 
 def signatures() -> list[Signature]:
-    """The rules: every family, plain and by version, in every template."""
+    """The rules: every name of a family, plain and by version, in every template."""
     rules = []
     lead = f"(?:{'|'.join(words(w) for w in ('licensed', 'released', 'distributed', 'available', 'published', 'provided'))})"
     under = f"{lead}{words('under')}{words('the?')}(?:{words('terms of the?')})?{words('the?')}"
     licence = "(?: licen[cs]e )"
-    for label, keyword, names, versions in FAMILIES:
-        name = names[0] if len(names) == 1 else None
-        either = words(name) if name else f"(?:{'|'.join(words(n) for n in sorted(names, key=len, reverse=True))})"
-        rules.append(Signature(label, keyword, f"{under}{either}{licence}?", GRANT))
-        rules.append(Signature(label, keyword, f"{either}{licence}", BARE))
-        rules.append(Signature(label, keyword, f"{words('spdx license identifier')}{either}", TAG))
-        for version in versions:
-            # "2.0" is the words 2 and 0; a trailing 0 is often left out.
-            major, _, minor = version.partition(".")
-            number = f"(?: {major} (?: 0 )?| v{major} (?: 0 )?)" if minor == "0" else f"(?: v?{major}  {minor} )"
-            rules.append(Signature(f"{label}-{version}", keyword, f"{under}{either}{licence}?(?: version )?{number}", GRANT))
-            rules.append(Signature(f"{label}-{version}", keyword, f"{either}{licence}?(?: version )?{number}", NAMED))
-            rules.append(Signature(f"{label}-{version}", keyword, f"{words('spdx license identifier')}{either}{number}", TAG))
+    tag = words("spdx license identifier")
+    for label, common, names, versions in FAMILIES:
+        for name in names:
+            # The keyword must be a word that every match has.
+            sure = [w for w in name.split() if not w.endswith("?") and not w.startswith("?")]
+            keyword = common if common in sure else max(sure, key=len)
+            named = words(name)
+            rules.append(Signature(label, keyword, f"{under}{named}{licence}?", GRANT))
+            rules.append(Signature(label, keyword, f"{named}{licence}", BARE))
+            rules.append(Signature(label, keyword, f"{tag}{named}", TAG))
+            for version in versions:
+                # "2.0" is the words 2 and 0; a trailing 0 is often left out.
+                major, _, minor = version.partition(".")
+                number = f"(?: {major} (?: 0 )?| v{major} (?: 0 )?)" if minor == "0" else f"(?: v?{major}  {minor} )"
+                rules.append(Signature(f"{label}-{version}", keyword, f"{under}{named}{licence}?(?: version )?{number}", GRANT))
+                rules.append(Signature(f"{label}-{version}", keyword, f"{named}{licence}?(?: version )?{number}", NAMED))
+                rules.append(Signature(f"{label}-{version}", keyword, f"{tag}{named}{number}", TAG))
     return rules
 
 
@@ -136,14 +141,13 @@ _DETECTION = "struct<start:bigint,back:bigint,end:bigint,priority:int,label:stri
 
 
 def normalised(text: Column) -> Column:
-    """Words with a space on either side each; the empty string if there are none.
+    """Lower-cased words with a space on either side each; the empty string if there are none.
 
-    Only A-Z must be lower-cased. Lower-casing everything is faster and keeps every
-    other word a word, save for the two letters whose lower case is an ASCII one.
+    Only A-Z are to be lower-cased. Lower-casing everything keeps every other word a
+    word and no ASCII one, save for the two letters whose lower case is ASCII.
     """
-    lowered = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
-    spaced = F.trim(F.regexp_replace(lowered, SEPARATORS, "  "))
-    return F.when(spaced == "", F.lit("")).otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
+    lowered = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, "  ")), F.lit(" "))
 
 
 def _words_in(part: Column) -> Column:
@@ -192,22 +196,28 @@ def detect(docs: DataFrame, rules: list[Signature] | None = None) -> DataFrame:
     one pass without a shuffle.
     """
     rules = signatures() if rules is None else rules
-    table = F.array(
-        *[F.struct(F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label")) for r in rules]
-    )
-    keywords = F.array(*[F.lit(f" {k} ") for k in sorted({r.keyword for r in rules})])
-    words_of = keyed_texts(docs).select("doc_id", normalised(F.coalesce("text", F.lit(""))).alias("norm"))
-    text = F.col("norm")
-    gated = words_of.withColumn("gate", F.exists(keywords, lambda k: F.contains(text, k)))
-    found = F.flatten(
-        F.transform(F.filter(table, lambda r: F.contains(text, r["keyword"])), lambda r: _places(text, r["pattern"], r["priority"], r["label"]))
-    )
+    by_keyword: dict[str, list[Column]] = {}
+    for r in rules:
+        rule = F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"))
+        by_keyword.setdefault(r.keyword, []).append(rule)
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*held).alias("rules")) for k, held in by_keyword.items()])
     none = F.array().cast(f"array<{_DETECTION}>")
+    gates = sorted({*by_keyword, *(phrase.split()[0] for phrase, _ in BASE)})
+    # Each step reads the one before more than once, so each is a column of its own.
+    cut = keyed_texts(docs).select("doc_id", "text", F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS, -1).alias("parts"))
+    empties = (F.element_at("parts", 1) == "").cast("long") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("long")
+    present = F.array_intersect("parts", F.array(*map(F.lit, gates)))
+    gated = cut.select("doc_id", "text", (F.size("parts") - empties).alias("n_words"), present.alias("present"))
+    norms = gated.select("doc_id", "n_words", "present", F.when(F.size("present") > 0, normalised(F.col("text"))).otherwise(F.lit("")).alias("norm"))
+    text = F.col("norm")
+    chosen = F.filter(table, lambda k: F.array_contains("present", k["keyword"]))
+    held = norms.select("doc_id", "n_words", "norm", F.when(F.size("present") > 0, F.flatten(F.transform(chosen, lambda k: k["rules"]))).alias("rules"))
+    found = F.flatten(F.transform("rules", lambda r: _places(text, r["pattern"], r["priority"], r["label"])))
     base = [
         F.when(F.contains(text, F.lit(words(phrase))), _places(text, F.lit(words(phrase)), F.lit(BARE), F.lit(label))).otherwise(none)
         for phrase, label in BASE
     ]
-    seen = gated.select("doc_id", _words_in(text).alias("n_words"), F.concat(*base).alias("base"), F.when(F.col("gate"), found).otherwise(none).alias("found"))
+    seen = held.select("doc_id", "n_words", F.concat(*base).alias("base"), F.when(F.size("rules") > 0, found).otherwise(none).alias("found"))
     return seen.select("doc_id", "n_words", "base", F.when(F.size("found") > 0, _unsuppressed(F.col("found"))).otherwise(none).alias("detections"))
 
 
