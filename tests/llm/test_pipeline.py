@@ -82,3 +82,14 @@ def test_entry_without_the_package(tmp_path):
 
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+
+
+def test_statements_give_the_rows_of_their_queries(spark):
+    from checks.compare import difference, open_tables
+    from urbanweave.llm.oracles import ORACLES
+    from urbanweave.llm.queries import QUERIES
+
+    assert ORACLES.keys() <= QUERIES.keys()
+    tables = open_tables(SF)
+    for name, statement in ORACLES.items():
+        assert difference(QUERIES[name](spark, SF), tables, statement) is None, name

@@ -144,3 +144,25 @@ SELECT n.doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_ba
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM norms n LEFT JOIN b ON n.doc_id = b.doc_id LEFT JOIN l ON n.doc_id = l.doc_id
 """
+
+ORACLES["op8_parity_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+), reached AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reached.doc_id, l.b FROM reached JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reached.r
+)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
