@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanweave.functions.casting import rounded
+from urbanweave.runtime import settle, small_side
 
 # Measures shown as means, with the expression they average.
 MEAN_MEASURES = {
@@ -21,8 +22,9 @@ MEAN_MEASURES = {
 }
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1))
+def _rows(weight: str | None = None) -> Column:
+    """Number of rows, or of the trips that counted rows stand for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
 def mean_of(name: str, digits: int = 2) -> Column:
@@ -208,20 +210,20 @@ def priciest_neighborhoods(trips: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def top_origins(trips: DataFrame, n: int = 20) -> DataFrame:
-    """Pickup cells with the most trips."""
+def top_origins(trips: DataFrame, n: int = 20, weight: str | None = None) -> DataFrame:
+    """Pickup cells with the most trips; ``weight`` names a column of counts."""
     return (
         trips.where(F.col("pickup_h3").isNotNull())
         .groupBy("pickup_h3")
-        .agg(_rows().alias("trips"))
+        .agg(_rows(weight).alias("trips"))
         .orderBy(F.col("trips").desc(), "pickup_h3")
         .limit(n)
     )
 
 
-def from_top_origins(trips: DataFrame, n: int = 20) -> DataFrame:
+def from_top_origins(trips: DataFrame, n: int = 20, weight: str | None = None) -> DataFrame:
     """Trips that start in one of the ``n`` busiest pickup cells."""
-    return trips.join(F.broadcast(top_origins(trips, n).select("pickup_h3")), "pickup_h3", "left_semi")
+    return trips.join(small_side(top_origins(trips, n, weight).select("pickup_h3"), n), "pickup_h3", "left_semi")
 
 
 # Breakdown name, key column.
@@ -233,14 +235,14 @@ BREAKDOWNS = {
 }
 
 
-def temporal_breakdowns(trips: DataFrame) -> DataFrame:
+def temporal_breakdowns(trips: DataFrame, weight: str | None = None) -> DataFrame:
     """Trips by hour, weekend, peak and season as (breakdown, key, trips); NULL keys left out.
 
     The trips are counted once per combination of the four keys; the grouping
     sets then run on those few rows.
     """
     keys = list(BREAKDOWNS.values())
-    combos = trips.groupBy(*keys).agg(_rows().alias("trips"))
+    combos = trips.groupBy(*keys).agg(_rows(weight).alias("trips"))
     sets = combos.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
         F.sum("trips").alias("trips"), *[F.grouping(k).alias(f"_off_{k}") for k in keys]
     )
@@ -254,16 +256,18 @@ def temporal_breakdowns(trips: DataFrame) -> DataFrame:
 def temporal_report(trips: DataFrame, top_n: int = 20, top_only: bool = False) -> DataFrame:
     """One nested row with the four breakdowns and the busiest pickup cells.
 
-    ``top_only`` restricts the breakdowns to trips from those cells.
+    ``top_only`` restricts the breakdowns to trips from those cells. The trips are
+    read once, into counts per cell and breakdown keys, from which all follows.
     """
-    rows = temporal_breakdowns(from_top_origins(trips, top_n) if top_only else trips)
+    counted = settle(trips.groupBy("pickup_h3", *BREAKDOWNS.values()).agg(_rows().alias("n")))
+    rows = temporal_breakdowns(from_top_origins(counted, top_n, "n") if top_only else counted, "n")
     lists = []
     for breakdown, key in BREAKDOWNS.items():
         typed = F.col("key") if key == "season" else F.col("key").cast("int")
         entry = F.when(F.col("breakdown") == breakdown, F.struct(typed.alias(key), "trips"))
         lists.append(F.sort_array(F.collect_list(entry)).alias(breakdown))
     # top_n rows at most
-    busiest = top_origins(trips, top_n).agg(
+    busiest = top_origins(counted, top_n, "n").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("trips")).alias("_order"), "pickup_h3"))).alias("cells")
     )
     cells = busiest.select(F.transform("cells", lambda c: c["pickup_h3"]))
