@@ -100,6 +100,11 @@ def test_sketch_distance_never_exceeds_the_difference():
         for segments in (1, 5, 8):
             x, y = pj.sketch([a, b], segments, 3)
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        wide = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype(np.uint64))
+        drawn = pj.Pyramid(pj.wide_sketches([a, b, wide]))
+        for i, j in ((0, 1), (0, 2), (2, 1), (2, 2)):
+            apart = len(np.setxor1d(*([a, b, wide][k] for k in (i, j))))
+            assert drawn.distances(np.array([i]), np.array([j]))[0] <= apart
 
 
 @pytest.mark.parametrize("rule", [pj.Rule(), pj.Rule(5, 80, 100), pj.Rule(3, 50, 100)])
@@ -114,8 +119,8 @@ def test_linked_sets_share_a_key_and_pass_the_bound(rule):
             if len(b) and rule.links(pj._common(a, b), len(a), len(b)):
                 keys, owners = pj.segment_keys([a, b], rule)
                 assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
-                x, y = pj.sketch([a, b], pj.SKETCH_WORDS, 0)
-                assert pj.may_link(rule, len(a), len(b), x, y)
+                drawn = pj.Pyramid(pj.wide_sketches([a, b]))
+                assert pj.may_link(rule, len(a), len(b), drawn.distances(np.array([0]), np.array([1])))[0]
 
 
 def test_connect(spark):

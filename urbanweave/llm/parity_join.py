@@ -29,12 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.common import ascii_space, keyed_texts
+from urbanweave.llm.common import ascii_space, keyed_texts, slices
 from urbanweave.runtime import settle, settle_counted, small_side
 
 BAND_RATIO = 1.5
-SKETCH_WORDS = 8
-BLOCK_CHARS = 24_000_000
+BLOCK_SHINGLES = 2_000_000
 PART = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -64,7 +63,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -111,7 +110,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def sketch(sets: list[np.ndarray], segments: int, seed: int) -> np.ndarray:
     """Parity sketches, one row of ``segments`` words per set: every element flips one bit."""
     out = np.zeros((len(sets), segments), _U)
-    step = max(1, 4_000_000 // (64 * segments))
+    step = max(1, 1_000_000 // (64 * segments))
     for at in range(0, len(sets), step):
         values, counts = _flat(sets[at : at + step])
         hashes = _mix(values + _U((seed * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
@@ -147,13 +146,64 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(spot, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def may_link(rule: Rule, size_a, size_b, sketch_a, sketch_b):
+def wide_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """One parity sketch per set, of 512 bits times a power of two, at least as many bits as elements."""
+    levels = np.array([max(0, (len(s) - 1).bit_length() - 9) if len(s) else 0 for s in sets], np.int64)
+    out: list[bytes] = [b""] * len(sets)
+    for level in np.unique(levels).tolist():
+        bits = 512 << level
+        chosen, step = np.flatnonzero(levels == level), max(1, 1_000_000 // bits)
+        for at in range(0, len(chosen), step):
+            part = chosen[at : at + step].tolist()
+            values, counts = _flat([sets[i] for i in part])
+            cell = (_mix(values + _U(1)) & _U(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(part)) * bits, counts)
+            flips = np.bincount(cell, minlength=len(part) * bits)
+            rows = np.packbits((flips & 1).astype(np.uint8), bitorder="little").reshape(len(part), bits // 8)
+            for i, row in zip(part, rows, strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+class Pyramid:
+    """Sketches of several widths; a wider one is folded by XOR to the width of the other."""
+
+    def __init__(self, drawn: list[bytes]):
+        self.level = np.array([(len(d) // 64).bit_length() - 1 for d in drawn], np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for level in range(int(self.level.max(initial=-1)), -1, -1):
+            words = 8 << level
+            members = np.flatnonzero(self.level >= level)
+            matrix = np.zeros((len(members), words), _U)
+            place = np.full(len(drawn), -1)
+            place[members] = np.arange(len(members))
+            own = np.flatnonzero(self.level == level)
+            if len(own):
+                matrix[place[own]] = np.frombuffer(b"".join([drawn[i] for i in own.tolist()]), "<u8").reshape(-1, words)
+            if level + 1 in self.rows:
+                wider = self.rows[level + 1]
+                matrix[place[np.flatnonzero(self.level > level)]] = wider[:, :words] ^ wider[:, words:]
+            self.rows[level], self.place[level] = matrix, place
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hamming distances of the pairs (a, b): never more than the elements in which the sets differ."""
+        out = np.zeros(len(b), np.int64)
+        common = np.minimum(self.level[a], self.level[b])
+        for level in np.unique(common).tolist():
+            here = np.flatnonzero(common == level)
+            for at in range(0, len(here), max(1, 100_000 >> level)):
+                part = here[at : at + max(1, 100_000 >> level)]
+                x, y = (self.rows[level][self.place[level][i[part]]] for i in (a, b))
+                out[part] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
+def may_link(rule: Rule, size_a, size_b, distance):
     """Whether sizes and the Hamming bound leave a link possible."""
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     # |A ^ B| = a + b - 2 * inter, and a link needs inter >= share * (a + b) / (whole + share).
     most = size_a + size_b - 2 * (-(-rule.share * (size_a + size_b) // (rule.whole + rule.share)))
-    near = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1) <= most
-    return (rule.whole * small >= rule.share * large) & near
+    return (rule.whole * small >= rule.share * large) & (distance <= most)
 
 
 class _Forest:
@@ -187,12 +237,12 @@ def _groups(keys: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
 
 def link_block(sets: list[np.ndarray], groups: list[np.ndarray], rule: Rule, forest: _Forest) -> None:
     """Join in ``forest`` all sets of a group that are linked, directly or by others of it."""
-    wide = sketch(sets, SKETCH_WORDS, 0)
+    wide = Pyramid(wide_sketches(sets))
     sizes = np.array([len(s) for s in sets], np.int64)
     tried: set[tuple[int, int]] = set()
 
     def against(one: int, others: np.ndarray) -> None:
-        possible = others[may_link(rule, sizes[one], sizes[others], wide[one], wide[others])]
+        possible = others[may_link(rule, sizes[one], sizes[others], wide.distances(np.full(len(others), one), others))]
         for other in possible.tolist():
             pair = (min(one, other), max(one, other))
             if pair not in tried and forest.root(one) != forest.root(other):
@@ -220,12 +270,15 @@ def _bytes(values, kind="<i8") -> bytes:
 
 def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) -> Iterator[tuple]:
     """What a block tells: its documents with their local groups, one key row per bucket, and the further members of keys."""
-    sets = [shingles(text, rule.words) for _, text, _ in rows]
+    sets = [found for _, found, _ in rows]
     forest = _Forest(len(rows))
     first: dict[bytes, int] = {}
     for i, s in enumerate(sets):  # equal sets are linked without a comparison
         if len(s):
             forest.join(first.setdefault(s.tobytes(), i), i)
+    marks = np.zeros((2, len(rows)), np.int64)  # 128 bits of the set, for the first document of each
+    for data, i in first.items():
+        marks[:, i] = np.frombuffer(xxhash.xxh128_digest(data), "<i8")
     kept = np.array(sorted(first.values()), np.int64)
     distinct = [sets[i] for i in kept.tolist()]
     keys, owners = segment_keys(distinct, rule)
@@ -241,8 +294,8 @@ def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) ->
     plain = np.array([0 if i is None else i for i in ids], np.int64)
     node = np.arange(len(rows)) + base
     texts = np.array([r[2] for r in rows], np.int64)
-    columns = (node, plain, nulls, [len(s) for s in sets], roots + base, texts)
-    yield _NODES, 0, block, _bytes(np.stack([np.asarray(c, np.int64) for c in columns])), _bytes(sketch(sets, SKETCH_WORDS, 0), "<u8")
+    columns = (node, plain, nulls, [len(s) for s in sets], roots + base, texts, *marks)
+    yield _NODES, 0, block, _bytes(np.stack([np.asarray(c, np.int64) for c in columns])), b"".join(wide_sketches(sets))
 
     owners = kept[owners]
     order = np.lexsort((owners, keys))
@@ -277,11 +330,11 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             names = ["kind", "bucket", "block", "longs", "more"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append(row)
-                size += len(row[1] or "")
-                if size >= BLOCK_CHARS:
+        for batch in (part for whole in batches for part in slices(whole)):
+            for key, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((key, shingles(text, rule.words), text_id))
+                size += len(rows[-1][1])
+                if size >= BLOCK_SHINGLES:
                     yield describe()
                     rows, size, seen = [], 0, seen + 1
         if rows:
@@ -291,23 +344,31 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
 
 
 def _nodes(blocks: DataFrame) -> DataFrame:
-    schema = "node long, doc_id long, n_shingles long, root long, text_id long, sketch binary"
+    schema = "node long, doc_id long, n_shingles long, root long, text_id long, mark_a long, mark_b long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for held, drawn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                node, ids, nulls, sizes, roots, texts = np.frombuffer(held, "<i8").reshape(6, -1)
-                width = SKETCH_WORDS * 8
-                sketches = [drawn[i : i + width] for i in range(0, len(drawn), width)]
-                kinds = [node, pa.array(ids, mask=nulls.astype(bool)), sizes, roots, texts]
+                node, ids, nulls, sizes, roots, texts, *marks = np.frombuffer(held, "<i8").reshape(8, -1)
+                widths = [64 << (max(0, (n - 1).bit_length() - 9) if n else 0) for n in sizes.tolist()]
+                ends = np.cumsum(widths).tolist()
+                sketches = [drawn[e - w : e] for e, w in zip(ends, widths, strict=True)]
+                kinds = [node, pa.array(ids, mask=nulls.astype(bool)), sizes, roots, texts, *marks]
                 yield pa.RecordBatch.from_arrays(
                     [*(c if isinstance(c, pa.Array) else pa.array(c) for c in kinds), pa.array(sketches, pa.binary())],
-                    names=["node", "doc_id", "n_shingles", "root", "text_id", "sketch"],
+                    names=["node", "doc_id", "n_shingles", "root", "text_id", "mark_a", "mark_b", "sketch"],
                 )
 
     return blocks.where(F.col("kind") == _NODES).select("longs", "more").mapInArrow(run, schema)
 
 
+def _twins(nodes: DataFrame) -> DataFrame:
+    """(node, twin): the first documents of equal sets in other blocks, with the first one of all."""
+    firsts = nodes.where("mark_a <> 0 or mark_b <> 0").select("node", "n_shingles", "mark_a", "mark_b")
+    keys = ["n_shingles", "mark_a", "mark_b"]
+    return firsts.join(firsts.groupBy(*keys).agg(F.min("node").alias("twin")), keys).where("node <> twin").select("node", "twin")
+
+
 def _stars(blocks: DataFrame) -> DataFrame:
     """Per key found in several blocks: its representatives against the first of them, and whether a block is open."""
     schema = "key long, a long, b long, mixed boolean"
@@ -344,22 +405,28 @@ def _members(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("kind") == _MEMBERS).select("longs", "more").mapInArrow(run, "key long, node long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, judged on the sets of both texts."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, shingles) of the asked nodes, made once from the texts and written."""
     wanted, rows = settle_counted(nodes.join(asked, "node").select("node", F.col("doc_id").alias("of"), "text_id"))
     # The ids are broadcast only when counted few; else texts and ids meet by a shuffle.
     found = texts.join(small_side(wanted, rows), F.col("doc_id").eqNullSafe(F.col("of")) & (texts.text_id == wanted.text_id))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [_bytes(shingles(t, rule.words), "<u8") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    # A repeated row of a document gives its set again; either will do.
-    sets = settle(found.select("node", "text").mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    sets = found.select("node", "text").mapInArrow(cut, "node long, shingles binary")
+    if nodes.groupBy("doc_id", "text_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node"])  # a repeated row gives its set again; either will do
+    return settle(sets)
+
+
+def _judged(pairs: DataFrame, rows: int, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``. The set of ``b`` travels to ``a``; a hot ``a`` is a skewed join key, which Spark splits."""
+    right = sets.join(small_side(pairs, rows), F.col("node") == F.col("b")).select("a", "b", F.col("shingles").alias("set_b"))
+    firsts = small_side(pairs.select(F.col("a").alias("node")).distinct(), rows)
+    left = sets.join(firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,10 +436,37 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule)
                 verdicts.append(bool(rule.links(_common(a, b), len(a), len(b))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], names=["a", "b", "linked"])
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+    both = right.join(left, "a").select("a", "b", "set_a", "set_b")
     return settle(both.mapInArrow(judge, "a long, b long, linked boolean"))
 
 
+def _grow(pairs: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Judge ``pairs`` until each is linked, not linked, or within one group; returns links, groups and the pairs not linked.
+
+    Only pairs whose ends still lie in different groups are judged: in the first
+    round one per document, then four times as many as before, so that most pairs
+    of a large group are never needed and the rounds stay few.
+    """
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, rule)
+    roots = nodes.select(F.col("node").alias("at"), "root")
+    groups, missed, width = settle(connect(links)), [], 1
+    while True:
+        known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
+        apart = pairs.join(known.withColumnsRenamed({"node": "a", "group": "group_a"}), "a").join(known.withColumnsRenamed({"node": "b", "group": "group_b"}), "b")
+        apart, rows = settle_counted(apart.where("group_a <> group_b").select("a", "b"))
+        if not rows:
+            return links, groups, missed
+        per = apart.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("others"))
+        lead, rows = settle_counted(per.select(F.explode(F.slice("others", 1, width)).alias("a"), "b"))
+        judged = _judged(lead, rows, sets, rule)
+        missed.append(judged.where("not linked").select("a", "b"))
+        ends = judged.where("linked").join(roots.withColumnsRenamed({"at": "a", "root": "root_a"}), "a")
+        ends = ends.join(roots.withColumnsRenamed({"at": "b", "root": "root_b"}), "b")
+        links = links.unionByName(settle(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
+        groups = settle(connect(links))
+        pairs, width = apart.join(lead, ["a", "b"], "left_anti"), min(width * 4, 1 << 30)
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` that sizes and the Hamming bound of the sketches leave possible."""
     for side in "ab":
@@ -380,10 +474,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         pairs = pairs.join(of, side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
             a, b, n_a, n_b = (batch.column(n).to_numpy() for n in ("a", "b", "n_a", "n_b"))
-            s_a, s_b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS) for n in ("s_a", "s_b"))
-            near = may_link(rule, n_a, n_b, s_a, s_b)
+            drawn = Pyramid(batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist())
+            at = np.arange(len(a))
+            near = may_link(rule, n_a, n_b, drawn.distances(at, at + len(a)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
 
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, near boolean")
@@ -396,12 +491,23 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     meet in a task of their own, where the Hamming bound stands in front of any
     output.
     """
-    ends = stars.select("key", F.explode(F.array("a", "b")).alias("node"))
-    rows = ends.unionByName(members).join(open_keys, "key", "left_semi").distinct()
-    known = nodes.join(groups, nodes.root == groups.at, "left").select("node", "n_shingles", "sketch", F.coalesce("group", "root").alias("group"))
-    placed, _ = settle_counted(rows.join(known, "node"))
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    parts = sizes.select("key", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
+    # Every document of a key once: the first representative, the others, and the further members of blocks.
+    ours = stars.join(open_keys, "key", "left_semi")
+    first = ours.groupBy("key").agg(F.min("a").alias("node"))
+    rows = first.unionByName(ours.select("key", F.col("b").alias("node"))).unionByName(members.join(open_keys, "key", "left_semi"))
+    known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
+    known, count = settle_counted(known)
+    placed = settle(rows.join(small_side(known, count), "node"))
+    sizes = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("group").alias("low"),
+        F.max("group").alias("high"),
+        *[F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)")).alias(f"same{seed}") for seed in (1, 2)],
+    )
+    # Keys with the same documents ask the same question, so one of them is enough.
+    sizes = sizes.where("low < high").groupBy("n", "same1", "same2").agg(F.min("key").alias("key"))
+    parts = settle(sizes.select("key", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts")))
+    placed = placed.join(parts.select("key"), "key", "left_semi").join(nodes.select("node", "n_shingles", "sketch"), "node")
     dealt = placed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # Part p meets part q in (p, q): each row goes to all meetings of its part.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -412,13 +518,13 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     def meet(table: pa.Table) -> pa.Table:
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         part, node, size, group = (table[c].to_numpy() for c in ("part", "node", "n_shingles", "group"))
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        drawn = Pyramid(table["sketch"].to_pylist())
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
         a, b = [], []
         for one in left.tolist():
             others = right[(node[right] > node[one]) if p == q else slice(None)]
             others = others[group[others] != group[one]]
-            near = others[may_link(rule, size[one], size[others], sketches[one], sketches[others])]
+            near = others[may_link(rule, size[one], size[others], drawn.distances(np.full(len(others), one), others))]
             a.append(np.full(len(near), node[one]))
             b.append(node[near])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -467,24 +573,35 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
     blocks = settle(_blocks(texts, rule, buckets))
-    nodes = _nodes(blocks)
+    nodes = settle(_nodes(blocks))
     stars = settle(_stars(blocks))
-    pairs = settle(_possible(stars.select("a", "b").distinct(), nodes, rule))
-    judged = _verified(pairs.where("near").select("a", "b"), nodes, texts, rule)
-    roots = nodes.select(F.col("node").alias("at"), "root")
-
-    def by_root(found: DataFrame) -> DataFrame:
-        ends = found.where("linked").join(roots.withColumnsRenamed({"at": "a", "root": "root_a"}), "a")
-        return ends.join(roots.withColumnsRenamed({"at": "b", "root": "root_b"}), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-
-    links = settle(by_root(judged))
-    groups = settle(connect(links))
-    failed = pairs.where("not near").select("a", "b").unionByName(judged.where("not linked").select("a", "b"))
-    open_keys = stars.join(failed, ["a", "b"], "left_semi").select("key").unionByName(stars.where("mixed").select("key")).distinct()
-    rest = _open_pairs(open_keys, stars, _members(blocks), nodes, groups, rule)
-    rest, more = settle_counted(rest.join(pairs, ["a", "b"], "left_anti"))
+    twins = settle(_twins(nodes))
+    # Copies in other blocks are stood for by the first of them, so each pair of texts is judged once.
+    met = stars.select("a", "b").distinct()
+    for side in "ab":
+        met = met.join(twins.withColumnsRenamed({"node": side, "twin": f"twin_{side}"}), side, "left")
+        met = met.withColumn(f"twin_{side}", F.coalesce(f"twin_{side}", side))
+    met = settle(met.where("twin_a <> twin_b"))
+    pairs = met.select(F.least("twin_a", "twin_b").alias("a"), F.greatest("twin_a", "twin_b").alias("b")).distinct()
+    pairs = settle(_possible(pairs, nodes, rule))
+    near = pairs.where("near").select("a", "b")
+    roots = nodes.select("node", "root")
+    copies = twins.join(roots, "node").select("twin", F.col("root").alias("b"))
+    links = settle(copies.join(roots.withColumnsRenamed({"node": "twin", "root": "a"}), "twin").select("a", "b"))
+    links, groups, missed = _grow(near, links, nodes, texts, rule)
+
+    failed = pairs.where("not near").select("a", "b")
+    for part in missed:
+        failed = failed.unionByName(part)
+    failed = failed.select(F.col("a").alias("low"), F.col("b").alias("high"))
+    between = (F.least("twin_a", "twin_b") == F.col("low")) & (F.greatest("twin_a", "twin_b") == F.col("high"))
+    open_pairs, rows = settle_counted(met.join(failed, between, "left_semi").select("a", "b"))
+    asked = stars.join(small_side(open_pairs, rows), ["a", "b"], "left_semi").select("key")
+    open_keys, rows = settle_counted(asked.unionByName(stars.where("mixed").select("key")).distinct())
+    rest = _open_pairs(small_side(open_keys, rows), stars, _members(blocks), nodes, groups, rule)
+    rest, more = settle_counted(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if more:
-        groups = settle(connect(links.unionByName(by_root(_verified(rest, nodes, texts, rule)))))
+        _, groups, _ = _grow(rest, links, nodes, texts, rule)
 
     grouped = nodes.join(groups, nodes.root == groups.at, "left").select("node", "doc_id", "text_id", "n_shingles", F.coalesce("group", "root").alias("group"))
     # Rows of a block meet there first, so a group of any size has one row per block to join.
