@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,23 +68,19 @@ class _Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
+def shingles(text: str | None, words: int, known: _Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles: the lower-cased words' runs of ``words``, or the one shorter run."""
     tokens = ascii_space(text).translate(_LOWER).split()
     if not tokens:
         return np.zeros(0, _U)
-    hashes = np.array(list(map(_words().__getitem__, tokens)), _U)
+    known = _Words() if known is None else known
+    hashes = np.array(list(map(known.__getitem__, tokens)), _U)
     size = min(words, len(tokens))
     run = np.full(len(tokens) - size + 1, size, _U)
     for i in range(size):
@@ -321,7 +316,7 @@ def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) ->
 
 def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), 0
+        task, seen, known = TaskContext.get().partitionId(), 0, _Words()
         rows, size = [], 0
 
         def describe():
@@ -332,7 +327,7 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
 
         for batch in (part for whole in batches for part in slices(whole)):
             for key, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((key, shingles(text, rule.words), text_id))
+                rows.append((key, shingles(text, rule.words, known), text_id))
                 size += len(rows[-1][1])
                 if size >= BLOCK_SHINGLES:
                     yield describe()
@@ -412,8 +407,9 @@ def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> D
     found = texts.join(small_side(wanted, rows), F.col("doc_id").eqNullSafe(F.col("of")) & (texts.text_id == wanted.text_id))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in (part for whole in batches for part in slices(whole)):
-            sets = [_bytes(shingles(t, rule.words), "<u8") for t in batch.column(1).to_pylist()]
+            sets = [_bytes(shingles(t, rule.words, known), "<u8") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     sets = found.select("node", "text").mapInArrow(cut, "node long, shingles binary")
@@ -484,12 +480,12 @@ def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, near boolean")
 
 
-def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, nodes: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, nodes: DataFrame, groups: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """Pairs (a, b) of the open keys that lie in different groups so far and may link, each once.
 
-    The documents of a key are dealt into parts of about ``PART``; each two parts
-    meet in a task of their own, where the Hamming bound stands in front of any
-    output.
+    The documents of a key are dealt into parts of about ``PART``, and each two
+    parts meet. The meetings are dealt over ``buckets``; in each, the Hamming bound
+    stands in front of any output.
     """
     # Every document of a key once: the first representative, the others, and the further members of blocks.
     ours = stars.join(open_keys, "key", "left_semi")
@@ -516,21 +512,47 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     )
 
     def meet(table: pa.Table) -> pa.Table:
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        part, node, size, group = (table[c].to_numpy() for c in ("part", "node", "n_shingles", "group"))
-        drawn = Pyramid(table["sketch"].to_pylist())
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        a, b = [], []
-        for one in left.tolist():
-            others = right[(node[right] > node[one]) if p == q else slice(None)]
-            others = others[group[others] != group[one]]
-            near = others[may_link(rule, size[one], size[others], drawn.distances(np.full(len(others), one), others))]
-            a.append(np.full(len(near), node[one]))
-            b.append(node[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return sent.groupBy("key", "p", "q").applyInArrow(meet, "a long, b long").distinct()
+        key, p, q, part, node = (table[c].to_numpy() for c in ("key", "p", "q", "part", "node"))
+        nodes, first, index = np.unique(node, return_index=True, return_inverse=True)
+        size, group = (table[c].to_numpy()[first] for c in ("n_shingles", "group"))
+        drawn = Pyramid(table["sketch"].take(pa.array(first)).to_pylist())
+        order = np.lexsort((node, q, p, key))
+        key, p, q, part, index = key[order], p[order], q[order], part[order], index[order]
+        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        found, pending, count = [], [], 0
+        half: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def judge():
+            a, b = (np.concatenate(x) for x in zip(*pending, strict=True))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            apart = np.unique((a * len(nodes) + b)[group[a] != group[b]])  # each pair once, however many keys it shares
+            a, b = apart // len(nodes), apart % len(nodes)
+            near = may_link(rule, size[a], size[b], drawn.distances(a, b))
+            found.append((nodes[a[near]], nodes[b[near]]))
+
+        for head, end in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
+            members = index[head:end]
+            if p[head] == q[head]:
+                if len(members) not in half:
+                    half[len(members)] = np.triu_indices(len(members), 1)
+                i, j = half[len(members)]
+                a, b = members[i], members[j]
+            else:
+                left, right = members[part[head:end] == p[head]], members[part[head:end] == q[head]]
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+            pending.append((a, b))
+            count += len(a)
+            if count > 1_000_000:
+                judge()
+                pending, count = [], 0
+                half.clear()
+        if pending:
+            judge()
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    meetings = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "p", "q"), F.lit(buckets)))
+    return meetings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -598,7 +620,7 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     open_pairs, rows = settle_counted(met.join(failed, between, "left_semi").select("a", "b"))
     asked = stars.join(small_side(open_pairs, rows), ["a", "b"], "left_semi").select("key")
     open_keys, rows = settle_counted(asked.unionByName(stars.where("mixed").select("key")).distinct())
-    rest = _open_pairs(small_side(open_keys, rows), stars, _members(blocks), nodes, groups, rule)
+    rest = _open_pairs(small_side(open_keys, rows), stars, _members(blocks), nodes, groups, rule, buckets)
     rest, more = settle_counted(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if more:
         _, groups, _ = _grow(rest, links, nodes, texts, rule)
