@@ -31,7 +31,7 @@ from urbanweave.llm.common import keyed_texts, slices
 
 OFFSET = 10.0
 SPACE = "▁"
-_MOST_EDGES = 3_000_000
+_MOST_EDGES = 2_000_000
 _PART_CHARS = 500_000
 
 
