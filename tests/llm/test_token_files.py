@@ -94,3 +94,15 @@ def test_query_over_the_whole_table(spark, reference):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted(map(tuple, QUERIES["op10_token_files"](spark, sf).collect()), key=lambda r: r[1])
     assert found == expected(rows, reference)
+
+
+def test_added_tokens_get_the_ids_of_a_plain_call(spark):
+    plain = Tokenizer.from_file(PATH)
+    ids = lambda text: [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext|><|endoftext|> 's", "<|endoftext |>", "  <|endoftext|>\n", "plain words it's"]
+    assert any(50256 in ids(text) for text in texts)
+    encoder = tf.Encoder(PATH, 2, added_as_text=False)
+    for _ in range(2):
+        assert [np.frombuffer(c, "<u4").tolist() for c in encoder.encode_all(texts)] == [ids(t) for t in texts]
+    rows = [(i, text) for i, text in enumerate(texts)]
+    assert read(tf.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2)) == expected(rows, ids)

@@ -59,20 +59,25 @@ class Encoder:
     Parts are remembered (with the space before them) in two generations of at most
     ``most_parts`` or so: when the younger is full it becomes the older, and parts
     in use move back. Tokenizers of another kind encode every text as a whole.
+    ``added_as_text`` reads the strings of special tokens as ordinary text; without
+    it they give their own ids, as in a plain call of the library, and a text that
+    holds the content of an added token is encoded as a whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_parts: int = 700_000):
+    def __init__(self, path: str, end_id: int, most_parts: int = 700_000, added_as_text: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = added_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (added_as_text and t.special)]
         self.end = np.array([end_id], "<u4").tobytes()
         self.parts, self.older = _Parts(), {}
         self.most = most_parts
         kind = self.tokenizer.pre_tokenizer
         self.by_part = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
+        self.by_part = self.by_part and not any(" " in content for content in self.added)  # parts put together could spell one
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -81,6 +86,10 @@ class Encoder:
         coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return array(_UINT32, coded[0].ids).tobytes()
 
+    def _apart(self, text: str) -> bool:
+        """Whether the parts between spaces can be encoded one by one."""
+        return self.by_part and not _RUN.search(text) and not any(content in text for content in self.added)
+
     def _learn(self, parts: list[str]) -> None:
         """Encode new parts as one text; the ids that begin with a space are the first ones of the parts."""
         if not parts:
@@ -95,7 +104,7 @@ class Encoder:
         if len(self.parts) > self.most:
             self.older, self.parts = self.parts, _Parts()
         known = self.parts
-        cut = [t.split(" ") if t and self.by_part and not _RUN.search(t) else None for t in texts]
+        cut = [t.split(" ") if t and self._apart(t) else None for t in texts]
         found = [None if c is None else list(map(known.__getitem__, c[1:])) for c in cut]
         missing, known.missing = known.missing, set()
         kept = {p for p in missing if p in self.older}
@@ -125,7 +134,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def _encoder(path: str, end_id: int) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, added_as_text=False)
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -247,8 +256,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     Manifest rows: shard, path, n_docs, n_ids, low, high (keys of the shard) and
     start, the ids in all shards before it. A null or empty text is just the end
-    id. Null doc_ids come first; equal doc_ids are told apart by their order
-    (equal ones by text). doc_id must be an integer. An empty table gives no
+    id; the string of an added token gets its id, as in a plain call of the library.
+    Null doc_ids come first; equal doc_ids are told apart by their order (equal
+    ones by text). doc_id must be an integer. An empty table gives no
     shard. ``folder`` must be one that all executors share; unset, it is a new
     folder below the shared one of the session. A task streams its shard: it holds
     one batch of texts and the ids of the shard, never all documents.
