@@ -57,6 +57,17 @@ def test_hundreds_of_rules():
         assert f" {rule.keyword} " in rule.pattern and f"(?: {rule.keyword} " not in rule.pattern
 
 
+def labels_of(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    found = {r.doc_id: (r.labels, r.score) for r in li.with_digest(li.detect(cases.table(spark, rows))).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_capital_k_is_a_letter_and_the_kelvin_sign_is_none(spark):
+    texts = ["BERKELEY SOFTWARE DISTRIBUTION LICENSE", "CREATIVE COMMONS ATTRIBUTION SHAREALIKE 4.0", "Ber\u212aeley Software Distribution License"]
+    assert labels_of(spark, texts) == [("bsd", 0.25), ("cc-by-sa-4.0", 0.5), ("", 0.0)]
+
+
 def test_empty_table(spark):
     assert li.with_digest(li.detect(cases.none(spark))).count() == 0
 

@@ -146,7 +146,7 @@ def normalised(text: Column) -> Column:
     Only A-Z are to be lower-cased. Lower-casing everything keeps every other word a
     word and no ASCII one, save for the two letters whose lower case is ASCII.
     """
-    lowered = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
+    lowered = F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("é")), F.lit("İ"), F.lit("é")))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, "  ")), F.lit(" "))
 
 
