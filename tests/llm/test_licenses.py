@@ -68,6 +68,47 @@ def test_capital_k_is_a_letter_and_the_kelvin_sign_is_none(spark):
     assert labels_of(spark, texts) == [("bsd", 0.25), ("cc-by-sa-4.0", 0.5), ("", 0.0)]
 
 
+BODIES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated": "mit",
+    'granted to deal with the Software without restriction': "ncsa",
+    "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software": "bsl-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that": "isc",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS": "0bsd",
+    "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that": "bsd",
+    "Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement:": "bsd-4-clause",
+    "The origin of this software must not be misrepresented; you must not": "zlib",
+    "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "apache-2.0",
+    "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or": "gpl,gpl-2.0",
+    "GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License": "gpl,lgpl-2.1",
+    "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License": "agpl-3.0,gpl",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to this work": "cc0-1.0",
+}
+GLUED = {
+    "Licensed under GPLv3": "gpl-3.0", "under LGPLv2.1 or later": "lgpl-2.1", "(GPLv2+)": "gpl-2.0", "AGPLv3": "agpl-3.0", "Released under the LGPLv3.": "lgpl-3.0",
+    "xgplv3 gplv33": "", "apache2": "apache-2.0",
+}
+FIELDS = {
+    '{"license": "MIT", "main": "x"}': "mit", '"license": "MIT"': "mit", "License: MIT": "mit", "license = 'GPL-3.0-only'": "gpl-3.0", "License: GPL-3": "gpl-3.0",
+    "license: Apache-2.0\nname: x": "apache-2.0", "license: BSD-3-Clause": "bsd-3-clause", "License: BSD": "bsd", "license: CC0-1.0": "cc0-1.0", '"license": "ISC"': "isc",
+    "licenses mit": "", "license mit licenses": "", "license: Linux": "", "License: MIT\nlanguage: en": "mit", "sublicense mit x": "",
+}
+
+
+def test_bodies_glued_versions_and_fields(spark):
+    for cases_of in (BODIES, GLUED, FIELDS):
+        assert dict(zip(cases_of, [found[0] for found in labels_of(spark, list(cases_of))], strict=True)) == cases_of
+
+
+def test_every_handwritten_rule_finds_its_own_words(spark):
+    texts = [(label, sentence.replace("?", "").replace(" N ", " jo doe ")) for label, _, sentence, _ in li.SENTENCES]
+    texts += [(label, name) for label, names in li.GLUED.items() for name in names] + [(label, f"license: {name}") for label, names in li.FIELDS.items() for name in names]
+    for (label, text), (labels, _) in zip(texts, labels_of(spark, [text for _, text in texts]), strict=True):
+        assert label in labels.split(","), (label, text, labels)
+
+
 def test_empty_table(spark):
     assert li.with_digest(li.detect(cases.none(spark))).count() == 0
 

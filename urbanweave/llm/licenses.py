@@ -3,7 +3,8 @@
 A text is normalised to its lower-cased words, each with a space on either side
 (`` mit  license ``). Hundreds of signatures (families and versions by phrase
 templates) match whole words there. A rule is tried only where its keyword
-occurs; of overlapping detections, one that lies inside another of the same or a
+occurs. Sentences of licence texts and notices, glued versions (``gplv3``) and
+``license: NAME`` fields are hand-written rules beside them. Of overlapping detections, one that lies inside another of the same or a
 higher priority is suppressed.
 """
 
@@ -84,6 +85,71 @@ FAMILIES = [
     ("cc-by-nd", "creative", ["creative commons attribution no ?derivatives"], ["2.0", "2.5", "3.0", "4.0"]),
 ]
 
+# Sentences of licence texts and notices: label, keyword, words ("?" as above; "N" is up
+# to twelve words), priority. A sentence that two licences share has the label of the more general one, at a
+# lower priority than the sentence that tells them apart.
+SENTENCES = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of", 2),
+    ("ncsa", "deal", "to deal with the software without restriction", 3),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising", 3),
+    ("bsl-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 3),
+    ("isc", "fee", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted provided", 3),
+    ("0bsd", "fee", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted the software", 3),
+    ("hpnd", "fee", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", 3),
+    ("hpnd", "sell", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 3),
+    ("postgresql", "fee", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 3),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 2),
+    ("bsd-3-clause", "endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software", 3),
+    ("bsd-3-clause", "endorse", "the name of the author may not be used to endorse or promote products derived from this software", 3),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following", 3),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 3),
+    ("zlib", "held", "in no event will the authors be held liable for any damages arising from the use of this software", 2),
+    ("apache", "required", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 2),
+    ("apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution", 3),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0", 3),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 3),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 3),
+    ("gpl-2.0", "general", "gnu general public license as published by the free software foundation either? version 2", 3),
+    ("gpl-3.0", "general", "gnu general public license as published by the free software foundation either? version 3", 3),
+    ("lgpl-2.0", "general", "gnu library general public license as published by the free software foundation either? version 2", 3),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license as published by the free software foundation either? version 2 1", 3),
+    ("lgpl-3.0", "lesser", "gnu lesser general public license as published by the free software foundation either? version 3", 3),
+    ("agpl-3.0", "affero", "gnu affero general public license as published by the free software foundation either? version 3", 3),
+    ("gpl", "redistribute", "you can redistribute it and or? modify it under the terms of the gnu general public license", 2),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 3),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 3),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v 1 0", 3),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license v 2 0", 3),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 3),
+    ("wtfpl", "fuck", "you just do what the fuck you want to", 3),
+    ("cc0-1.0", "waived", "to the extent possible under law N has waived all copyright and related or neighboring rights", 3),
+    ("cc0", "neighboring", "waived all copyright and related or neighboring rights", 2),
+    ("php-3.01", "php", "this source file is subject to version 3 01 of the php license", 3),
+]
+
+# Names glued to their version, by label; further words of the name after a space.
+GLUED = {
+    "gpl-1.0": ["gplv1", "gpl1"], "gpl-2.0": ["gplv2", "gpl2"], "gpl-3.0": ["gplv3", "gpl3"],
+    "lgpl-2.0": ["lgplv2", "lgpl2"], "lgpl-2.1": ["lgplv2 1", "lgpl2 1", "lgplv21", "lgpl21"], "lgpl-3.0": ["lgplv3", "lgpl3"],
+    "agpl-1.0": ["agplv1"], "agpl-3.0": ["agplv3", "agpl3"],
+    "apache-2.0": ["apachev2", "apache2", "asl2", "aslv2"], "mpl-1.1": ["mplv1 1", "mpl1 1"], "mpl-2.0": ["mplv2", "mpl2"],
+    "epl-1.0": ["eplv1"], "epl-2.0": ["eplv2"], "eupl-1.2": ["euplv1 2"], "cddl-1.0": ["cddlv1"],
+    "bsd-2-clause": ["bsd2"], "bsd-3-clause": ["bsd3"], "0bsd": ["0bsd"],
+}
+
+# Names in "license: NAME" fields, by label. Names that are common words are left out.
+FIELDS = {
+    "mit": ["mit", "expat"], "isc": ["isc"], "0bsd": ["0bsd"], "bsd": ["bsd"], "bsd-2-clause": ["bsd 2 clause"], "bsd-3-clause": ["bsd 3 clause"],
+    "bsd-4-clause": ["bsd 4 clause"], "apache": ["apache", "asl"], "apache-1.1": ["apache 1 1"], "apache-2.0": ["apache 2", "apache 2 0", "asl 2 0"],
+    "gpl": ["gpl"], "gpl-1.0": ["gpl 1", "gpl 1 0"], "gpl-2.0": ["gpl 2", "gpl 2 0"], "gpl-3.0": ["gpl 3", "gpl 3 0"],
+    "lgpl": ["lgpl"], "lgpl-2.0": ["lgpl 2 0"], "lgpl-2.1": ["lgpl 2 1"], "lgpl-3.0": ["lgpl 3", "lgpl 3 0"],
+    "agpl": ["agpl"], "agpl-3.0": ["agpl 3", "agpl 3 0"], "mpl": ["mpl"], "mpl-1.1": ["mpl 1 1"], "mpl-2.0": ["mpl 2 0"],
+    "epl-1.0": ["epl 1 0"], "epl-2.0": ["epl 2 0"], "eupl-1.2": ["eupl 1 2"], "cddl-1.0": ["cddl 1 0"], "bsl-1.0": ["bsl 1 0"],
+    "cc0": ["cc0"], "cc0-1.0": ["cc0 1 0"], "cc-by-4.0": ["cc by 4 0"], "cc-by-sa-4.0": ["cc by sa 4 0"], "cc-by-nc-4.0": ["cc by nc 4 0"],
+    "ofl-1.1": ["ofl 1 1"], "artistic-2.0": ["artistic 2 0"], "zlib": ["zlib"], "unlicense": ["unlicense"], "wtfpl": ["wtfpl"],
+    "postgresql": ["postgresql"], "python-2.0": ["psf 2 0", "python 2 0"], "ms-pl": ["ms pl"], "upl-1.0": ["upl 1 0"], "ncsa": ["ncsa"],
+}
+
 # Templates with their priority; {} is the name.
 GRANT, NAMED, TAG, BARE = 3, 2, 4, 1
 PRIORITIES = 4
@@ -97,6 +163,8 @@ def words(phrase: str) -> str:
             out = out.removesuffix(" ") + f"(?:  )?{token[1:]} "
         elif token.endswith("?"):
             out += f"(?: {token[:-1]} )?"
+        elif token == "N":
+            out += "(?: [^ ]+ ){1,12}"
         else:
             out += f" {token} "
     return out
@@ -111,7 +179,7 @@ class Signature:
 
 
 def signatures() -> list[Signature]:
-    """The rules: every name of a family, plain and by version, in every template."""
+    """The rules: every name of a family, plain and by version, in every template, and the hand-written ones."""
     rules = []
     lead = f"(?:{'|'.join(words(w) for w in ('licensed', 'released', 'distributed', 'available', 'published', 'provided'))})"
     under = f"{lead}{words('under')}{words('the?')}(?:{words('terms of the?')})?{words('the?')}"
@@ -133,6 +201,17 @@ def signatures() -> list[Signature]:
                 rules.append(Signature(f"{label}-{version}", keyword, f"{under}{named}{licence}?(?: version )?{number}", GRANT))
                 rules.append(Signature(f"{label}-{version}", keyword, f"{named}{licence}?(?: version )?{number}", NAMED))
                 rules.append(Signature(f"{label}-{version}", keyword, f"{tag}{named}{number}", TAG))
+    rules += [Signature(label, keyword, words(sentence), priority) for label, keyword, sentence, priority in SENTENCES]
+    for label, names in GLUED.items():
+        for name in names:
+            rules.append(Signature(label, name.split()[0], f"{under}{words(name)}", GRANT))
+            rules.append(Signature(label, name.split()[0], words(name), NAMED))
+    # A field ends the text or has a word behind it, not again "license": normalised words have no colon,
+    # and "license mit license" names the licence behind it. The word is part of the match.
+    behind = "(?:$| (?:[^l ][^ ]*|l|l[^i ][^ ]*|li|li[^c ][^ ]*|lic|lic[^e ][^ ]*|lice|lice[^n ][^ ]*) )"
+    for label, names in FIELDS.items():
+        for name in names:
+            rules.append(Signature(label, max(name.split(), key=len), f"{licence}{words(name)}{behind}", GRANT if any(map(str.isdigit, name)) else NAMED))
     return rules
 
 
