@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -77,6 +79,34 @@ def test_redaction(spark):
     assert not any(brute(t.text)[1]["hex"] + brute(t.text)[1]["access"] for t in texts.values())
 
 
+def test_no_byte_of_a_private_key_is_left(spark):
+    body = base64.b64encode(random.Random(3).randbytes(1190)).decode().rstrip("=")
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n"
+    texts = {
+        f"a\n{head}\n" + "\n".join(lines) + f"\n{end}\nz": "a\n[SECRET]\nz",
+        f"{head}\r\n" + "\r\n".join(lines) + f"\r\n{end}": "[SECRET]",
+        f"{head}\n{fields}" + "\n".join(lines) + f"\n{end} z": "[SECRET] z",
+        f'{{"k": "{head}\\n' + "\\n".join(lines) + f'\\n{end}\\n"}}': '{"k": "[SECRET]\\n"}',
+        f"{head} {' '.join(lines)} {end} and {head}\n{lines[0]}\n{end}": "[SECRET] and [SECRET]",
+        f"{head}\n" + "\n".join(lines * 40) + f"\n{end}.": "[SECRET].",
+        # without an END line
+        f"a {head}\n" + "\n".join(lines): "a [SECRET]",
+        f"{head}\n{fields}" + "\n".join(lines): "[SECRET]",
+        f"  {head}\n  " + "\n  ".join(lines[:-1]) + "\nThis is prose.": "  [SECRET]\nThis is prose.",
+        f'{head}\\n" +\n "' + '\\n" +\n "'.join(lines[:-1]) + '";': '[SECRET]";',
+        f"{head}\n" + "\n".join(lines[:-1] * 12) + "\n-----END": "[SECRET]\n-----END",
+        # no key at all
+        f"the line {head} begins a key. And - so - on " + "- x " * 20_000: "the line [SECRET] begins a key. And - so - on " + "- x " * 20_000,
+    }
+    rows = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in sl.redact_all(cases.table(spark, rows)).collect()}
+    assert [found[i].text for i in range(len(texts))] == list(texts.values())
+    assert not any(line in r.text for r in found.values() for line in lines)
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
 def test_empty_table(spark):
     addresses, ledger = sl.scan(cases.none(spark))
     assert sl.findings(addresses, ledger).count() == 0 and sl.redact_all(cases.none(spark)).count() == 0

@@ -46,8 +46,20 @@ BASE_RULES = [
     SecretRule("access", r"AKIA[A-Z0-9]+", ("akia",), shortest=20),
     SecretRule("hex", r"[0-9a-f]{24,}"),
 ]
+# A private key runs to its END line, whatever stands between save five dashes. Where there is none, it
+# runs over the header fields and the base64 lines that follow (16 characters and more; quotes, escaped
+# line ends and indents between them), with a shorter last one. These lines are counted in bounded
+# groups (300 in all, twice a 8,192-bit key): an unbounded group recurses per line in Java.
+_DASHES = "-----"
+_BASE64 = "[A-Za-z0-9+/=]"
+_GAP = r"""[\x20\t\r\n\\"',>#*|+]"""
+_LINE = f"{_GAP}*(?:[nr]{_GAP}+){{0,2}}{_BASE64}{{16,}}"
+_FIELDS = r"(?:(?:[\r\n]+[\x20\t]*|(?:\\[nr]){1,4})[A-Z][A-Za-z0-9-]{0,30}: [^\r\n]*){0,6}"
+_KEY_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,60}}{_DASHES}END [A-Z ]{{0,20}}PRIVATE KEY{_DASHES}"
+_LAST = f"{_GAP}*(?:[nr]{_GAP}+){{0,2}}{_BASE64}{{1,15}}" + r"""(?:["'\\\r\n]|\z)"""
+_KEY_LINES = f"{_FIELDS}(?:(?:{_LINE}){{1,60}}{f'(?:{_LINE}){{0,60}}' * 4}(?:{_LAST})?)?"
 MORE_RULES = [
-    SecretRule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("private key-----",)),
+    SecretRule("private_key", f"{_DASHES}BEGIN [A-Z ]{{0,20}}PRIVATE KEY{_DASHES}(?:{_KEY_TO_END}|{_KEY_LINES})", ("private key-----",), version=2),
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
