@@ -90,6 +90,20 @@ def test_empty_tables(spark):
     assert de.keep_clean(docs, nothing).count() == docs.count()
 
 
+@pytest.mark.parametrize("most", [de.MAX_WINDOWS, 4])
+def test_the_pipeline_stage_counts_items_without_id(spark, tmp_path, most, monkeypatch):
+    import corpus_pipeline
+
+    keep = de.keep_clean
+    monkeypatch.setattr(de, "keep_clean", lambda *given, **named: keep(*given, max_windows=most, **named))
+    docs = cases.table(spark, [(k, t, None, None, None) for k, t in ROWS])
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark_free(spark, docs, str(tmp_path))
+    named = [(-1 if item is None else item, text) for item, text in ITEMS]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(k) for (k, *_, hit), n in brute(ROWS, named).items() for _ in range(n) if not hit)
+    assert 46 not in {r.doc_id for r in clean.collect()}
+
+
 def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

@@ -26,8 +26,8 @@ WINDOW_BYTES = 200  # mean size of a window above which the bytes, not the numbe
 _WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct (window, item): ``window`` words in a row of the item, or all of a shorter one; null items have none."""
+def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
+    """Distinct (window, item): ``window`` words in a row of the item, or all of a shorter one; null items have none unless ``nameless``."""
     chosen = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("window", T.BinaryType()), T.StructField("item", T.StringType())])
 
@@ -42,7 +42,7 @@ def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", wi
                 owners += [owner] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(owners, pa.string())], names=["window", "item"])
 
-    return chosen.where(F.col("item").isNotNull()).mapInArrow(cut, schema).distinct()
+    return (chosen if nameless else chosen.where(F.col("item").isNotNull())).mapInArrow(cut, schema).distinct()
 
 
 class Scanner:
@@ -177,9 +177,12 @@ def with_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Rows of ``docs``, all columns, in whose text no window of an item occurs: one pass per block of windows."""
-    windows, blocks = _in_blocks(item_windows(items, window=window), max_windows)
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, nameless: bool = False) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose text no window of an item occurs: one pass per block of windows.
+
+    With ``nameless``, items without id count too: no id is needed to tell that a text holds a passage.
+    """
+    windows, blocks = _in_blocks(item_windows(items, window=window, nameless=nameless), max_windows)
     for block in range(blocks):
         shared = _shared(docs, windows.where(F.col("block") == block))
 
