@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, suffix_dedup, token_files
+from urbanweave.llm import bpe_words, decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, suffix_dedup, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -90,6 +90,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe_words.default_vocabulary(spark)
+    return bpe_words.with_digests(bpe_words.decode(bpe_words.encode(documents(spark, sf_dir), path), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_ledger": op2_secret_ledger,
@@ -101,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parity_join": op8_parity_join,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op13_bpe_words": op13_bpe_words,
 }
