@@ -166,3 +166,43 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
+
+# The checksum byte by byte, from the table of its polynomial; two-byte letters begin with 195.
+ORACLES["op12_spelling"] = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t
+), run AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM run, crc
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), v AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+  UNION
+  SELECT v.word, a.word, a.n FROM cut a JOIN v ON a.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word
+), led AS MATERIALIZED (
+  SELECT v.word, best.form, best.form_n FROM v JOIN best ON v.word = best.word WHERE form_n >= 5 * v.n
+), path AS (
+  SELECT word, word AS root FROM v
+  UNION
+  SELECT path.word, led.form FROM path JOIN led ON led.word = path.root
+)
+SELECT v.word, led.form, path.root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, led.form_n::BIGINT AS form_n
+FROM v LEFT JOIN best ON best.word = v.word LEFT JOIN led ON led.word = v.word
+JOIN path ON path.word = v.word WHERE path.root NOT IN (SELECT word FROM led)
+"""

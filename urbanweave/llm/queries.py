@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import bpe_words, decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, suffix_dedup, token_files
+from urbanweave.llm import bpe_words, decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, spelling, suffix_dedup, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
+SLIPS = 199
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(documents(spark, sf_dir), slips=SLIPS))
+
+
 def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe_words.default_vocabulary(spark)
     return bpe_words.with_digests(bpe_words.decode(bpe_words.encode(documents(spark, sf_dir), path), path))
@@ -106,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parity_join": op8_parity_join,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op12_spelling": op12_spelling,
     "op13_bpe_words": op13_bpe_words,
 }
