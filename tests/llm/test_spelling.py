@@ -102,12 +102,11 @@ def test_index_of_more_than_one_lane():
     assert len(words) > 64 and found == sorted((v, w) for v in words for w in words if one_apart(v, w) and not len(v) == len(w) == 8)
 
 
-def test_words_of_all_cases(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "HELD_WORDS", 50)
+def test_words_of_all_cases(spark):
     extra = [(100 + i, "École ÉCOLE naïveté×÷naïveté STRASSENBAHN straßenbahn ŒUVRES İstanbul " + "W" * 20 * i, "fr", "s", 1) for i in range(12)]
     for slips in (None, 3, 199):
         docs = [*cases.ROWS, *extra]
-        found = {r.word: r.n for r in spelling.count_words(cases.table(spark, docs), slips=slips).collect()}
+        found = {r.word: r.n for r in spelling.count_words(cases.table(spark, docs), slips=slips, held_words=50).collect()}
         assert found == words_of(docs, slips) and found
     assert rows(spelling.variants(spelling.count_words(cases.table(spark, docs), slips=3))) == expected(words_of(docs, 3))
     assert rows(spelling.variants(spelling.count_words(cases.none(spark)))) == []

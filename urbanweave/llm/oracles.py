@@ -167,6 +167,35 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
+ORACLES["op11_collocations"] = r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL)
+), f AS MATERIALIZED (
+  SELECT lang, size, ws[i:i + size - 1] AS phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM piece, (VALUES (1), (2), (3)) s(size) WHERE len(ws) >= size)
+  GROUP BY ALL
+), cand AS MATERIALIZED (
+  SELECT * FROM f WHERE size > 1 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, x.f AS l, y.f AS r, k, 1000000 * c.f * c.f // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:k] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:]
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, part, max(f) AS f FROM (SELECT lang, unnest([phrase[1:2], phrase[2:3]]) AS part, f FROM cand WHERE size = 3) GROUP BY lang, part
+), kept AS (
+  SELECT b.*, array_to_string(b.phrase, ' ') AS joined FROM best b LEFT JOIN longer ON longer.lang = b.lang AND longer.part = b.phrase
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * b.a
+), words AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM piece GROUP BY lang
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, joined) AS rank, joined AS phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept k JOIN words ON words.lang = k.lang QUALIFY rank <= 2000
+"""
+
 # The checksum byte by byte, from the table of its polynomial; two-byte letters begin with 195.
 ORACLES["op12_spelling"] = r"""
 WITH RECURSIVE crc AS MATERIALIZED (

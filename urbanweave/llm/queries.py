@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanweave.llm import bpe_words, decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, spelling, suffix_dedup, token_files
+from urbanweave.llm import bpe_words, collocations, decontaminate, language_id, licenses, parity_join, piece_sampling, quality_model, quality_rules, secret_ledger, spelling, suffix_dedup, token_files
 from urbanweave.llm.common import documents
 
 END_ID = 2
@@ -91,6 +91,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(documents(spark, sf_dir), slips=SLIPS))
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parity_join": op8_parity_join,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
     "op13_bpe_words": op13_bpe_words,
 }

@@ -47,7 +47,7 @@ def _slipped(run: bytes, seed: int, every: int) -> bytes:
     return run if mark % every else run[: mark % len(run)] + run[mark % len(run) + 1 :]
 
 
-def count_words(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST, slips: int | None = None) -> DataFrame:
+def count_words(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST, slips: int | None = None, held_words: int = HELD_WORDS) -> DataFrame:
     """(word, n): words of at least ``shortest`` letters that occur ``fewest`` times or more in all texts.
 
     With ``slips``, of one in so many pairs of document and word one letter is left
@@ -74,7 +74,7 @@ def count_words(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST,
                             held[word] += n
                 else:
                     held.update(found)
-                if len(held) > HELD_WORDS:
+                if len(held) > held_words:
                     yield hand_on()
                     held.clear()
         if held:
