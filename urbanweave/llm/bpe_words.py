@@ -372,10 +372,13 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _encoder(path).merges.tokens
+        tokens = pa.array(_encoder(path).merges.tokens)
         for batch in (part for whole in batches for part in slices(whole, 200)):
-            texts = [" ".join([tokens[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type)) if batch.column(1).null_count else batch.column(1)
+            ends = np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
+            spelled = pa.LargeListArray.from_arrays(ends, tokens.take(pc.list_flatten(ids)))
+            texts = pc.binary_join(spelled, " ").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "ids", "text"])
 
     coded = coded.select("doc_id", "ids")
     return coded.mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
