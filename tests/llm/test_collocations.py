@@ -91,7 +91,7 @@ def test_a_pair_in_every_text_is_spread(spark):
 def test_counts_beyond_64_bits(spark):
     many = 5_000_000_000_000
     weights = spark.createDataFrame([("en", "a b", 2, many), ("en", "a", 1, many + 7), ("en", "b", 1, many * 3)], "lang string, phrase string, size int, f long")
-    row = co.compose(weights.where("size > 1"), weights, 3).first()
+    row = co.compose(weights.where("size > 1"), weights).first()
     assert (row.a, row.l, row.r, row.score) == (many, many + 7, many * 3, 1_000_000 * many * many // ((many + 7) * many * 3))
 
 

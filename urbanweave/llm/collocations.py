@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from urbanweave.llm.common import slices
 from urbanweave.operators.ordering import with_position
-from urbanweave.runtime import settle, settle_counted, small_side
+from urbanweave.runtime import settle
 
 FEWEST, TOP, SHARE = 10, 2000, 50
 UNKNOWN = "und"
@@ -354,11 +354,11 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, sizes: Sizes | None = N
     return summed.where((F.col("f") >= fewest) | (F.col("size") == 0))
 
 
-def compose(candidates: DataFrame, weights: DataFrame, rows: int) -> DataFrame:
+def compose(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     """(lang, phrase, size, a, l, r, score): the cut of each candidate with the lowest score, the first one of equals.
 
     Every cut asks for f of its first part and of the rest; both are frequent, since
-    their phrase is. ``rows`` counts ``weights``. Products are decimals of 38 digits;
+    their phrase is. Products are decimals of 38 digits;
     ``div`` floors them exactly, and no score passes a million, as l and r are at least a.
     """
     cut = F.explode(F.sequence(F.lit(1), F.col("size") - 1))
@@ -366,7 +366,7 @@ def compose(candidates: DataFrame, weights: DataFrame, rows: int) -> DataFrame:
     asked = asked.withColumns({"left": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - size)")})
     for part, name in (("left", "l"), ("rest", "r")):
         known = weights.where("size > 0").select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
-        asked = asked.join(small_side(known, rows), ["lang", part])
+        asked = asked.join(known, ["lang", part])
     wide = {c: f"cast({c} as decimal(18, 0))" for c in "alr"}
     score = F.expr(f"({wide['a']} * {wide['a']} * 1000000BD) div ({wide['l']} * {wide['r']})")
     best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best")
@@ -388,8 +388,8 @@ def collocations(docs: DataFrame, fewest: int = FEWEST, top: int = TOP, share: i
     score is floor(1000000 * a * a / (l * r)) of the lowest-scoring cut; phrases mostly
     found inside a longer candidate are left out. See ``phrase_counts`` for nulls.
     """
-    weights, rows = settle_counted(phrase_counts(docs, fewest, sizes))
-    scored = settle(compose(weights.where("size > 1"), weights, rows))
+    weights = settle(phrase_counts(docs, fewest, sizes))
+    scored = settle(compose(weights.where("size > 1"), weights))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     kept = _uncovered(scored, share)
     # Parts of a language hand on their own first ones, so its task sees few rows however many candidates there are.
