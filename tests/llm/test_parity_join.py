@@ -147,3 +147,49 @@ def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(tuple(r) for r in QUERIES["op8_parity_join"](spark, sf).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("rule", [pj.Rule(), pj.Rule(words=5, share=80)])
+def test_rests_of_a_shared_key_differ_in_two_bits_at_most(rule):
+    rng = np.random.default_rng(12)
+    for size in [*range(1, 40, 3), 60, 150, 400]:
+        for _ in range(8):
+            pool = rng.integers(0, 2**63, 2 * size + 10).astype(np.uint64)
+            a = np.sort(pool[:size])
+            b = np.sort(np.r_[a[rng.integers(0, rule.apart(size) + 1) :], pool[size : size + rng.integers(0, rule.apart(size) + 1)]])
+            if len(b) and rule.links(pj._common(a, b), len(a), len(b)):
+                keys, owners = pj.keys_with_rest([a, b], rule)
+                rests = [{int(k) >> pj.REST: int(k) & 0xFFFF for k in keys[owners == side]} for side in (0, 1)]
+                shared = rests[0].keys() & rests[1].keys()
+                assert any((rests[0][k] ^ rests[1][k]).bit_count() <= 2 for k in shared)
+
+
+@pytest.mark.parametrize("rule", [pj.Rule(), pj.Rule(words=5, share=80)])
+def test_candidates_grow_with_the_documents(spark, rule):
+    """Ten times the documents: rows that meet in a cluster of a key, twenty times at most (and few for each set)."""
+    counts = []
+    for scale in ("0.01", "0.1"):
+        texts = [r.text for r in spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").select("text").collect()]
+        known = pj._Words()
+        sets = list({s.tobytes(): s for s in (pj.shingles(t, rule.words, known) for t in texts) if len(s)}.values())
+        keys, owners = pj.keys_with_rest(sets, rule)
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        value = keys >> np.uint64(pj.REST)
+        heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        cluster = pj._clusters(heads, np.diff(np.r_[heads, len(keys)]), keys & np.uint64(0xFFFF))
+        rest = np.flatnonzero(cluster != np.arange(len(keys)))
+        counts.append(len(np.unique(owners[cluster[rest]] * len(sets) + owners[rest])) / len(sets))
+    assert counts[1] <= 2 * max(counts[0], 0.2) and counts[1] < 1, counts
+
+
+def test_clusters_of_rests():
+    rest = np.array([0b0, 0b11, 0b1111, 0xFF00, 0b1, 0xF0F0, 0xF0F1], np.uint64)
+    assert pj._clusters(np.array([0, 5]), np.array([5, 2]), rest).tolist() == [0, 0, 0, 3, 0, 5, 5]
+
+
+def test_blocks_close_at_a_number_of_rows(spark):
+    """Texts without words add no shingle, and many rows of them are no endless block."""
+    texts = spark.range(70_000).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)
+    out = pj.components(texts)
+    assert out.where("component_id <> doc_id or n_shingles <> 0 or not stays").count() == 0 and out.count() == 70_000

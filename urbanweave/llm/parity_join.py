@@ -20,22 +20,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanweave.llm.common import ascii_space, keyed_texts, slices
-from urbanweave.runtime import settle, settle_counted, small_side
+from urbanweave.runtime import settle, settle_counted, settle_with, small_side
 
-BAND_RATIO = 1.5
+BAND_RATIO = 1.25
+#: A segment of fewer elements is too often empty to be a key by itself.
+FULL_SEGMENT = 6
 BLOCK_SHINGLES = 2_000_000
 PART = 1024
+#: Pairs of a document that are judged at once.
+FIRST_ROUND = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
+REST = 16
+_LOW = _U((1 << REST) - 1)
+#: Documents of a block at most; the bits of a node that are its row in the block.
+BLOCK_ROWS = 30_000
+_ROW_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -117,22 +129,55 @@ def sketch(sets: list[np.ndarray], segments: int, seed: int) -> np.ndarray:
     return out
 
 
+def blocking(rule: Rule, low: int, high: int) -> tuple[int, int, list[tuple[int, ...]]]:
+    """Blocks, segments of a block, and the sets of its segments that are keys, for sets of ``low`` to ``high`` elements.
+
+    Of ``d + 1`` segments linked sets share one, ``d`` being the most elements in which
+    they differ. Where such segments are thin, unrelated sets would share empty ones.
+    Then there are so many blocks that one of them holds at most ``t`` differing elements;
+    of its four segments all but ``t`` are equal, so every ``4 - t`` of them are a key.
+    """
+    apart = rule.apart(high)
+    if low >= FULL_SEGMENT * (apart + 1):
+        return apart + 1, 1, [(0,)]
+    spared = min(2, apart)
+    return apart // (spared + 1) + 1, 4, list(combinations(range(4), 4 - spared))
+
+
 def segment_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (band, segment, value of the segment) of the non-empty sets, and the set each belongs to.
+    """Keys of the non-empty sets, and the set each belongs to; linked sets share one."""
+    keys, owners = keys_with_rest(sets, rule)
+    return keys & ~_LOW, owners
+
+
+def keys_with_rest(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (band, segments, their values) of the non-empty sets, and the set each belongs to.
 
     A set has the keys of its own band, and of lower bands in which it can be the
-    larger set of a linked pair.
+    larger set of a linked pair. The low ``REST`` bits of a key are no part of its
+    value: they are the other segments of the block, folded. Where the key shows a
+    linked pair, these differ in at most two bits.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, owners = [], []
     for number, (low, high) in enumerate(bands(int(sizes.max(initial=0)))):
         inside = np.flatnonzero((sizes >= low) & (sizes <= rule.partner(high)))
         if len(inside):
-            segments = rule.apart(high) + 1
-            words = sketch([sets[i] for i in inside.tolist()], segments, number + 1)
-            place = _mix(np.arange(segments, dtype=_U) + _U(number << 32))
-            keys.append(_mix(words + place[None, :]).ravel())
-            owners.append(np.repeat(inside, segments))
+            blocks, parts, chosen = blocking(rule, low, high)
+            words = sketch([sets[i] for i in inside.tolist()], blocks * parts, number + 1)
+            place = _mix(np.arange(blocks * parts, dtype=_U) + _U(number << 32))
+            plain = words.reshape(len(inside), blocks, parts)
+            words = _mix(words + place[None, :]).reshape(plain.shape)
+            for some in chosen:
+                key, rest = words[:, :, some[0]], np.zeros(plain.shape[:2], _U)
+                for i in some[1:]:
+                    key = _mix(key * _U(0x9E3779B97F4A7C15) + words[:, :, i])
+                for i in set(range(parts)) - set(some):
+                    rest ^= plain[:, :, i]
+                rest ^= rest >> _U(32)
+                rest ^= rest >> _U(16)
+                keys.append(((key & ~_LOW) | (rest & _LOW)).ravel())
+                owners.append(np.repeat(inside, blocks))
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
 
 
@@ -276,27 +321,27 @@ def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) ->
         marks[:, i] = np.frombuffer(xxhash.xxh128_digest(data), "<i8")
     kept = np.array(sorted(first.values()), np.int64)
     distinct = [sets[i] for i in kept.tolist()]
-    keys, owners = segment_keys(distinct, rule)
+    keys, owners = keys_with_rest(distinct, rule)
     inner = _Forest(len(distinct))
-    link_block(distinct, _groups(keys, owners), rule, inner)
+    link_block(distinct, _groups(keys >> _U(REST), owners), rule, inner)
     for i, at in enumerate(kept.tolist()):
         forest.join(at, int(kept[inner.root(i)]))
 
     roots = np.array([forest.root(i) for i in range(len(rows))], np.int64)
-    base = block << 24
+    base = block << _ROW_BITS
     ids = [r[0] for r in rows]
     nulls = np.array([i is None for i in ids])
     plain = np.array([0 if i is None else i for i in ids], np.int64)
     node = np.arange(len(rows)) + base
     texts = np.array([r[2] for r in rows], np.int64)
     columns = (node, plain, nulls, [len(s) for s in sets], roots + base, texts, *marks)
-    yield _NODES, 0, block, _bytes(np.stack([np.asarray(c, np.int64) for c in columns])), b"".join(wide_sketches(sets))
+    yield _NODES, buckets + block % buckets, block, _bytes(np.stack([np.asarray(c, np.int64) for c in columns])), b"".join(wide_sketches(sets))
 
     owners = kept[owners]
     order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]
     heads = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    bucket = (keys % _U(buckets)).astype(np.int64)
+    bucket = ((keys >> _U(REST)) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket[heads], kind="stable")
     first_keys, first_owners, at = keys[heads][order], owners[heads][order], bucket[heads][order]
     # A key whose documents are not all in one local group is open if it is found elsewhere.
@@ -311,7 +356,7 @@ def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) ->
         part = slice(int(cuts[number]), int(cuts[number + 1]))
         yield _KEYS, number, block, _bytes(first_keys[part], "<u8"), _bytes(first_owners[part] * 2 + flags[part], "<i4")
     if (~heads).any():
-        yield _MEMBERS, 0, block, _bytes(keys[~heads], "<u8"), _bytes(owners[~heads] + base)
+        yield _MEMBERS, buckets + block % buckets, block, _bytes(keys[~heads], "<u8"), _bytes(owners[~heads] + base)
 
 
 def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
@@ -320,7 +365,9 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         rows, size = [], 0
 
         def describe():
-            out = list(zip(*_describe_block(task * 4096 + seen, rows, rule, buckets), strict=True))
+            if seen >> 24:
+                raise OverflowError("a task has more blocks than can be numbered; deal the documents over more partitions")
+            out = list(zip(*_describe_block(task << 24 | seen, rows, rule, buckets), strict=True))
             kinds = (pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             names = ["kind", "bucket", "block", "longs", "more"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -329,7 +376,7 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             for key, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((key, shingles(text, rule.words, known), text_id))
                 size += len(rows[-1][1])
-                if size >= BLOCK_SHINGLES:
+                if size >= BLOCK_SHINGLES or len(rows) >= BLOCK_ROWS:
                     yield describe()
                     rows, size, seen = [], 0, seen + 1
         if rows:
@@ -338,7 +385,8 @@ def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, _BLOCK)
 
 
-def _nodes(blocks: DataFrame) -> DataFrame:
+def _nodes(met: DataFrame) -> DataFrame:
+    """One row per document."""
     schema = "node long, doc_id long, n_shingles long, root long, text_id long, mark_a long, mark_b long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +402,7 @@ def _nodes(blocks: DataFrame) -> DataFrame:
                     names=["node", "doc_id", "n_shingles", "root", "text_id", "mark_a", "mark_b", "sketch"],
                 )
 
-    return blocks.where(F.col("kind") == _NODES).select("longs", "more").mapInArrow(run, schema)
+    return met.where(F.col("kind") == _NODES).select("longs", "more").mapInArrow(run, schema)
 
 
 def _twins(nodes: DataFrame) -> DataFrame:
@@ -364,40 +412,82 @@ def _twins(nodes: DataFrame) -> DataFrame:
     return firsts.join(firsts.groupBy(*keys).agg(F.min("node").alias("twin")), keys).where("node <> twin").select("node", "twin")
 
 
-def _stars(blocks: DataFrame) -> DataFrame:
-    """Per key found in several blocks: its representatives against the first of them, and whether a block is open."""
-    schema = "key long, a long, b long, mixed boolean"
+def _clusters(heads: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Per row the first row of its cluster: rows of a key whose folded rest differs in at most two bits, directly or by others.
+
+    Links lie within clusters, so a key that many unrelated documents share falls apart.
+    """
+    out = np.repeat(heads, counts)
+    for size in np.unique(counts[counts > 1]).tolist():
+        chosen = heads[counts == size]
+        if size > 4096:  # one cluster, which loses no link
+            continue
+        for part in np.array_split(chosen, 1 + len(chosen) * size * size // 4_000_000):
+            rows = part[:, None] + np.arange(size)[None, :]
+            near = np.bitwise_count(rest[rows][:, :, None] ^ rest[rows][:, None, :]) <= 2
+            label = np.broadcast_to(np.arange(size), rows.shape)
+            while True:
+                low = np.where(near, label[:, None, :], size).min(axis=2)
+                if (low == label).all():
+                    break
+                label = low
+            out[rows] = np.take_along_axis(rows, label, axis=1)
+    return out
+
+
+_MET = "kind byte, key long, unit long, a long, b long, mixed boolean, longs binary, more binary"
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """Keys found in several blocks, and what blocks tell besides, in one shuffle of the blocks.
+
+    Per cluster of a key its representatives ``b`` against the first of them ``a``,
+    and whether a block is open; ``key`` is the first one's key with its rest,
+    ``unit`` that of ``b``.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
+        told = table.filter(pc.not_equal(table["kind"], _KEYS))
+        table = table.filter(pc.equal(table["kind"], _KEYS))
+        none = pa.nulls(len(told), pa.int64())
+        columns = [told["kind"], none, none, none, none, pa.nulls(len(told), pa.bool_()), told["longs"], told["more"]]
+        names = ["kind", "key", "unit", "a", "b", "mixed", "longs", "more"]
+        told = pa.table(columns, names=names)
+        if not len(table):
+            return told
         keys = [np.frombuffer(x, "<u8") for x in table["longs"].to_pylist()]
         owners = [np.frombuffer(x, "<i4").astype(np.int64) for x in table["more"].to_pylist()]
-        base = np.repeat(table["block"].to_numpy() << 24, [len(k) for k in keys])
+        base = np.repeat(table["block"].to_numpy() << _ROW_BITS, [len(k) for k in keys])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         node, mixed = (owners >> 1) + base, owners & 1
-        order = np.lexsort((node, keys))
+        order = np.lexsort((node, keys >> _U(REST)))
         keys, node, mixed = keys[order], node[order], mixed[order]
-        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        counts = np.diff(np.r_[heads, len(keys)])
-        first = np.repeat(heads, counts)
-        open_ = np.repeat(np.maximum.reduceat(mixed, heads), counts)
-        rest = np.flatnonzero(first != np.arange(len(keys)))
-        columns = [keys[rest].view(np.int64), node[first[rest]], node[rest], open_[rest].astype(bool)]
-        return pa.table([pa.array(c) for c in columns], names=["key", "a", "b", "mixed"])
+        value = keys >> _U(REST)
+        heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        cluster = _clusters(heads, np.diff(np.r_[heads, len(keys)]), keys & _LOW)
+        open_ = np.zeros(len(keys), np.int64)
+        np.maximum.at(open_, cluster, mixed)
+        rest = np.flatnonzero(cluster != np.arange(len(keys)))
+        first = cluster[rest]
+        longs = [keys[first].view(np.int64), keys[rest].view(np.int64), node[first], node[rest]]
+        empty = pa.nulls(len(rest), pa.binary())
+        columns = [pa.array(np.full(len(rest), _KEYS, np.int8)), *map(pa.array, longs), pa.array(open_[first].astype(bool)), empty, empty]
+        return pa.concat_tables([told, pa.table(columns, names=names)])
 
-    return blocks.where(F.col("kind") == _KEYS).select("bucket", "block", "longs", "more").groupBy("bucket").applyInArrow(meet, schema)
+    return blocks.groupBy("bucket").applyInArrow(meet, _MET)
 
 
-def _members(blocks: DataFrame) -> DataFrame:
-    """(key, node) of the documents that are not their block's representative of a key."""
+def _members(met: DataFrame) -> DataFrame:
+    """(unit, node) of the documents that are not their block's representative of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(nodes, "<i8"))], names=["key", "node"]
+                    [pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(nodes, "<i8"))], names=["unit", "node"]
                 )
 
-    return blocks.where(F.col("kind") == _MEMBERS).select("longs", "more").mapInArrow(run, "key long, node long")
+    return met.where(F.col("kind") == _MEMBERS).select("longs", "more").mapInArrow(run, "unit long, node long")
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -439,27 +529,30 @@ def _judged(pairs: DataFrame, rows: int, sets: DataFrame, rule: Rule) -> DataFra
 def _grow(pairs: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Judge ``pairs`` until each is linked, not linked, or within one group; returns links, groups and the pairs not linked.
 
-    Only pairs whose ends still lie in different groups are judged: in the first
-    round one per document, then four times as many as before, so that most pairs
-    of a large group are never needed and the rounds stay few.
+    Only pairs whose ends still lie in different groups are judged. Where there are
+    few for each document, that is one round. Else the first round takes
+    ``FIRST_ROUND`` per document, the next four times as many, and so on, so that most
+    pairs of a large group are never needed.
     """
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, rule)
     roots = nodes.select(F.col("node").alias("at"), "root")
-    groups, missed, width = settle(connect(links)), [], 1
+    groups, missed, width = connect(links), [], FIRST_ROUND
     while True:
         known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
         apart = pairs.join(known.withColumnsRenamed({"node": "a", "group": "group_a"}), "a").join(known.withColumnsRenamed({"node": "b", "group": "group_b"}), "b")
         apart, rows = settle_counted(apart.where("group_a <> group_b").select("a", "b"))
         if not rows:
             return links, groups, missed
-        per = apart.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("others"))
-        lead, rows = settle_counted(per.select(F.explode(F.slice("others", 1, width)).alias("a"), "b"))
+        lead = apart
+        if rows > width * apart.select("b").distinct().count():
+            nth = F.row_number().over(W.partitionBy("b").orderBy("a"))
+            lead, rows = settle_counted(apart.withColumn("nth", nth).where(F.col("nth") <= width).select("a", "b"))
         judged = _judged(lead, rows, sets, rule)
         missed.append(judged.where("not linked").select("a", "b"))
         ends = judged.where("linked").join(roots.withColumnsRenamed({"at": "a", "root": "root_a"}), "a")
         ends = ends.join(roots.withColumnsRenamed({"at": "b", "root": "root_b"}), "b")
         links = links.unionByName(settle(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
-        groups = settle(connect(links))
+        groups = connect(links)
         pairs, width = apart.join(lead, ["a", "b"], "left_anti"), min(width * 4, 1 << 30)
 
 
@@ -488,9 +581,10 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     stands in front of any output.
     """
     # Every document of a key once: the first representative, the others, and the further members of blocks.
-    ours = stars.join(open_keys, "key", "left_semi")
+    ours = settle(stars.join(open_keys, "key", "left_semi"))
     first = ours.groupBy("key").agg(F.min("a").alias("node"))
-    rows = first.unionByName(ours.select("key", F.col("b").alias("node"))).unionByName(members.join(open_keys, "key", "left_semi"))
+    units = ours.select("key", F.explode(F.array("key", "unit")).alias("unit")).distinct()
+    rows = first.unionByName(ours.select("key", F.col("b").alias("node"))).unionByName(members.join(units, "unit").select("key", "node"))
     known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
     known, count = settle_counted(known)
     placed = settle(rows.join(small_side(known, count), "node"))
@@ -555,15 +649,33 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     return meetings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), v the smaller: the edges of each task's batches, every node led to the smallest one that they connect it with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 200_000)):
+            nodes, ends = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(1).to_numpy())), return_inverse=True)
+            forest = _Forest(len(nodes))
+            for i, j in zip(ends[: batch.num_rows].tolist(), ends[batch.num_rows :].tolist(), strict=True):
+                forest.join(i, j)
+            low = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+            led = np.flatnonzero(low < np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[low[led]])], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def connect(edges: DataFrame) -> DataFrame:
-    """Connected groups of ``edges`` (a, b): (at, group), the group being its smallest member.
+    """Connected groups of ``edges`` (a, b), written: (at, group), the group being its smallest member.
 
-    Alternates large and small stars (every node points its larger, then all its
-    neighbours to the smallest one) until nothing changes. Each step is a grouped
-    minimum and a join on the node, and the number of edges never grows.
+    Tasks first contract what they hold. Then large and small stars alternate (every
+    node points its larger, then all its neighbours to the smallest one) until nothing
+    changes. Each step is a grouped minimum and a join on the node, and the number of
+    edges never grows.
     """
-    edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    while True:
+    counts = {"rows": F.count("u"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, before = settle_with(_contracted(edges.select("a", "b")).distinct(), **counts)
+    while before["rows"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -571,13 +683,12 @@ def connect(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        after = settle(small.where("u > v").distinct())
-        same = edges.select(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == after.select(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        edges, after = settle_with(small.where("u > v").distinct(), **counts)
+        if after == before:
             break
-        edges = after
-    tops = after.select(F.col("v").alias("at"), F.col("v").alias("group")).distinct()
-    return after.select(F.col("u").alias("at"), F.col("v").alias("group")).unionByName(tops)
+        before = after
+    tops = edges.select(F.col("v").alias("at"), F.col("v").alias("group")).distinct()
+    return settle(edges.select(F.col("u").alias("at"), F.col("v").alias("group")).unionByName(tops))
 
 
 def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -594,9 +705,9 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     texts = keyed_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
-    blocks = settle(_blocks(texts, rule, buckets))
-    nodes = settle(_nodes(blocks))
-    stars = settle(_stars(blocks))
+    found = settle(_met(_blocks(texts, rule, buckets)))
+    nodes = settle(_nodes(found))
+    stars = found.where(F.col("kind") == _KEYS).select("key", "unit", "a", "b", "mixed")
     twins = settle(_twins(nodes))
     # Copies in other blocks are stood for by the first of them, so each pair of texts is judged once.
     met = stars.select("a", "b").distinct()
@@ -620,7 +731,7 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     open_pairs, rows = settle_counted(met.join(failed, between, "left_semi").select("a", "b"))
     asked = stars.join(small_side(open_pairs, rows), ["a", "b"], "left_semi").select("key")
     open_keys, rows = settle_counted(asked.unionByName(stars.where("mixed").select("key")).distinct())
-    rest = _open_pairs(small_side(open_keys, rows), stars, _members(blocks), nodes, groups, rule, buckets)
+    rest = _open_pairs(small_side(open_keys, rows), stars, _members(found), nodes, groups, rule, buckets)
     rest, more = settle_counted(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if more:
         _, groups, _ = _grow(rest, links, nodes, texts, rule)
