@@ -22,9 +22,9 @@ def brute(rows, items, window=10):
     out = []
     windows = {}
     for item, text in items:
-        w = words_of(text) if item is not None else []
+        w = words_of(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + window]), set()).update(set() if item is None else {str(item)})
     for key, text in rows:
         w, hit, found = words_of(text), set(), set()
         for size in {len(x) for x in windows}:

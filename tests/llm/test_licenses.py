@@ -116,3 +116,13 @@ def test_empty_table(spark):
 def test_no_shuffle_and_no_python(spark):
     plan = li.with_digest(li.detect(cases.table(spark, parts=1)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "hashpartitioning" not in plan
+
+
+def test_long_texts_with_many_places(spark):
+    """20,000 places in one text, some inside others, as in short ones."""
+    n = 20_000
+    docs = spark.createDataFrame([(1, "The MIT license. Apache license 2.0! " * n)], "doc_id long, text string")
+    row = li.with_digest(li.detect(docs)).first()
+    one = li.with_digest(li.detect(docs.selectExpr("doc_id", "left(text, 36) as text"))).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (7 * n, 2 * n, 1, 7 * n - 4)
+    assert (row.labels, row.score) == (one.labels, one.score)

@@ -116,3 +116,14 @@ def test_query_runs_no_python_on_executors(spark):
     query = QUERIES["op2_secret_ledger"](spark, "/root/testdata/sf0.001")
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_texts_with_many_matches(spark):
+    """20,000 matches in one text: spans and marks as in short ones."""
+    n = 20_000
+    text = " ".join(f"{i:032x} é" for i in range(n))
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "plain", 5)], "doc_id long, text string, n_chars long")
+    _, ledger = sl.scan(docs.select("doc_id", "text"))
+    spans = ledger.where("size(spans) > 0").first().spans
+    assert [(s.start, s.end) for s in spans] == [(35 * i, 35 * i + 32) for i in range(n)]
+    assert {r.doc_id: r.text for r in sl.redact_all(docs).collect()} == {1: " ".join("[SECRET] é" for _ in range(n)), 2: "plain"}

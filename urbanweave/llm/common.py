@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -41,6 +41,36 @@ def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
+#: Items of an array that are worked through at a time.
+CHUNK = 256
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_chunks(items: Column, first: Column, advance: Callable[[Column, Column], Column], work: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``work(chunk, state)`` over an array cut into chunks, ``state`` being what ``advance`` made of all chunks before.
+
+    An aggregate that adds to an array copies it at every step. Here it adds to
+    chunks of ``CHUNK`` items only, so long arrays take time in proportion.
+    """
+    def states(chunks: Column) -> Column:
+        empty = F.struct(first.alias("now"), F.filter(F.array(first), lambda s: F.lit(False)).alias("seen"))
+        step = lambda s, chunk: F.struct(advance(s["now"], chunk).alias("now"), F.concat(s["seen"], F.array(s["now"])).alias("seen"))
+        return F.aggregate(chunks, empty, step, lambda s: s["seen"])
+
+    def worked(chunks: Column) -> Column:
+        return F.zip_with(chunks, states(chunks), work)
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(CHUNK))
+        return bind(F.transform(starts, lambda at: F.slice(whole, at, CHUNK)), worked)
+
+    return bind(items, cut)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that only few rows are Python objects at a time."""
     for at in range(0, batch.num_rows, rows):

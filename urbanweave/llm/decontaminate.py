@@ -26,8 +26,8 @@ WINDOW_BYTES = 200  # mean size of a window above which the bytes, not the numbe
 _WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
-    """Distinct (window, item): ``window`` words in a row of the item, or all of a shorter one; null items have none unless ``nameless``."""
+def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Distinct (window, item): ``window`` words in a row of the item, or all of a shorter one; item is null where the id is."""
     chosen = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("window", T.BinaryType()), T.StructField("item", T.StringType())])
 
@@ -42,7 +42,7 @@ def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", wi
                 owners += [owner] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(owners, pa.string())], names=["window", "item"])
 
-    return (chosen if nameless else chosen.where(F.col("item").isNotNull())).mapInArrow(cut, schema).distinct()
+    return chosen.mapInArrow(cut, schema).distinct()
 
 
 class Scanner:
@@ -97,7 +97,7 @@ _SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "en
 
 def _shared(docs: DataFrame, windows: DataFrame):
     """One block of windows with their items, for all tasks; the block was counted."""
-    rows = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).collect()
+    rows = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).collect()  # null ids are in no list
     return docs.sparkSession.sparkContext.broadcast([(bytes(r.window), list(r["items"])) for r in rows])
 
 
@@ -140,8 +140,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
     """Per row of ``docs``: doc_id, n_words, spans (words and code points of the original), items.
 
     A null or empty text has no words and no hit; an item without words has no
-    window, and a null item id none either. Rows that share a doc_id keep rows of
-    their own. Other columns of both tables are not read. ``max_windows`` bounds
+    window. An item without id counts as hit, but is in no list of items. Rows that
+    share a doc_id keep rows of their own. Other columns of both tables are not read. ``max_windows`` bounds
     what is collected and broadcast at a time; more windows take more passes.
     """
     texts = keyed_texts(docs).withColumn("text_id", F.xxhash64("text"))
@@ -177,12 +177,12 @@ def with_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, nameless: bool = False) -> DataFrame:
-    """Rows of ``docs``, all columns, in whose text no window of an item occurs: one pass per block of windows.
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose text no window of an item occurs, with or without id: one pass per block of windows.
 
-    With ``nameless``, items without id count too: no id is needed to tell that a text holds a passage.
+    Null and empty texts hold no window and stay, as do repeated rows of a text without one.
     """
-    windows, blocks = _in_blocks(item_windows(items, window=window, nameless=nameless), max_windows)
+    windows, blocks = _in_blocks(item_windows(items, window=window), max_windows)
     for block in range(blocks):
         shared = _shared(docs, windows.where(F.col("block") == block))
 

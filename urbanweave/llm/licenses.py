@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanweave.llm.common import keyed_texts
+from urbanweave.llm.common import in_chunks, keyed_texts
 
 # Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -244,26 +244,43 @@ def _places(text: Column, pattern: Column, priority: Column, label: Column) -> C
         one = F.struct(start.alias("start"), (-end).alias("back"), end.alias("end"), priority.alias("priority"), label.alias("label"))
         return F.struct(end.alias("at"), F.concat(seen["found"], F.array(one).cast(f"array<{_DETECTION}>")).alias("found"))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_DETECTION}>").alias("found"))
-    return F.aggregate(pieces, first, step, lambda seen: seen["found"])
+    def advance(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, at, lambda seen, piece: seen + _words_in(piece["gap"]) + _words_in(piece["hit"]))
+
+    def work(chunk: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), F.array().cast(f"array<{_DETECTION}>").alias("found"))
+        return F.aggregate(chunk, first, step, lambda seen: seen["found"])
+
+    return F.flatten(in_chunks(pieces, F.lit(0).cast("bigint"), advance, work))
 
 
 def _unsuppressed(found: Column) -> Column:
     """Detections not inside an equal or higher ranked one: one sweep by start, longest first, highest priority first."""
     ordered = F.array_sort(F.transform(found, lambda d: d.withField("priority", -d["priority"])))
 
+    levels = range(1, PRIORITIES + 1)
+
+    def ends(seen: Column, d: Column) -> list[Column]:
+        """The largest end seen of each priority."""
+        return [F.when(-d["priority"] == level, F.greatest(seen[f"e{level}"], d["end"])).otherwise(seen[f"e{level}"]).alias(f"e{level}") for level in levels]
+
     def step(seen: Column, d: Column) -> Column:
         rank = -d["priority"]
         inside = F.lit(False)
-        for level in range(1, PRIORITIES + 1):
+        for level in levels:
             inside = inside | ((rank <= level) & (seen[f"e{level}"] >= d["end"]))
-        ends = [F.when(rank == level, F.greatest(seen[f"e{level}"], d["end"])).otherwise(seen[f"e{level}"]).alias(f"e{level}") for level in range(1, PRIORITIES + 1)]
         kept = F.when(inside, seen["kept"]).otherwise(F.concat(seen["kept"], F.array(d.withField("priority", rank))))
-        return F.struct(*ends, kept.alias("kept"))
+        return F.struct(*ends(seen, d), kept.alias("kept"))
+
+    def advance(state: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, state, lambda seen, d: F.struct(*ends(seen, d)))
+
+    def work(chunk: Column, state: Column) -> Column:
+        first = F.struct(*[state[f"e{level}"].alias(f"e{level}") for level in levels], F.array().cast(f"array<{_DETECTION}>").alias("kept"))
+        return F.aggregate(chunk, first, step, lambda seen: seen["kept"])
 
-    starts = [F.lit(-1).cast("bigint").alias(f"e{level}") for level in range(1, PRIORITIES + 1)]
-    first = F.struct(*starts, F.array().cast(f"array<{_DETECTION}>").alias("kept"))
-    return F.aggregate(ordered, first, step, lambda seen: seen["kept"])
+    none = F.struct(*[F.lit(-1).cast("bigint").alias(f"e{level}") for level in levels])
+    return F.flatten(in_chunks(ordered, none, advance, work))
 
 
 def detect(docs: DataFrame, rules: list[Signature] | None = None) -> DataFrame:

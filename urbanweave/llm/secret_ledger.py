@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanweave.llm.common import bind, in_chunks
 from urbanweave.runtime import settle_counted, shared_folder, small_side
 
 
@@ -90,8 +91,13 @@ def _matches(text: Column, rule: SecretRule, place: int) -> Column:
         kept = F.when(piece["judged"] >= rule.shortest, F.concat(seen["spans"], F.array(span).cast(_SPANS))).otherwise(seen["spans"])
         return F.struct((start + piece["hit"]).alias("at"), kept.alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
-    return F.aggregate(pieces, first, step, lambda seen: seen["spans"])
+    def advance(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, at, lambda seen, piece: seen + piece["gap"] + piece["hit"])
+
+    def work(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), _none().alias("spans")), step, lambda seen: seen["spans"])
+
+    return F.flatten(in_chunks(pieces, F.lit(0), advance, work))
 
 
 def _found(rules: list[SecretRule], missing: Column) -> Column:
@@ -169,19 +175,32 @@ def span_text(spans: Column, kinds: list[str] | None = None) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones united, replaced by ``mark``."""
-
-    def step(seen: Column, span: Column) -> Column:
-        gap = F.substring(text, seen["at"] + 1, span["start"] - seen["at"])
-        fresh = span["start"] >= seen["at"]
-        return F.struct(
-            F.greatest(seen["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(seen["out"], gap, F.lit(mark))).otherwise(seen["out"]).alias("out"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, first, step, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    """The text with every span, overlapping ones united, replaced by ``mark``.
+
+    The text is cut once for each chunk of spans, and the part of a chunk once for each span.
+    """
+
+    def advance(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, at, lambda seen, span: F.greatest(seen, span["end"]))
+
+    def work(chunk: Column, base: Column) -> Column:
+        def parts(own: Column) -> Column:
+            def step(seen: Column, span: Column) -> Column:
+                gap = F.substring(own, seen["at"] - base + 1, span["start"] - seen["at"])
+                fresh = span["start"] >= seen["at"]
+                return F.struct(
+                    F.greatest(seen["at"], span["end"]).alias("at"),
+                    F.when(fresh, F.concat(seen["out"], F.array(gap, F.lit(mark)))).otherwise(seen["out"]).alias("out"),
+                )
+
+            first = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.array_join(F.aggregate(chunk, first, step, lambda seen: seen["out"]), "")
+
+        return bind(F.substring(text, base + 1, advance(base, chunk) - base), parts)
+
+    marked = F.array_join(in_chunks(spans, F.lit(0), advance, work), "")
+    tail = F.substring(text, advance(F.lit(0), spans) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(marked, tail)).otherwise(text)
 
 
 def redact_all(docs: DataFrame, rules: list[SecretRule] | None = None, size: str | None = "n_chars") -> DataFrame:
