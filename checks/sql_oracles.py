@@ -20,6 +20,7 @@ from urbanweave.functions.hexgrid import (
     ODD_RESOLUTION_ROTATION,
 )
 from urbanweave.plans import catalogue as c
+from urbanweave.plans.cube_queries import CUBE_QUERIES
 from urbanweave.schemas import FEATURE_TRIP, TRIP
 
 BLOCKS: dict[str, str] = {}
@@ -610,4 +611,6 @@ BLOCKS["every_corner"] = _position("a9 + ca / 3.0::double", "b9 + cb / 3.0::doub
 
 
 def oracles() -> dict[str, str]:
-    return {name: statement(final) for name, final in FINALS.items()}
+    stated = {name: statement(final) for name, final in FINALS.items()}
+    # From monthly states as from the trips.
+    return stated | {f"cube_{name}": stated[name] for name in CUBE_QUERIES}

@@ -17,6 +17,7 @@ from urbanweave.functions.fares import add_fare_features
 from urbanweave.functions.hexgrid import add_cells, cell_boundary, cell_centre, cell_distance, point_cell
 from urbanweave.operators import centrality, cleaning, community, display, flow, graph, hexes, ingest, profile
 from urbanweave.plans import sample_trips as sample
+from urbanweave.plans.cube_queries import CUBE_QUERIES
 from urbanweave.plans.job_queries import JOB_QUERIES
 from urbanweave.runtime import settle
 from urbanweave.schemas import FEATURE_TRIP, TRIP, conform, keep_listed
@@ -550,5 +551,6 @@ QUERIES: dict[str, Query] = {
         map_styles, flow_share, neighborhood_board, pagerank_board, community_board, day_labels, cell_labels, viewport, hexagon_export,
     )
 }
+QUERIES |= {f"cube_{name}": query for name, query in CUBE_QUERIES.items()}
 # The batch jobs, run as of the same day as the landing queries.
 QUERIES |= {query.__name__: lambda spark, sf, query=query: query(spark, sf, TODAY) for query in JOB_QUERIES}
