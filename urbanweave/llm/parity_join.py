@@ -39,6 +39,8 @@ BAND_RATIO = 1.25
 FULL_SEGMENT = 6
 BLOCK_SHINGLES = 2_000_000
 PART = 1024
+#: Links that a task contracts at a time.
+SLICE_EDGES = 200_000
 #: Pairs of a document that are judged at once.
 FIRST_ROUND = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -526,41 +528,51 @@ def _judged(pairs: DataFrame, rows: int, sets: DataFrame, rule: Rule) -> DataFra
     return settle(both.mapInArrow(judge, "a long, b long, linked boolean"))
 
 
-def _grow(pairs: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(nodes: DataFrame, groups: tuple[DataFrame, int], *columns: str) -> DataFrame:
+    """``columns`` of the nodes and the group they are in so far."""
+    side = small_side(groups[0], groups[1])
+    return nodes.join(side, nodes.root == side.at, "left").select(*columns, F.coalesce("group", "root").alias("group"))
+
+
+def _grow(pairs: DataFrame, links: DataFrame, groups: tuple[DataFrame, int], nodes: DataFrame, rows_of: int, texts: DataFrame, rule: Rule):
     """Judge ``pairs`` until each is linked, not linked, or within one group; returns links, groups and the pairs not linked.
 
     Only pairs whose ends still lie in different groups are judged. Where there are
     few for each document, that is one round. Else the first round takes
     ``FIRST_ROUND`` per document, the next four times as many, and so on, so that most
-    pairs of a large group are never needed.
+    pairs of a large group are never needed. ``rows_of`` counts ``nodes``.
     """
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, rule)
-    roots = nodes.select(F.col("node").alias("at"), "root")
-    groups, missed, width = connect(links), [], FIRST_ROUND
+    sets, missed, width = None, [], FIRST_ROUND
     while True:
-        known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
-        apart = pairs.join(known.withColumnsRenamed({"node": "a", "group": "group_a"}), "a").join(known.withColumnsRenamed({"node": "b", "group": "group_b"}), "b")
-        apart, rows = settle_counted(apart.where("group_a <> group_b").select("a", "b"))
+        known = _grouped(nodes, groups, "node")
+        for side in "ab":
+            pairs = pairs.join(small_side(known.withColumnsRenamed({"node": side, "group": f"group_{side}"}), rows_of), side)
+        apart, rows = settle_counted(pairs.where("group_a <> group_b").select("a", "b"))
         if not rows:
             return links, groups, missed
-        lead = apart
+        if sets is None:
+            sets = _sets(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, rule)
+        lead, ahead = apart, rows
         if rows > width * apart.select("b").distinct().count():
             nth = F.row_number().over(W.partitionBy("b").orderBy("a"))
-            lead, rows = settle_counted(apart.withColumn("nth", nth).where(F.col("nth") <= width).select("a", "b"))
-        judged = _judged(lead, rows, sets, rule)
+            lead, ahead = settle_counted(apart.withColumn("nth", nth).where(F.col("nth") <= width).select("a", "b"))
+        judged = _judged(lead, ahead, sets, rule)
         missed.append(judged.where("not linked").select("a", "b"))
-        ends = judged.where("linked").join(roots.withColumnsRenamed({"at": "a", "root": "root_a"}), "a")
-        ends = ends.join(roots.withColumnsRenamed({"at": "b", "root": "root_b"}), "b")
+        ends, met = judged.where("linked"), nodes.select(F.col("node").alias("at"), "root")
+        for side in "ab":
+            ends = met.withColumnsRenamed({"at": side, "root": f"root_{side}"}).join(small_side(ends, ahead), side)
         links = links.unionByName(settle(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
-        groups = connect(links)
+        groups = _connected(links)
+        if ahead == rows:
+            return links, groups, missed
         pairs, width = apart.join(lead, ["a", "b"], "left_anti"), min(width * 4, 1 << 30)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """``pairs`` that sizes and the Hamming bound of the sketches leave possible."""
-    for side in "ab":
-        of = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-        pairs = pairs.join(of, side)
+def _possible(pairs: DataFrame, rows: int, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """``pairs``, counted, that sizes and the Hamming bound of the sketches leave possible."""
+    of = [nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
+    asked = small_side(pairs.select("b").distinct(), rows)
+    pairs = of[0].join(small_side(pairs, rows), "a").join(of[1].join(asked, "b", "left_semi"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2000)):
@@ -573,7 +585,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, near boolean")
 
 
-def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, nodes: DataFrame, groups: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, nodes: DataFrame, known: DataFrame, count: int, rule: Rule, buckets: int) -> DataFrame:
     """Pairs (a, b) of the open keys that lie in different groups so far and may link, each once.
 
     The documents of a key are dealt into parts of about ``PART``, and each two
@@ -585,8 +597,6 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
     first = ours.groupBy("key").agg(F.min("a").alias("node"))
     units = ours.select("key", F.explode(F.array("key", "unit")).alias("unit")).distinct()
     rows = first.unionByName(ours.select("key", F.col("b").alias("node"))).unionByName(members.join(units, "unit").select("key", "node"))
-    known = nodes.join(groups, nodes.root == groups.at, "left").select("node", F.coalesce("group", "root").alias("group"))
-    known, count = settle_counted(known)
     placed = settle(rows.join(small_side(known, count), "node"))
     sizes = placed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
@@ -650,32 +660,51 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    """(u, v), v the smaller: the edges of each task's batches, every node led to the smallest one that they connect it with."""
+    """(u, v), v the smaller: the edges of each slice, every node led to the smallest one that they connect it with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 200_000)):
-            nodes, ends = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(1).to_numpy())), return_inverse=True)
-            forest = _Forest(len(nodes))
-            for i, j in zip(ends[: batch.num_rows].tolist(), ends[batch.num_rows :].tolist(), strict=True):
-                forest.join(i, j)
-            low = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+        held, rows = [], 0
+
+        def forest() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+            joined = _Forest(len(nodes))
+            for i, j in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+                joined.join(i, j)
+            low = np.array([joined.root(i) for i in range(len(nodes))], np.int64)
             led = np.flatnonzero(low < np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[low[led]])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[low[led]])], names=["u", "v"])
+
+        for batch in (part for whole in batches for part in slices(whole, SLICE_EDGES)):
+            if rows + batch.num_rows > SLICE_EDGES:
+                yield forest()
+                held, rows = [], 0
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+        if held:
+            yield forest()
 
     return edges.mapInArrow(run, "u long, v long")
 
 
 def connect(edges: DataFrame) -> DataFrame:
-    """Connected groups of ``edges`` (a, b), written: (at, group), the group being its smallest member.
+    """Connected groups of ``edges`` (a, b), written: (at, group), the group being its smallest member."""
+    return _connected(edges)[0]
+
 
-    Tasks first contract what they hold. Then large and small stars alternate (every
-    node points its larger, then all its neighbours to the smallest one) until nothing
-    changes. Each step is a grouped minimum and a join on the node, and the number of
-    edges never grows.
+def _connected(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``connect``, with the number of its rows.
+
+    Slices of edges are contracted first; one slice is then done. Of several, large
+    and small stars alternate (every node points its larger, then all its neighbours
+    to the smallest one) until nothing changes. Each step is a grouped minimum and a
+    join on the node, and the number of edges never grows.
     """
     counts = {"rows": F.count("u"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
-    edges, before = settle_with(_contracted(edges.select("a", "b")).distinct(), **counts)
-    while before["rows"]:
+    edges, rows = settle_counted(edges.select("a", "b"))
+    parts = -(-rows // SLICE_EDGES)
+    edges, before = settle_with(_contracted(edges.coalesce(max(1, parts))).distinct() if parts > 1 else _contracted(edges.coalesce(1)), **counts)
+    while parts > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -688,7 +717,7 @@ def connect(edges: DataFrame) -> DataFrame:
             break
         before = after
     tops = edges.select(F.col("v").alias("at"), F.col("v").alias("group")).distinct()
-    return settle(edges.select(F.col("u").alias("at"), F.col("v").alias("group")).unionByName(tops))
+    return settle_counted(edges.select(F.col("u").alias("at"), F.col("v").alias("group")).unionByName(tops))
 
 
 def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -706,37 +735,43 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
     found = settle(_met(_blocks(texts, rule, buckets)))
-    nodes = settle(_nodes(found))
+    nodes, count = settle_counted(_nodes(found))
     stars = found.where(F.col("kind") == _KEYS).select("key", "unit", "a", "b", "mixed")
-    twins = settle(_twins(nodes))
+    twins, copied = settle_counted(_twins(nodes))
     # Copies in other blocks are stood for by the first of them, so each pair of texts is judged once.
     met = stars.select("a", "b").distinct()
     for side in "ab":
-        met = met.join(twins.withColumnsRenamed({"node": side, "twin": f"twin_{side}"}), side, "left")
+        met = met.join(small_side(twins.withColumnsRenamed({"node": side, "twin": f"twin_{side}"}), copied), side, "left")
         met = met.withColumn(f"twin_{side}", F.coalesce(f"twin_{side}", side))
     met = settle(met.where("twin_a <> twin_b"))
-    pairs = met.select(F.least("twin_a", "twin_b").alias("a"), F.greatest("twin_a", "twin_b").alias("b")).distinct()
-    pairs = settle(_possible(pairs, nodes, rule))
+    pairs, rows = settle_counted(met.select(F.least("twin_a", "twin_b").alias("a"), F.greatest("twin_a", "twin_b").alias("b")).distinct())
+    pairs = settle(_possible(pairs, rows, nodes, rule))
     near = pairs.where("near").select("a", "b")
     roots = nodes.select("node", "root")
-    copies = twins.join(roots, "node").select("twin", F.col("root").alias("b"))
-    links = settle(copies.join(roots.withColumnsRenamed({"node": "twin", "root": "a"}), "twin").select("a", "b"))
-    links, groups, missed = _grow(near, links, nodes, texts, rule)
+    copies = roots.join(small_side(twins, copied), "node").select("twin", F.col("root").alias("b"))
+    first = roots.withColumnsRenamed({"node": "twin", "root": "a"})
+    links = settle(first.join(small_side(copies, copied), "twin").select("a", "b").distinct())
+    links, groups, missed = _grow(near, links, _connected(links), nodes, count, texts, rule)
 
     failed = pairs.where("not near").select("a", "b")
     for part in missed:
         failed = failed.unionByName(part)
-    failed = failed.select(F.col("a").alias("low"), F.col("b").alias("high"))
+    failed, rows = settle_counted(failed.select(F.col("a").alias("low"), F.col("b").alias("high")))
     between = (F.least("twin_a", "twin_b") == F.col("low")) & (F.greatest("twin_a", "twin_b") == F.col("high"))
-    open_pairs, rows = settle_counted(met.join(failed, between, "left_semi").select("a", "b"))
+    known = settle(_grouped(nodes, groups, "node"))
+    # A pair that others have joined since leaves no question open.
+    apart = met.join(small_side(failed, rows), between, "left_semi").select("a", "b")
+    for side in "ab":
+        apart = apart.join(small_side(known.withColumnsRenamed({"node": side, "group": f"group_{side}"}), count), side)
+    open_pairs, rows = settle_counted(apart.where("group_a <> group_b").select("a", "b"))
     asked = stars.join(small_side(open_pairs, rows), ["a", "b"], "left_semi").select("key")
     open_keys, rows = settle_counted(asked.unionByName(stars.where("mixed").select("key")).distinct())
-    rest = _open_pairs(small_side(open_keys, rows), stars, _members(found), nodes, groups, rule, buckets)
+    rest = _open_pairs(small_side(open_keys, rows), stars, _members(found), nodes, known, count, rule, buckets)
     rest, more = settle_counted(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if more:
-        _, groups, _ = _grow(rest, links, nodes, texts, rule)
+        _, groups, _ = _grow(rest, links, groups, nodes, count, texts, rule)
 
-    grouped = nodes.join(groups, nodes.root == groups.at, "left").select("node", "doc_id", "text_id", "n_shingles", F.coalesce("group", "root").alias("group"))
+    grouped = _grouped(nodes, groups, "node", "doc_id", "text_id", "n_shingles")
     # Rows of a block meet there first, so a group of any size has one row per block to join.
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     found = grouped.join(best, "group")
