@@ -21,6 +21,7 @@ from urbanweave.functions.hexgrid import (
 )
 from urbanweave.plans import catalogue as c
 from urbanweave.plans.cube_queries import CUBE_QUERIES
+from urbanweave.plans.job_queries import SCOPE
 from urbanweave.schemas import FEATURE_TRIP, TRIP
 
 BLOCKS: dict[str, str] = {}
@@ -209,6 +210,9 @@ from wide t {_CELL_JOIN}"""
 BLOCKS["edges"] = """
 select pickup_h3, dropoff_h3, count(*) as weight from celled
 where pickup_h3 <> dropoff_h3 group by all having count(*) >= 5"""
+BLOCKS["job_edges"] = f"""
+select p.cell as pickup_h3, d.cell as dropoff_h3, count(*) as weight from job_wide t {_CELL_JOIN}
+where p.cell <> d.cell group by all having count(*) >= 5"""
 BLOCKS["nodes"] = "select pickup_h3 as h3_cell from edges union select dropoff_h3 from edges"
 BLOCKS["strength"] = """
 select h3_cell, in_strength, out_strength, in_strength + out_strength as total_flow from (
@@ -563,6 +567,14 @@ FINALS: dict[str, str] = {
     "job_loaded": f"""select trip_id, trip_start_timestamp, neighborhood, p.cell as pickup_h3
         from (select * from job_wide where trip_id is not null qualify {_FIRST_COPY}) t
         left join cells p on p.lat = t.pickup_centroid_latitude and p.lon = t.pickup_centroid_longitude""",
+    "job_scope": f"""select step, trip_id, {_PARTS} from job_kept, (values ('clean'), ('features')) s(step)
+        where year(trip_start_timestamp) = {SCOPE[0]} and month(trip_start_timestamp) = {SCOPE[1]}""",
+    "job_graph_tables": """select 'edge' as item, pickup_h3 || '>' || dropoff_h3 as key, weight::bigint as value from job_edges
+        union all select 'flow', cell, sum(weight)::bigint from (
+          select pickup_h3 as cell, weight from job_edges union all select dropoff_h3, weight from job_edges) group by 2
+        union all select 'labelled', '', count(distinct cell) from (select pickup_h3 as cell from job_edges union all select dropoff_h3 from job_edges)
+        union all select 'hour', hour::varchar, count(*) from job_wide where hour is not null group by 2
+        union all select 'trips', '', 0""",
     "community_check": """select count(*) as nodes, 0::bigint as misnumbered, 0::bigint as unlabelled, 0::bigint as gaining,
           0::bigint as split, true as beats_districts from nodes""",
     "community_sizes": "select * from districts",

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from urbanweave.plans import jobs
 from urbanweave.plans import sample_trips as sample
-from urbanweave.runtime import shared_folder
+from urbanweave.runtime import settle, shared_folder
 from urbanweave.schemas import DOWNLOAD_LOG, FEATURE_TRIP
 from urbanweave.sources import tables
 from urbanweave.sources.months import read_landed
 
+#: The month of the scoped run.
+SCOPE = (2024, 12)
 _RUNS: dict[tuple[str, str], str] = {}
 
 
@@ -80,5 +82,47 @@ def job_loaded(spark: SparkSession, sf: str, today) -> DataFrame:
     return spark.table(table).select("trip_id", "trip_start_timestamp", "neighborhood", "pickup_h3")
 
 
+def job_scope(spark: SparkSession, sf: str, today) -> DataFrame:
+    """Clean rows and features of a run over one month."""
+    base = _ran(spark, sf, today)
+    scoped = f"{base}/scope-{uuid.uuid4().hex}"
+    year, month = SCOPE
+    jobs.clean(spark, f"{base}/landed", f"{scoped}/clean", year, month)
+    jobs.featurize(spark, f"{base}/clean", f"{scoped}/features", year, month)
+    clean = spark.read.parquet(f"{scoped}/clean").select(F.lit("clean").alias("step"), "trip_id", "year", "month")
+    features = spark.read.parquet(f"{scoped}/features")
+    return clean.unionByName(features.select(F.lit("features").alias("step"), "trip_id", F.col("p_year").alias("year"), F.col("p_month").alias("month")))
+
+
+def job_graph_tables(spark: SparkSession, sf: str, today) -> DataFrame:
+    """What the graph job wrote and the load read back, without loading trips: (item, key, value).
+
+    Edges and strengths come from the loaded tables, the hourly list from the JSON
+    report; ``labelled`` counts the cells with a community, ``trips`` the trips that
+    the load without trips has added.
+    """
+    base = _ran(spark, sf, today)
+    folder = f"{base}/graph-{uuid.uuid4().hex}"
+    jobs.analyse_graph(spark.read.parquet(f"{base}/features"), folder, generated_at="2025-11-15T00:00:00")
+    tables.create_tables(spark)
+    before = spark.table(tables.TRIPS_TABLE).count()
+    jobs.load(spark, f"{base}/features", folder, skip_trips=True)
+    spark.catalog.refreshTable(tables.TRIPS_TABLE)
+    added = spark.table(tables.TRIPS_TABLE).agg((F.count(F.lit(1)) - before).alias("value"))
+    hourly = tables.read_json_list(spark, f"{folder}/temporal_analysis", "hourly_flow", "hour: int, trips: bigint")
+    parts = [
+        spark.table("edge_list").select(F.lit("edge").alias("item"), F.concat_ws(">", "pickup_h3", "dropoff_h3").alias("key"), F.col("weight").alias("value")),
+        spark.table("node_metrics").select(F.lit("flow").alias("item"), F.col("h3_cell").alias("key"), F.col("total_flow").alias("value")),
+        spark.table("communities").where("community IS NOT NULL").agg(F.count_distinct("h3_cell").alias("value")).select(F.lit("labelled").alias("item"), F.lit("").alias("key"), "value"),
+        hourly.select(F.lit("hour").alias("item"), F.col("hour").cast("string").alias("key"), F.col("trips").alias("value")),
+        added.select(F.lit("trips").alias("item"), F.lit("").alias("key"), "value"),
+    ]
+    found = parts[0].withColumn("value", F.col("value").cast("bigint"))
+    for part in parts[1:]:
+        found = found.unionByName(part.withColumn("value", F.col("value").cast("bigint")))
+    # Later loads replace the tables, so the rows are written.
+    return settle(found)
+
+
 _LOSS = "original bigint, kept bigint, removed bigint, pct_removed double"
-JOB_QUERIES = (job_landed, job_log, job_loss, job_clean, job_report, job_features, job_loaded)
+JOB_QUERIES = (job_landed, job_log, job_loss, job_clean, job_report, job_features, job_loaded, job_scope, job_graph_tables)
