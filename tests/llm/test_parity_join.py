@@ -193,3 +193,10 @@ def test_blocks_close_at_a_number_of_rows(spark):
     texts = spark.range(70_000).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)
     out = pj.components(texts)
     assert out.where("component_id <> doc_id or n_shingles <> 0 or not stays").count() == 0 and out.count() == 70_000
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    text = cases.prose(50, 3)
+    rows = [(1, text, lang, source, n) for lang, source, n in (("en", "b", 1), (None, "a", 9), ("de", "a", 2), ("en", "a", 1))]
+    kept = {tuple(pj.keep_one(cases.table(spark, rows, parts)).select("doc_id", "lang", "source", "n_chars").first()) for parts in (1, 2, 4)}
+    assert len(kept) == 1

@@ -127,3 +127,19 @@ def test_long_texts_with_many_matches(spark):
     spans = ledger.where("size(spans) > 0").first().spans
     assert [(s.start, s.end) for s in spans] == [(35 * i, 35 * i + 32) for i in range(n)]
     assert {r.doc_id: r.text for r in sl.redact_all(docs).collect()} == {1: " ".join("[SECRET] é" for _ in range(n)), 2: "plain"}
+
+
+def test_known_texts_are_not_moved_again(spark):
+    """A second scan of a known corpus reads no blob; a new text and a new rule version are read alone."""
+    docs = spark.createDataFrame([(i, f"token=abcdef{i} {'x' * i}") for i in range(20)], "doc_id long, text string")
+    _, ledger = sl.scan(docs)
+    _, again = sl.scan(docs, ledger)
+    assert again.count() == ledger.count() == 20
+    more = docs.union(spark.createDataFrame([(20, "secret: zzzzzz9")], "doc_id long, text string"))
+    addresses, third = sl.scan(more, again)
+    assert third.count() == 21
+    newer = [*sl.RULES[:-1], sl.SecretRule(sl.RULES[-1].kind, sl.RULES[-1].pattern, sl.RULES[-1].gates, version=9)]
+    _, fourth = sl.scan(more, third, rules=newer)
+    fresh = [r.rules for r in fourth.collect() if len(r.rules) == 1]
+    assert fourth.count() == 42 and fresh == [[newer[-1].id]] * 21
+    assert sl.findings(addresses, fourth, newer).where("size(spans) = 1").count() == 21

@@ -782,7 +782,9 @@ def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, of which one per group of linked rows stays.
 
     Rows go by doc_id and a hash of the text. Only of repeated rows (same id and
-    text), of which one stays, the copies are parted from each other.
+    text), of which one stays, the copies are parted from each other: the first one
+    stays, in the order of all its columns as JSON. Null and empty texts, and texts
+    without words, link with nothing and stay.
     """
     judged = components(docs, rule).groupBy("doc_id", "text_id").agg(F.max("stays").alias("any"), F.min("stays").alias("all"))
     judged = settle(judged.where("not all"))
@@ -796,5 +798,9 @@ def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         return rest
     same = rest["doc_id"].eqNullSafe(twice.twice_id) & (F.xxhash64(rest["text"]) == twice.twice_text)
     single = rest.join(small_side(twice, copies), same, "left_anti")
-    first = rest.join(small_side(twice, copies), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    again = rest.join(small_side(twice, copies), same, "left_semi")
+    # Rows travel as one column, so no column of theirs can clash with one made here.
+    rows = again.select("doc_id", F.xxhash64("text").alias("text_id"), F.struct(*columns).alias("row"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_id").orderBy(F.to_json("row")))
+    first = rows.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
     return single.unionByName(first).select(*columns)

@@ -130,14 +130,18 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Secre
     spark = versions.sparkSession
     addressed = versions.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(content), F.lit("")), 256)))
     addresses = addressed.drop(content)
-    blobs = addressed.groupBy("blob").agg(F.first(F.coalesce(F.col(content), F.lit(""))).alias("text"))
     wanted = F.array(*[F.lit(rule.id) for rule in rules]).cast("array<string>")
+    text = F.first(F.coalesce(F.col(content), F.lit(""))).alias("text")
     if ledger is None:
-        todo = blobs.withColumn("missing", wanted)
+        todo = addressed.groupBy("blob").agg(text).withColumn("missing", wanted)
     else:
+        # Hashes meet the ledger first; only texts of blobs that it does not know are moved.
         done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         missing = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
-        todo = blobs.join(done, "blob", "left").withColumn("missing", missing).where(F.size("missing") > 0)
+        asked = addresses.select("blob").distinct().join(done, "blob", "left").select("blob", missing.alias("missing"))
+        asked, rows = settle_counted(asked.where(F.size("missing") > 0))
+        unseen = addressed.join(small_side(asked.select("blob"), rows), "blob", "left_semi").groupBy("blob").agg(text)
+        todo = unseen.join(small_side(asked, rows), "blob")
     read = todo.select("blob", "text", "missing", F.lower("text").alias("low"))
     fresh = read.select("blob", F.col("missing").alias("rules"), _found(rules, F.col("missing")).alias("spans"))
     path = folder or f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
