@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,22 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
+_FORGETS: list[Callable[[], None]] = []
+
+
+def forgets(clear: Callable[[], None]) -> None:
+    """Register what empties a module's memory of earlier tasks."""
+    _FORGETS.append(clear)
+
+
+def forget_others() -> None:
+    """Empty what tasks of other operators have left in this Python worker, which outlives them."""
+    for clear in _FORGETS:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Map Arrow batches of ``df`` to rows of ``fields`` (StructFields).
 
@@ -105,6 +122,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
     where = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         keep = make()
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(where).to_pylist()), pa.bool_()))

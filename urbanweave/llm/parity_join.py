@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanweave.llm.common import ascii_space, keyed_texts, slices
+from urbanweave.llm.common import ascii_space, forget_others, keyed_texts, slices
 from urbanweave.runtime import settle, settle_counted, settle_with, small_side
 
 BAND_RATIO = 1.25
 #: A segment of fewer elements is too often empty to be a key by itself.
 FULL_SEGMENT = 6
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 PART = 1024
 #: Links that a task contracts at a time.
 SLICE_EDGES = 200_000
@@ -363,6 +363,7 @@ def _describe_block(block: int, rows: list[tuple], rule: Rule, buckets: int) ->
 
 def _blocks(texts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         task, seen, known = TaskContext.get().partitionId(), 0, _Words()
         rows, size = [], 0
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from urbanweave.llm.common import keyed_texts, slices
+from urbanweave.llm.common import forgets, keyed_texts, slices
 
 OFFSET = 10.0
 SPACE = "▁"
@@ -159,6 +159,10 @@ def _sampler(path: str, alpha: float, seed: int) -> Sampler:
     return Sampler(_vocabulary(path), alpha, seed)
 
 
+forgets(_sampler.cache_clear)
+forgets(_vocabulary.cache_clear)
+
+
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
 
