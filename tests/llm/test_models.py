@@ -93,3 +93,87 @@ def test_fit_separates_and_ignores_order_of_equal_input():
     model = qm.fit(rows)
     assert model.score(hasher.buckets("clean text")) > 0.7 > 0.3 > model.score(hasher.buckets("spam $$$"))
     assert (qm.fit(rows).weights == model.weights).all()
+
+
+def plain_ngrams(text, bits):
+    """The quality model's n-grams of a text, one bucket each, from Python integers."""
+    words = [zlib.crc32(t) for t in qm._TOKENS.findall((text or "").encode())]
+    pairs = [1 if a == b else (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b + 0x7F4A7C15 & 0xFFFFFFFF) for a, b in zip(words, words[1:], strict=False)]
+    mixed = [c * 0x85EBCA77 & 0xFFFFFFFF for c in words + pairs]
+    return [(c ^ (c >> 15)) & ((1 << bits) - 1) for c in mixed]
+
+
+def plain_ftrl(rows, bits):
+    """FTRL-proximal with a dense vector for each row, weight by weight."""
+    size = 1 << bits
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)  # the last one is the bias
+    ones = sum(label for _, label in rows)
+    share = {1: len(rows) / (2 * max(1, ones)), 0: len(rows) / (2 * max(1, len(rows) - ones))}
+
+    def weight(i):
+        l1 = 0.0 if i == size else qm.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((qm.BETA + n[i] ** 0.5) / qm.ALPHA + qm.L2)
+
+    for _ in range(qm.EPOCHS):
+        for text, label in rows:
+            grams = plain_ngrams(text, bits)
+            x = [qm.SCALE * grams.count(i) / max(1, len(grams)) for i in range(size)] + [1.0]
+            weights = [weight(i) for i in range(size + 1)]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, weights, strict=True))))
+            for i in range(size + 1):
+                slope = (p - label) * share[label] * x[i]
+                z[i] += slope - ((n[i] + slope**2) ** 0.5 - n[i] ** 0.5) / qm.ALPHA * weights[i]
+                n[i] += slope**2
+    return [weight(i) for i in range(size)], weight(size)
+
+
+def test_quality_model_against_a_dense_one():
+    rows = [(cases.prose(12 + i, i) + (" !!! $$$ click click" * (i % 2)), i % 2) for i in range(30)] + [("", 1), (None, 0)]
+    hasher = qm.Hasher(6)
+    for text, _ in rows:
+        assert sorted(hasher.buckets(text).tolist()) == sorted(plain_ngrams(text, 6))
+    model = qm.fit([(hasher.buckets(t), label) for t, label in rows], bits=6)
+    weights, bias = plain_ftrl(rows, 6)
+    assert np.allclose(model.weights, weights, atol=1e-6) and abs(model.bias - bias) < 1e-9 and any(weights)
+    for text, _ in rows:
+        grams = plain_ngrams(text, 6)
+        total = bias + (qm.SCALE * sum(weights[g] for g in grams) / len(grams) if grams else 0.0)
+        assert abs(model.score(hasher.buckets(text)) - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def plain_votes(model, names, margin):
+    """Winner of the one-versus-one comparisons among ``names``, and its mean certainty."""
+    if len(names) == 1:
+        return names[0], 1.0
+    ranked = []
+    for name in names:
+        met = [(p, 1 if p[0] == name else -1) for p in model.pairs if name in p and set(p) <= set(names)]
+        own = [sign * margin[p] for p, sign in met]
+        wins = sum(m > 0 or (m == 0 and sign < 0) for m, (_, sign) in zip(own, met, strict=True))
+        ranked.append((-wins, -sum(own), name, np.mean([1 / (1 + np.exp(-la.SHARPNESS * m)) for m in own])))
+    best = min(ranked)
+    return best[2], best[3]
+
+
+def test_language_model_against_dense_votes(tables):
+    """Predictions from whole vectors of trigram counts and a plain count of votes."""
+    docs = list(tables[0].values())
+    model = la.fit([d.lang for d in docs[:200]], [d.text for d in docs[:200]])
+    assert len(model.languages) == 4 and len(model.pairs) == 3
+    for text in [*(d.text for d in docs[200:260]), *(r[1] for r in cases.ROWS)]:
+        if not text or not any(c.isalpha() for c in text):
+            assert model.predict(text) == ("und", 0.0)
+            continue
+        data = b" " + b" ".join(text.encode().translate(la._LETTERS).split()) + b" "
+        x = np.zeros(la.BUCKETS)
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            mixed = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+            x[((mixed ^ (mixed >> 15)) * 0x27D4EB2F & 0xFFFFFFFF) >> 17] += 1
+        x = np.sqrt(x) / max(np.sqrt(x.sum()), 1e-12)
+        margin = {pair: float(x @ model.weights[:, i]) + float(model.bias[i]) for i, pair in enumerate(model.pairs)}
+        family, sure = plain_votes(model, sorted({la.family_of(n) for n in model.languages}), margin)
+        name, surer = plain_votes(model, [n for n in model.languages if la.family_of(n) == family], margin)
+        found, score = model.predict(text)
+        assert found == name and abs(score - sure * surer) < 1e-4
