@@ -569,6 +569,9 @@ FINALS: dict[str, str] = {
         left join cells p on p.lat = t.pickup_centroid_latitude and p.lon = t.pickup_centroid_longitude""",
     "job_scope": f"""select step, trip_id, {_PARTS} from job_kept, (values ('clean'), ('features')) s(step)
         where year(trip_start_timestamp) = {SCOPE[0]} and month(trip_start_timestamp) = {SCOPE[1]}""",
+    "job_failures": f"""select year, month, case when month = {SCOPE[1]} then 0 else records end::bigint as records,
+          case when month = {SCOPE[1]} then 'error' else 'ok' end as status, month <> {SCOPE[1]} as timed, records as held
+        from ({_month_counts('job_rows')}) where year = {SCOPE[0]} and month in ({SCOPE[1] - 1}, {SCOPE[1]})""",
     "job_graph_tables": """select 'edge' as item, pickup_h3 || '>' || dropoff_h3 as key, weight::bigint as value from job_edges
         union all select 'flow', cell, sum(weight)::bigint from (
           select pickup_h3 as cell, weight from job_edges union all select dropoff_h3, weight from job_edges) group by 2

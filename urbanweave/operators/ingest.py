@@ -137,12 +137,18 @@ def run_log(
     elapsed_seconds: float | None = None,
     failures: DataFrame | None = None,
 ) -> DataFrame:
-    """One log row per processed month: ok, empty, or ``error: message`` from ``failures``."""
+    """One log row per processed month: ok, empty, or ``error: message`` from ``failures``.
+
+    Rows of ``failures`` without a message are months that went well; a column
+    ``seconds`` of it has the time of each month, in place of that of the whole run.
+    """
     joined = processed.join(counts, ["year", "month"], "left")
+    told = ["message", "seconds"]
     if failures is not None:
-        joined = joined.join(failures.select("year", "month", "message"), ["year", "month"], "left")
-    else:
-        joined = joined.withColumn("message", F.lit(None).cast("string"))
+        joined = joined.join(failures.select("year", "month", *[c for c in told if c in failures.columns]), ["year", "month"], "left")
+    for name, kind in zip(told, ("string", "double"), strict=True):
+        if name not in joined.columns:
+            joined = joined.withColumn(name, F.lit(None).cast(kind))
     failed = F.col("message").isNotNull()
     records = F.when(failed, 0).otherwise(F.coalesce("records", F.lit(0)))
     status = (
@@ -154,7 +160,7 @@ def run_log(
             "month",
             records.alias("records"),
             status.alias("status"),
-            F.when(status == "ok", F.round(F.lit(elapsed_seconds).cast("double"), 1)).alias("elapsed_seconds"),
+            F.when(status == "ok", F.round(F.coalesce("seconds", F.lit(elapsed_seconds).cast("double")), 1)).alias("elapsed_seconds"),
             F.lit(finished_at).alias("downloaded_at"),
         ),
         DOWNLOAD_LOG,

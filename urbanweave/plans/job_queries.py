@@ -94,6 +94,25 @@ def job_scope(spark: SparkSession, sf: str, today) -> DataFrame:
     return clean.unionByName(features.select(F.lit("features").alias("step"), "trip_id", F.col("p_year").alias("year"), F.col("p_month").alias("month")))
 
 
+def job_failures(spark: SparkSession, sf: str, today) -> DataFrame:
+    """Log of a second landing of two months, one of which cannot be read any more, and the rows held of each.
+
+    The month that fails is logged with its error and keeps the rows of the first landing.
+    """
+    base = _ran(spark, sf, today)
+    root = f"{base}/failures-{uuid.uuid4().hex}"
+    feed, (year, month) = read_landed(spark, f"{base}/feed"), SCOPE
+    jobs.land(feed, root, today, years=[year], months=[month - 1, month])
+    start = F.col("trip_start_timestamp").try_cast("timestamp_ntz")
+    bad = (F.year(start) == year) & (F.month(start) == month)
+    broken = feed.withColumn("fare", F.when(bad, F.raise_error(F.lit("unreadable fare"))).otherwise(F.col("fare")).cast("string"))
+    log = jobs.land(broken, root, today, years=[year], months=[month - 1, month], skip_existing=False).log
+    held = spark.read.parquet(root).groupBy("year", "month").agg(F.count(F.lit(1)).alias("held"))
+    status = F.regexp_replace("status", "^error: .*", "error").alias("status")
+    timed = F.col("elapsed_seconds").isNotNull().alias("timed")
+    return settle(log.join(held, ["year", "month"]).select("year", "month", "records", status, timed, "held"))
+
+
 def job_graph_tables(spark: SparkSession, sf: str, today) -> DataFrame:
     """What the graph job wrote and the load read back, without loading trips: (item, key, value).
 
@@ -125,4 +144,4 @@ def job_graph_tables(spark: SparkSession, sf: str, today) -> DataFrame:
 
 
 _LOSS = "original bigint, kept bigint, removed bigint, pct_removed double"
-JOB_QUERIES = (job_landed, job_log, job_loss, job_clean, job_report, job_features, job_loaded, job_scope, job_graph_tables)
+JOB_QUERIES = (job_landed, job_log, job_loss, job_clean, job_report, job_features, job_loaded, job_scope, job_failures, job_graph_tables)

@@ -90,16 +90,26 @@ def first_copies(typed: DataFrame) -> DataFrame:
     return dedup_first(monthly, within=("_year", "_month")).drop("_year", "_month")
 
 
-def _write_each(spark: SparkSession, trips: DataFrame, todo: DataFrame, root: str) -> DataFrame:
-    """Write the months of ``todo`` one by one; returns (year, month, message) of those that failed."""
-    ts, failed = F.col("trip_start_timestamp"), []
+def _write_each(spark: SparkSession, typed: DataFrame, todo: DataFrame, root: str) -> DataFrame:
+    """Write the months of ``todo`` one by one; returns (year, month, message, seconds), the message being null where all went well."""
+    ts, written = F.col("trip_start_timestamp"), []
     for row in todo.orderBy("year", "month").collect():  # calendar months, so few
+        started, message = time.monotonic(), None
         try:
-            write_months(trips.where((F.year(ts) == row.year) & (F.month(ts) == row.month)), root)
+            # Only rows of the month are read, so a bad one does not fail the others.
+            write_months(first_copies(typed.where((F.year(ts) == row.year) & (F.month(ts) == row.month))), root)
         except PySparkException as error:
+            _raise_unless_of_rows(error)
             log.warning("month %d-%02d failed: %s", row.year, row.month, error)
-            failed.append((row.year, row.month, str(error).splitlines()[0][:200]))
-    return spark.createDataFrame(failed, "year int, month int, message string")
+            message = str(error).splitlines()[0][:200]
+        written.append((row.year, row.month, message, time.monotonic() - started))
+    return spark.createDataFrame(written, "year int, month int, message string, seconds double")
+
+
+def _raise_unless_of_rows(error: PySparkException) -> None:
+    """Raise what no month can cause: lost executors, memory, and jobs that someone has cancelled."""
+    if any(sign in str(error) for sign in ("OutOfMemoryError", "ExecutorLostFailure", "cancelled", "canceled")):
+        raise error
 
 
 def land(
@@ -134,8 +144,9 @@ def land(
     try:
         write_months(monthly, root)
     except PySparkException as error:
+        _raise_unless_of_rows(error)
         log.warning("landing all months at once failed, taking them one by one: %s", error)
-        failures = _write_each(spark, monthly, todo, root)
+        failures = _write_each(spark, typed, todo, root)
     if undated.limit(1).count():
         write_months(undated, root)
 
