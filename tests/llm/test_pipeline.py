@@ -81,7 +81,7 @@ def test_entry_without_the_package(tmp_path):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names}
 
 
 def test_statements_give_the_rows_of_their_queries(spark):
