@@ -98,9 +98,8 @@ def _axial_cell(a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _cell_axial(cells: pd.Series):
-    """Axial pair of each cell text, and whether it is a cell of the covered area."""
-    texts = cells.to_numpy(dtype=object)
-    numbers = np.fromiter((_cell_number(t) for t in texts), dtype=np.int64, count=len(texts))
+    """Axial pair of each cell number, and whether it is a cell of the covered area."""
+    numbers = cells.to_numpy(dtype=np.int64)
     fixed = ~((1 << 45) - 1) | ((1 << _LOW_BITS) - 1)
     known = (numbers & fixed) == (_EMPTY_CELL & fixed)
     a = np.full(len(numbers), float(BASE_CELL_AXIAL[0]))
@@ -114,14 +113,6 @@ def _cell_axial(cells: pd.Series):
     return a, b, known
 
 
-def _cell_number(text) -> int:
-    try:
-        number = int(text, 16)
-    except (TypeError, ValueError):
-        return -1
-    return number if number < 1 << 63 else -1
-
-
 def _axial_distance(da: np.ndarray, db: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(np.abs(da), np.abs(db)), np.abs(da - db))
 
@@ -167,8 +158,7 @@ def _trip_numbers(plat: pd.Series, plng: pd.Series, dlat: pd.Series, dlng: pd.Se
 def _cell_steps(first: pd.Series, second: pd.Series) -> pd.Series:
     a1, b1, known1 = _cell_axial(first)
     a2, b2, known2 = _cell_axial(second)
-    steps = np.where(known1 & known2, _axial_distance(a1 - a2, b1 - b2), -1)
-    return pd.Series(np.where((first == second).to_numpy(bool), 0, steps).astype(np.int32))
+    return pd.Series(np.where(known1 & known2, _axial_distance(a1 - a2, b1 - b2), -1).astype(np.int32))
 
 
 @_once
@@ -205,6 +195,12 @@ def _non_negative(number: Column) -> Column:
     return F.nullif(number, F.lit(-1).cast("long"))
 
 
+def _number(cell: Column) -> Column:
+    """The number that a cell's hex digits spell, -1 for other texts and NULL."""
+    spelled = F.when(cell.rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(cell, 16, 10).try_cast("bigint"))
+    return F.coalesce(spelled, F.lit(-1).cast("bigint"))
+
+
 def point_cell(lat: Column, lng: Column) -> Column:
     """Cell of a point as 15 hex digits; NULL on NULL or outside the covered area."""
     return _text(_point_number(lat, lng))
@@ -212,17 +208,17 @@ def point_cell(lat: Column, lng: Column) -> Column:
 
 def cell_distance(first: Column, second: Column) -> Column:
     """Grid steps between two cells: 0 for equal texts, NULL when either is no known cell."""
-    return _non_negative(_cell_steps(first, second))
+    return F.when(first == second, F.lit(0)).otherwise(_non_negative(_cell_steps(_number(first), _number(second))))
 
 
 def cell_centre(cell: Column) -> Column:
     """struct(lat, lon) of the cell centre."""
-    return _cell_centre(cell)
+    return _cell_centre(_number(cell))
 
 
 def cell_boundary(cell: Column) -> Column:
     """The six corners as array of struct(lat, lon), counter-clockwise."""
-    return _cell_corners(cell)
+    return _cell_corners(_number(cell))
 
 
 def add_cells(df: DataFrame) -> DataFrame:
