@@ -39,6 +39,8 @@ BAND_RATIO = 1.25
 FULL_SEGMENT = 6
 BLOCK_SHINGLES = 1_000_000
 PART = 1024
+#: Pairs of a meeting whose distances are worked out at a time.
+MEETING_PAIRS = 250_000
 #: Links that a task contracts at a time.
 SLICE_EDGES = 200_000
 #: Pairs of a document that are judged at once.
@@ -425,16 +427,16 @@ def _clusters(heads: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> np.nda
         chosen = heads[counts == size]
         if size > 4096:  # one cluster, which loses no link
             continue
-        for part in np.array_split(chosen, 1 + len(chosen) * size * size // 4_000_000):
+        for part in np.array_split(chosen, 1 + len(chosen) * size * size // 1_000_000):
             rows = part[:, None] + np.arange(size)[None, :]
             near = np.bitwise_count(rest[rows][:, :, None] ^ rest[rows][:, None, :]) <= 2
-            label = np.broadcast_to(np.arange(size), rows.shape)
+            label = np.broadcast_to(np.arange(size, dtype=np.int16), rows.shape)
             while True:
-                low = np.where(near, label[:, None, :], size).min(axis=2)
+                low = np.where(near, label[:, None, :], np.int16(size)).min(axis=2)
                 if (low == label).all():
                     break
                 label = low
-            out[rows] = np.take_along_axis(rows, label, axis=1)
+            out[rows] = np.take_along_axis(rows, label.astype(np.int64), axis=1)
     return out
 
 
@@ -467,7 +469,7 @@ def _met(blocks: DataFrame) -> DataFrame:
         keys, node, mixed = keys[order], node[order], mixed[order]
         value = keys >> _U(REST)
         heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        cluster = _clusters(heads, np.diff(np.r_[heads, len(keys)]), keys & _LOW)
+        cluster = _clusters(heads, np.diff(np.r_[heads, len(keys)]), (keys & _LOW).astype(np.uint16))
         open_ = np.zeros(len(keys), np.int64)
         np.maximum.at(open_, cluster, mixed)
         rest = np.flatnonzero(cluster != np.arange(len(keys)))
@@ -647,7 +649,7 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
                 a, b = np.repeat(left, len(right)), np.tile(right, len(left))
             pending.append((a, b))
             count += len(a)
-            if count > 1_000_000:
+            if count > MEETING_PAIRS:
                 judge()
                 pending, count = [], 0
                 half.clear()
@@ -656,7 +658,8 @@ def _open_pairs(open_keys: DataFrame, stars: DataFrame, members: DataFrame, node
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    meetings = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "p", "q"), F.lit(buckets)))
+    # More and smaller groups than keys are dealt into, since rows carry sketches here.
+    meetings = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "p", "q"), F.lit(4 * buckets)))
     return meetings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
