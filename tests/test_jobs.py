@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from urbanweave.operators.flow import hourly_flow
-from urbanweave.plans import jobs, sample_trips
+from urbanweave.plans import job_queries, jobs, sample_trips
 from urbanweave.schemas import COMMUNITIES, EDGE_LIST, FEATURE_TRIP, GRAPH_TABLES, RAW_TRIP
 from urbanweave.sources import tables
 from urbanweave.sources.months import present_months, read_landed, read_months
@@ -131,3 +131,13 @@ def test_arrivals_are_loaded_once(spark, roots):
     spark.catalog.refreshTable("arrived")
     whole = spark.table("arrived")
     assert 0 < part < whole.count() == whole.select("trip_id").distinct().count()
+
+
+def test_feed_is_packed_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(job_queries, "FEED_ROWS", 300)
+    feed = sample_trips.landed(spark, SMALL)
+    job_queries.write_feed(feed, str(tmp_path / "feed"))
+    files = list((tmp_path / "feed").glob("part-*"))
+    assert all(f.name.endswith(".json.gz") for f in files) and len(files) >= feed.count() / 300 > 1
+    read = read_landed(spark, str(tmp_path / "feed"))
+    assert read.exceptAll(feed).isEmpty() and feed.exceptAll(read).isEmpty()

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 
 from urbanweave import runtime
+from urbanweave.sources.months import write_months
 
 
 class Context:
@@ -47,3 +48,23 @@ def test_broadcast_hint_depends_on_the_counted_rows(spark):
     hinted = runtime.small_side(rows, 10)._jdf.queryExecution().logical().toString()
     assert "broadcast" in hinted
     assert runtime.small_side(rows, runtime.BROADCAST_ROW_LIMIT + 1) is rows
+
+
+def test_small_tasks_end_with_the_block_and_leave_own_settings(spark):
+    own, ours = runtime.TASK_BYTES
+    usual = spark.conf.get(ours)
+    spark.conf.set(own, "5m")
+    try:
+        with runtime.small_tasks(spark):
+            assert spark.conf.get(own) == "5m" and spark.conf.get(ours) == runtime.TASK_BYTES[ours] != usual
+        assert spark.conf.get(own) == "5m" and spark.conf.get(ours) == usual
+    finally:
+        spark.conf.unset(own)
+
+
+def test_months_are_written_in_small_tasks(spark, tmp_path):
+    """A month of many rows is written, and sorted before, in parts."""
+    noise = [f"sha2(concat(id, '{n}'), 512) AS c{n}" for n in range(8)]
+    trips = spark.range(60_000).selectExpr("timestamp_ntz'2024-01-05 00:00:00' AS trip_start_timestamp", *noise)
+    write_months(trips, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "year=2024" / "month=01").glob("*.parquet"))) > 1

@@ -20,15 +20,22 @@ from urbanweave.sources.months import read_landed
 
 #: The month of the scoped run.
 SCOPE = (2024, 12)
+#: Rows of a landed file at most.
+FEED_ROWS = 200_000
 _RUNS: dict[tuple[str, str], str] = {}
 
 
+def write_feed(landed: DataFrame, path: str) -> None:
+    """Landed rows as packed JSON. Packed files cannot be split, so none has more rows than a task should read."""
+    landed.write.option("compression", "gzip").option("maxRecordsPerFile", FEED_ROWS).json(path)
+
+
 def _ran(spark: SparkSession, sf: str, today) -> str:
     """Folder of the written jobs, run when first asked for."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         base = f"{shared_folder(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}"
-        sample.landed(spark, sf).write.json(f"{base}/feed")
+        write_feed(sample.landed(spark, sf), f"{base}/feed")
         for _ in range(2):
             jobs.land(read_landed(spark, f"{base}/feed"), f"{base}/landed", today)
         for turn in range(2):

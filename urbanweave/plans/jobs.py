@@ -34,7 +34,7 @@ from urbanweave.operators.ingest import (
     run_log,
     run_totals,
 )
-from urbanweave.runtime import settle
+from urbanweave.runtime import settle, small_tasks
 from urbanweave.schemas import AMOUNT_COLUMNS, AREA_COLUMNS, DOWNLOAD_LOG, TRIP
 from urbanweave.sources import tables
 from urbanweave.sources.months import exists, in_scope, present_months, write_months
@@ -139,7 +139,8 @@ def land(
     if exists(spark, root):
         held = spark.read.parquet(root).where("year IS NULL").drop("year", "month")
         undated = undated.unionByName(held, allowMissingColumns=True)
-    undated = settle(first_copies(undated))
+    with small_tasks(spark):
+        undated = settle(first_copies(undated))
     failures = None
     try:
         write_months(monthly, root)

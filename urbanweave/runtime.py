@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 500_000
 
 
+# Bytes that a task reads of files or of a shuffle, for rows that are sorted whole. Compressed
+# trips unfold to ten times their size and more, and what a task sorts must fit its memory.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": "16m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside read ``TASK_BYTES`` at most in a task, where the session has no setting of its own."""
+    ours = {name: size for name, size in TASK_BYTES.items() if name not in spark.conf.getAll}
+    for name, size in ours.items():
+        spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        for name in ours:
+            spark.conf.unset(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 

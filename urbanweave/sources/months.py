@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urbanweave.runtime import small_tasks
 from urbanweave.schemas import RAW_TRIP, conform
 
 MONTH_SCHEMA = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -71,11 +72,12 @@ def write_months(trips: DataFrame, root: str, names: tuple[str, str] = ("year",
     parted = trips.withColumns(
         {year: F.year(ts).cast("string"), month: F.lpad(F.month(ts).cast("string"), 2, "0")}
     )
-    (
-        parted.hint("rebalance", year, month)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy(year, month)
-        .parquet(root)
-    )
+    with small_tasks(trips.sparkSession):
+        (
+            parted.hint("rebalance", year, month)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "snappy")
+            .partitionBy(year, month)
+            .parquet(root)
+        )
