@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from urbanweave.llm import common
 from urbanweave.llm import parity_join as pj
 from urbanweave.llm.queries import QUERIES
 
@@ -200,3 +201,32 @@ def test_of_repeated_rows_the_same_one_stays(spark):
     rows = [(1, text, lang, source, n) for lang, source, n in (("en", "b", 1), (None, "a", 9), ("de", "a", 2), ("en", "a", 1))]
     kept = {tuple(pj.keep_one(cases.table(spark, rows, parts)).select("doc_id", "lang", "source", "n_chars").first()) for parts in (1, 2, 4)}
     assert len(kept) == 1
+
+
+def test_keys_of_a_bucket_meet_in_parts(spark, monkeypatch):
+    """Sorting part of a bucket at a time finds what sorting all of it finds."""
+    rows = [(i, cases.prose(60, i % 7) + " more" * (i % 3)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id").selectExpr("*", "xxhash64(text) as text_id")
+
+    def met():
+        found = pj._met(pj._blocks(frame, pj.Rule(), 2)).where(f"kind = {pj._KEYS}")
+        return Counter(tuple(r) for r in found.select("key", "unit", "a", "b", "mixed").collect())
+
+    whole = met()
+    monkeypatch.setattr(pj, "MEETING_KEYS", 20)
+    assert whole and met() == whole
+
+
+def test_a_worker_hands_back_what_a_task_has_freed():
+    kept = []
+
+    def held():
+        return int(next(line for line in open("/proc/self/status") if line.startswith("VmRSS")).split()[1]) // 1024
+
+    def run(batches):
+        pieces = [bytes(60_000) + b"x" for _ in range(5_000)]
+        kept.extend(pieces[::50])  # what stays lies among what goes
+        yield from batches
+
+    before = held()
+    assert list(common.lets_go(run)([])) == [] and held() - before < 150

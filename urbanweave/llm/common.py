@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterator
 
@@ -28,12 +30,48 @@ def forgets(clear: Callable[[], None]) -> None:
     _FORGETS.append(clear)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only of some C libraries
+
+
+def let_go() -> None:
+    """Hand back to the system what this Python worker has freed, which allocators keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lets_go(run: Callable) -> Callable:
+    """``run`` over Arrow batches, which lets go at its end: a worker waits for its next task with what the last one left."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return whole
+
+
+def meeting(meet: Callable[[pa.Table], Iterator[pa.Table]]) -> Callable:
+    """``meet`` of the whole of a group, for ``applyInArrow``: its tables leave one by one, and the worker lets go after the last."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in meet(pa.Table.from_batches(list(batches))):
+            yield from table.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from lets_go(whole)(batches)
+
+    return run
+
+
 def forget_others() -> None:
     """Empty what tasks of other operators have left in this Python worker, which outlives them."""
     for clear in _FORGETS:
         clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    let_go()
 
 
 def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
@@ -55,7 +93,7 @@ def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict],
             out = apply(columns)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lets_go(run), schema)
 
 
 #: Items of an array that are worked through at a time.
@@ -124,7 +162,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         keep = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array(keep(batch.column(where).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lets_go(run), df.schema)
