@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanweave.llm import decontaminate, language_id, parity_join, piece_sampling, secret_ledger
-from urbanweave.llm.common import documents
+from urbanweave.llm.common import be_frugal, documents
 from urbanweave.runtime import settle
 
 #: Near duplicates share four fifths of their runs of five words.
@@ -21,26 +21,31 @@ NEAR = parity_join.Rule(words=5, share=80, whole=100)
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    be_frugal(spark)
     return language_id.keep_known(docs, language_id.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links join: the one with the smallest doc_id."""
+    be_frugal(spark)
     return parity_join.keep_one(docs, NEAR)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item, with or without id."""
+    be_frugal(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars brought up to date."""
+    be_frugal(spark)
     return secret_ledger.redact_all(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the sampled piece ids of the text, their number, and whether they spell the text again."""
+    be_frugal(spark)
     model = piece_sampling.default_model(spark)
     back = piece_sampling.decode(piece_sampling.encode(docs, model, given=True), model)
     whole = F.sha2("text", 256) == F.col("given")

@@ -95,3 +95,32 @@ def test_query_is_lossless_and_agrees_with_single_documents(spark, vocabulary):
     alone = [(k, split(*ps.Sampler(vocabulary).sample([ps.row_key(k)], [t]))[0]) for k, t in list(docs.items())[:20]]
     hashed = spark.createDataFrame(alone, "k long, ids array<int>").select("k", F.size("ids").alias("n"), F.xxhash64("ids").alias("h"))
     assert all((found[r.k].n_pieces, found[r.k].ids_hash) == (r.n, r.h) for r in hashed.collect())
+
+
+def test_trie_has_rows_only_for_states_with_several_steps():
+    ids = {piece: i for i, piece in enumerate(["a", "ab", "abc", "abd", "xyz", "xéz", "x𝄞", "é", "zzzz"])}
+    trie = ps.Trie(ids)
+    assert len(trie.table) == 3  # the start, "ab" and "x", of 17 states
+    narrow = type("Narrow", (ps.Trie,), {"COLUMNS": 2})(ids)  # most steps are looked up in the list
+    text = "abcabd xyzzzzz x𝄞xéz éq ab\U0010ffff"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    brute = sorted((i, j, ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in ids)
+    for each in (trie, narrow):
+        start, end, number = each.matches(codes)
+        assert sorted(zip(start.tolist(), end.tolist(), number.tolist(), strict=True)) == brute
+        assert (np.diff(end) >= 0).all()
+
+
+def test_workers_keep_no_sampler_after_a_task(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert ps.encode(docs, ps.default_model(spark)).count() == 20
+
+    def left(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ in ("Vocabulary", "Sampler") for x in gc.get_objects())]})
+
+    assert {r.n for r in spark.range(64).repartition(32).mapInArrow(left, "n long").collect()} == {0}

@@ -9,7 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from urbanweave.llm import language_id, parity_join, piece_sampling
-from urbanweave.llm.common import documents
+from urbanweave.llm.common import FRUGAL, documents
 from urbanweave.runtime import settle
 
 from . import cases
@@ -72,6 +72,31 @@ def test_stages_take_every_case(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """Text of 30 MB leaves for a worker in batches of 4 MB, unless the session has a bound of its own."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('x', 10000) as text", "'en' as lang", "'s' as source", "10000L as n_chars")
+    before = {name: spark.conf.get(name, None) for name in FRUGAL}
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for given, most in ((None, 4 << 20), ("1m", 1 << 20)):
+            for name in FRUGAL:
+                spark.conf.unset(name)
+            if given:
+                spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", given)
+            stages["secret_scan"](spark, docs.limit(1), SF)
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < most + 20_000
+            assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_entry_without_the_package(tmp_path):
     """As the driver does: the two folders and the pipeline are gone, and the rest still imports."""
     here = tmp_path / "repo"

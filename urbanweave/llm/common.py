@@ -74,6 +74,23 @@ def forget_others() -> None:
     let_go()
 
 
+#: What an executor holds outside the heap of its JVM. A batch is held whole by the JVM and by the Python worker
+#: it leaves for; Spark's own bound, 64 MB, is more than the rows of a task. Parquet's vectored reads of files
+#: leave buffers as large as a column chunk with every thread that has read one.
+FRUGAL = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "parquet.hadoop.vectored.io.enabled": "false"}
+
+
+def be_frugal(spark: SparkSession) -> None:
+    """From now on ``FRUGAL``, where the session has no setting of its own.
+
+    Spark looks these up when a query runs, so a job sets them for what it returns too.
+    """
+    ours = spark.conf.getAll
+    for name, value in FRUGAL.items():
+        if name not in ours and f"spark.hadoop.{name}" not in ours:
+            spark.conf.set(name, value)
+
+
 def map_batches(df: DataFrame, fields: list, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Map Arrow batches of ``df`` to rows of ``fields`` (StructFields).
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,19 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from urbanweave.llm.common import forgets, keyed_texts, slices
+from urbanweave.llm.common import keyed_texts, let_go, lets_go, slices
 
 OFFSET = 10.0
 SPACE = "▁"
-_MOST_EDGES = 2_000_000
-_PART_CHARS = 500_000
+_MOST_EDGES = 500_000
+_PART_CHARS = 125_000
 
 
 class Trie:
     """Pieces as a table of states, walked from all places of a text at once.
 
-    The commonest characters have a column of their own; steps by others are
-    looked up in a sorted list.
+    Only states with several steps have a row in the table; most have one step or
+    none. The commonest characters have a column of their own there; steps of such
+    states by others are looked up in a sorted list.
     """
 
     COLUMNS = 128
@@ -60,13 +60,20 @@ class Trie:
         common = [c for c, _ in Counter(c for state in children for c in state).most_common(self.COLUMNS)]
         self.columns = np.full(0x110000, -1, np.int16)
         self.columns[[ord(c) for c in common]] = np.arange(len(common))
-        self.table = np.full((len(children), self.COLUMNS), -1, np.int32)
+        several = [state for state, steps in enumerate(children) if len(steps) > 1]
+        self.row = np.full(len(children), -1, np.int32)
+        self.row[several] = np.arange(len(several))
+        self.table = np.full((len(several), self.COLUMNS), -1, np.int32)
+        self.only, self.only_to = np.full(len(children), 1 << 21, np.uint32), np.full(len(children), -1, np.int32)
         rare = []
         for state, steps in enumerate(children):
+            row = self.row[state]
             for char, to in steps.items():
                 column = self.columns[ord(char)]
-                if column >= 0:
-                    self.table[state, column] = to
+                if row < 0:
+                    self.only[state], self.only_to[state] = ord(char), to
+                elif column >= 0:
+                    self.table[row, column] = to
                 else:
                     rare.append((state << 21 | ord(char), to))
         rare.sort()
@@ -82,9 +89,12 @@ class Trie:
             at = place + depth
             inside = at < len(codes)
             place, state, at = place[inside], state[inside], at[inside]
-            column = columns[at]
-            to = np.where(column >= 0, self.table[state, column], -1)
-            others = np.flatnonzero(column < 0)
+            to = np.where(self.only[state] == codes[at], self.only_to[state], -1)
+            row = self.row[state]
+            wide = np.flatnonzero(row >= 0)
+            column = columns[at[wide]]
+            to[wide] = np.where(column >= 0, self.table[row[wide], column], -1)
+            others = wide[column < 0]
             if len(others):
                 keys = state[others].astype(np.int64) << 21 | codes[at[others]]
                 spot = np.searchsorted(self.rare, keys)
@@ -148,21 +158,6 @@ class Vocabulary:
         self.weights = -np.log(rank) - np.log((1 / rank).sum())
 
 
-@lru_cache(maxsize=1)
-def _vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of this Python worker, kept from task to task."""
-    return Vocabulary(path)
-
-
-@lru_cache(maxsize=1)
-def _sampler(path: str, alpha: float, seed: int) -> Sampler:
-    return Sampler(_vocabulary(path), alpha, seed)
-
-
-forgets(_sampler.cache_clear)
-forgets(_vocabulary.cache_clear)
-
-
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -366,7 +361,8 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 0,
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(model_path, alpha, seed)
+        sampler = Sampler(Vocabulary(model_path), alpha, seed)  # for this task; workers that wait for one hold none
+        let_go()
         for batch in (part for whole in batches for part in slices(whole)):
             keys, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             done = 0
@@ -384,7 +380,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 0,
                 yield pa.RecordBatch.from_arrays(part, schema=arrow)
                 done = upto
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lets_go(run), schema)
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
@@ -407,7 +403,7 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
             columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema=arrow)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(lets_go(run), schema)
 
 
 def default_model(spark: SparkSession) -> str:
