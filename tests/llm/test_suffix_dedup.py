@@ -1,9 +1,12 @@
 import hashlib
 import random
+import threading
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urbanweave.llm import suffix_dedup as sd
 from urbanweave.llm.queries import QUERIES
@@ -116,3 +119,52 @@ def test_query_over_the_whole_table(spark):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op3_suffix_dedup"](spark, sf).collect())
     want = Counter((k, n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()) for k, n, spans, kept in brute(rows))
     assert got == want
+
+
+def test_copies_take_little_disk(spark):
+    # Copies share every window, in other blocks: their strings are not sent, and no round leaves its shuffle behind.
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=20_000)) for _ in range(100)]
+    rows = [(100 * copy + i, text) for copy in range(6) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, F.floor(F.col("doc_id") / 100))
+    disk = lambda: sum(f.stat().st_size for top in (*folders(spark), Path(spark.conf.get("spark.checkpoint.dir"))) for f in top.rglob("*") if f.is_file())
+    before, most, over = disk(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.02):
+            try:
+                most = max(most, disk())
+            except FileNotFoundError:  # a file went meanwhile
+                pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        kept = sd.dedup(docs).agg(F.sum(F.length("kept")).alias("n")).first().n
+    finally:
+        over.set()
+        watcher.join()
+    assert kept == sum(len(t) for t in texts)
+    assert most - before < 3 * sum(len(t) for _, t in rows)
+
+
+def folders(spark):
+    return [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(-5, 5, 40), np.array([sd._LAST, -7, 3]), np.array([4])):
+        assert sd._unpack_numbers(sd._pack_numbers(values.astype(np.int64))).tolist() == values.tolist()
+
+
+def test_fingerprints_depend_on_the_string_alone():
+    rng = random.Random(4)
+    data = bytes(rng.choices(b"ab", k=4000))
+    spots = [(rng.randint(0, 3900), rng.randint(8, 76)) for _ in range(3000)] + [(4000 - n, n) for n in range(8, 77)]
+    prints = sd.fingerprints(np.frombuffer(data, np.uint8), *(np.array(x) for x in zip(*spots)))
+    by_string = {}
+    for (a, n), h in zip(spots, prints.tolist()):
+        assert by_string.setdefault(data[a : a + n], h) == h
+    assert len(set(by_string.values())) == len(by_string)

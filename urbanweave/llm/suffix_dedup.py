@@ -2,10 +2,12 @@
 
 Texts are cut where a window of ``length`` bytes changes its minimizer (the m-gram
 of the window with the smallest hash). Equal windows have the same minimizer, so
-windows meet by its value: in a first round only the minimizers travel, and in a
-second one the strings around those found in several documents, each string once
-per block of documents. A minimizer with very many strings is split further, by
-the windows themselves.
+windows meet by its value: in a first round only the minimizers travel, in a
+second one hashes of the strings around those found in several documents, and in
+a third one the strings themselves, where strings of a minimizer differ, each from
+the blocks of documents with its smallest owner. A minimizer with very many
+strings is split further, by the windows themselves. Answers travel as bits, in the
+order of what was asked, which every round makes anew from the block.
 
 Where strings of a minimizer differ, their equal windows are found on the
 Burrows-Wheeler transform of the strings: intervals of common prefixes are
@@ -16,19 +18,19 @@ then shares a whole window.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanweave.llm.common import keyed_texts, slices
-from urbanweave.runtime import settle
+from urbanweave.runtime import settle_alone
 
 LENGTH = 50
 MER = 24
@@ -165,19 +167,44 @@ def shared_window_owners(strings: list[bytes], owners: list[int], length: int =
     return [found[s : s + z - length + 1] for s, z in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-# Packed columns: numbers below 2**40 in rising order as byte planes of their differences.
+# Packed columns. A row holds little of each, so what compresses is made once.
+@functools.cache
+def _zstd(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+def _pack(data: bytes, level: int = 1) -> bytes:
+    return _zstd(level).compress(data)
+
+
+def _unpack(packed: bytes, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
 def _pack_rising(values: np.ndarray) -> bytes:
+    """Numbers below 2**40 in rising order, as byte planes of their differences."""
     steps = np.diff(values, prepend=_U(0))
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), 1)
+    return _pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes())
 
 
 def _unpack_rising(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(5, -1)
+    planes = _unpack(packed).reshape(5, -1)
     wide = np.zeros((planes.shape[1], 8), np.uint8)
     wide[:, :5] = planes.T
     return np.cumsum(wide.view("<u8").ravel(), dtype=_U)
 
 
+def _pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits in any order, as their least one and byte planes of what they have above it."""
+    low = values.min()
+    return low.tobytes() + _pack(np.ascontiguousarray((values.view(_U) - low.view(_U)).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = _unpack(packed[8:]).reshape(8, -1)
+    return (np.ascontiguousarray(planes.T).view(_U).ravel() + np.frombuffer(packed[:8], _U)).view(np.int64)
+
+
 def _write_blocks(texts: DataFrame) -> DataFrame:
     """Documents in blocks of bounded size: (block, ids, nulls, sizes, bytes), bytes compressed."""
 
@@ -188,7 +215,7 @@ def _write_blocks(texts: DataFrame) -> DataFrame:
             ids = np.array([0 if k is None else k for k, _ in rows], np.int64)
             nulls = np.array([k is None for k, _ in rows], np.uint8)
             sizes = np.array([len(t) for _, t in rows], np.int64)
-            data = zstandard.compress(b"".join([t for _, t in rows]), 5)
+            data = _pack(b"".join([t for _, t in rows]), 5)
             return pa.RecordBatch.from_arrays(
                 [pa.array([(task << 20) + seen]), *[pa.array([x], pa.binary()) for x in (ids.tobytes(), nulls.tobytes(), sizes.tobytes(), data)]],
                 names=["block", "ids", "nulls", "sizes", "data"],
@@ -205,7 +232,7 @@ def _write_blocks(texts: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return settle(texts.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, data binary"))
+    return settle_alone(texts.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, data binary"))
 
 
 class _Block:
@@ -254,7 +281,7 @@ def _minimizers(blocks: DataFrame, buckets: int, length: int, mer: int) -> DataF
                 keys = keys[heads]
                 cuts = np.searchsorted(keys >> _U(40), np.arange(buckets + 1, dtype=_U))
                 full = np.flatnonzero(np.diff(cuts))
-                packed = [(_pack_rising(_rest(keys[cuts[b] : cuts[b + 1]])), zstandard.compress(marks[cuts[b] : cuts[b + 1]].tobytes(), 1)) for b in full.tolist()]
+                packed = [(_pack_rising(_rest(keys[cuts[b] : cuts[b + 1]])), _pack(marks[cuts[b] : cuts[b + 1]].tobytes())) for b in full.tolist()]
                 columns = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"]))]
                 columns += [pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys", "marks"])
@@ -262,111 +289,189 @@ def _minimizers(blocks: DataFrame, buckets: int, length: int, mer: int) -> DataF
     return blocks.mapInArrow(run, "bucket int, block long, keys binary, marks binary")
 
 
+def _answers(table: pa.Table, sizes: list[int], states: np.ndarray) -> pa.Table:
+    """A byte for each thing that the rows of ``table`` ask for, ``sizes`` in each; rows with zeros only are left out."""
+    bucket, cuts = table["bucket"][0].as_py(), np.r_[0, np.cumsum(sizes)].tolist()
+    parts = [(block, states[a:b]) for block, a, b in zip(table["block"].to_pylist(), cuts, cuts[1:], strict=False)]
+    parts = [(block, part) for block, part in parts if part.any()]
+    return pa.table(
+        [pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int32()), pa.array([_pack(p[1].tobytes()) for p in parts], pa.binary())],
+        names=["block", "bucket", "data"],
+    )
+
+
+_ANSWERS = "block long, bucket int, data binary"
+
+
 def _shared(minimizers: DataFrame) -> DataFrame:
-    """Per block and bucket: the minimizers that several documents have, and into how many parts each is dealt."""
+    """Per block and bucket, a byte for each minimizer: 1 if several documents have it, 2 if it has very many strings besides."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        keys = [_unpack_rising(x) for x in table["keys"].to_pylist()]
-        marks = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in table["marks"].to_pylist()])
-        at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        keys, marks, at = keys[order], marks[order], at[order]
+        lists = [_unpack_rising(x) for x in table["keys"].to_pylist()]
+        marks = np.concatenate([_unpack(x) for x in table["marks"].to_pylist()])
+        keys = np.concatenate(lists)
+        order = np.argsort(keys)
+        keys, marks = keys[order], marks[order]
         heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.r_[heads, len(keys)])
         amount = np.add.reduceat(np.exp2(np.maximum(marks, 1) - 1.0), heads)
-        keep = np.repeat((counts > 1) | (np.maximum.reduceat(marks, heads) > 0), counts)
-        parts = np.repeat(1 + amount // MOST_STRINGS, counts).astype(np.uint32)
-        keys, parts, at = keys[keep], parts[keep], at[keep]
-        order = np.argsort(at, kind="stable")
-        keys, parts, at = keys[order], parts[order], at[order]
-        cuts = np.searchsorted(at, np.arange(len(table) + 1))
-        full = np.flatnonzero(np.diff(cuts)).tolist()
-        blocks = table["block"].to_pylist()
-        spans = [slice(int(cuts[i]), int(cuts[i + 1])) for i in full]
-        return pa.table(
-            [
-                pa.array([blocks[i] for i in full], pa.int64()),
-                pa.array([bucket] * len(full), pa.int32()),
-                pa.array([_pack_rising(keys[s]) for s in spans], pa.binary()),
-                pa.array([zstandard.compress(parts[s].tobytes(), 1) for s in spans], pa.binary()),
-            ],
-            names=["block", "bucket", "keys", "parts"],
-        )
+        state = np.where((counts > 1) | (np.maximum.reduceat(marks, heads) > 0), np.where(amount >= MOST_STRINGS, 2, 1), 0)
+        states = np.empty(len(keys), np.uint8)
+        states[order] = np.repeat(state, counts)
+        return _answers(table, [len(x) for x in lists], states)
+
+    return minimizers.groupBy("bucket").applyInArrow(run, _ANSWERS)
+
+
+def fingerprints(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of 64 bits of the strings of ``data`` (of eight bytes and more) at ``first``."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
+    out = _mix(sizes.astype(_U) * _U(0x9E3779B97F4A7C15))
+    for k in range(0, int(sizes.max(initial=0)), 8):
+        step = _mix(out) * _U(0xC2B2AE3D27D4EB4F) + words[first + np.minimum(k, sizes - 8)]
+        out = np.where(sizes > k, step, out)
+    return _mix(out)
+
 
-    return minimizers.groupBy("bucket").applyInArrow(run, "block long, bucket int, keys binary, parts binary")
+def _by_group(groups: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """The order by group, then by hash. Only equal pairs may stand in another order elsewhere."""
+    order = np.argsort(prints)
+    return order[np.argsort(groups[order], kind="stable")]
 
 
 class _Strings:
     """Strings of a block around its shared minimizers, each once, and the runs of windows they stand for.
 
-    Made anew, and in the same order, in the round that sends them and in the
-    one that gets the answers.
+    Strings are told apart by their hashes. Made anew, and in the same order, in
+    every round that asks about them or gets answers.
     """
 
-    def __init__(self, block: _Block, shared: list[tuple[int, bytes, bytes]], buckets: int, length: int, mer: int):
+    def __init__(self, block: _Block, told: pa.Table, buckets: int, length: int, mer: int):
+        self.told, self.buckets = told, buckets
         first, last, doc, keys = block.runs(length, mer)
-        known = [(_unpack_rising(k) | _U(b << 40), np.frombuffer(zstandard.decompress(p), np.uint32)) for b, k, p in sorted(shared)]
-        values = np.concatenate([k for k, _ in known]) if known else np.zeros(0, _U)
-        parts = np.concatenate([p for _, p in known]) if known else np.zeros(0, np.uint32)
-        keys = _bucket(keys, buckets) << _U(40) | _rest(keys)
-        spot = np.minimum(np.searchsorted(values, keys), max(0, len(values) - 1))
-        ours = np.flatnonzero(values[spot] == keys) if len(values) else np.zeros(0, np.int64)
-        split = parts[spot[ours]] if len(values) else np.zeros(0, np.uint32)
-        # Minimizers with many strings: every window is a string of its own.
-        many = split > 1
+        values, spot = np.unique(_bucket(keys, buckets) << _U(40) | _rest(keys), return_inverse=True)
+        shared = self.answers("shared", values)[spot]
+        ours = np.flatnonzero(shared)
+        # Minimizers with many strings: every window is a string of its own, and meets its like by its hash.
+        many = shared[ours] > 1
         counts = np.where(many, last[ours] - first[ours] + 1, 1)
         step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         alone = np.repeat(many, counts)
         self.first = np.repeat(first[ours], counts) + np.where(alone, step, 0)
         self.last = np.where(alone, self.first, np.repeat(last[ours], counts))
         self.owner = block.owners[np.repeat(doc[ours], counts)]
-        group, split = np.repeat(keys[ours], counts), np.repeat(split, counts)
-
-        index: dict[bytes, int] = {}
-        data = block.bytes
-        at = [index.setdefault(data[a:b], len(index)) for a, b in zip(self.first.tolist(), (self.last + length).tolist(), strict=True)]
-        self.string = np.array(at, np.int64)
-        self.strings = list(index)
-        self.smallest = np.full(len(index), _LAST)
-        np.minimum.at(self.smallest, self.string, self.owner)
-        self.group = np.zeros(len(index), _U)
-        self.group[self.string] = group
-        pieces = np.ones(len(index), np.uint32)
-        pieces[self.string] = split
-        for i in np.flatnonzero(pieces > 1).tolist():
-            self.group[i] ^= _U(xxhash.xxh64_intdigest(self.strings[i]) % int(pieces[i]) + 1 << 20)
-        self.group = _mix(self.group)
-        self.bucket = (self.group % _U(buckets)).astype(np.int64)
-
-    def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(self.bucket, kind="stable")
-        heads = np.flatnonzero(np.r_[True, np.diff(self.bucket[order]) != 0]) if len(order) else []
-        for part in np.split(order, heads[1:]) if len(order) else []:
-            yield int(self.bucket[part[0]]), part
-
-
-def _strings(blocks: DataFrame, shared: DataFrame, buckets: int, length: int, mer: int) -> DataFrame:
-    """Per block and bucket: strings (compressed, end to end), their sizes, smallest owners in the block and groups."""
-    schema = "bucket int, block long, strings binary, sizes binary, owners binary, groups binary"
+        prints = fingerprints(block.data, self.first, self.last - self.first + length)
+        groups = np.where(alone, _bucket(prints, buckets) << _U(40) | _rest(prints), np.repeat(values[spot[ours]], counts))
+
+        order = _by_group(groups, prints)
+        groups, prints = groups[order], prints[order]
+        heads = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (prints[1:] != prints[:-1])]) if len(order) else order
+        self.string = np.empty(len(order), np.int64)
+        self.string[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
+        self.smallest = np.minimum.reduceat(self.owner[order], heads) if len(order) else self.owner
+        self.groups, self.prints, self.place = groups[heads], prints[heads], order[heads]
+        self.counts = (self.last - self.first + 1)[self.place]
+
+    def _rows(self, kind: str) -> list[tuple[int, bytes]]:
+        return [(b, d) for k, b, d in zip(*(self.told[c].to_pylist() for c in ("kind", "bucket", "data")), strict=True) if k == kind]
+
+    def answers(self, kind: str, values: np.ndarray) -> np.ndarray:
+        """The answers of this kind to what was asked of ``values``, which rise with their buckets."""
+        out = np.zeros(len(values), np.uint8)
+        for bucket, data in self._rows(kind):
+            at, got = int(np.searchsorted(values, _U(bucket << 40))), _unpack(data)
+            out[at : at + len(got)] = got
+        return out
+
+    def by_bucket(self, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        cuts = np.searchsorted(self.groups[chosen] >> _U(40), np.arange(self.buckets + 1, dtype=_U))
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            yield bucket, chosen[cuts[bucket] : cuts[bucket + 1]]
+
+    def verdicts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that a smaller owner has too, and those with the smallest owner in a group of several strings."""
+        states = self.answers("verdicts", self.groups)
+        return states == 1, np.flatnonzero(states == 2)
+
+    def masks(self, open_strings: np.ndarray) -> np.ndarray:
+        """Per window of all strings, one string after the other: whether a smaller owner has it, as far as masks say so."""
+        offsets = np.cumsum(self.counts) - self.counts
+        lower = np.zeros(int(self.counts.sum()), bool)
+        parts = dict(self.by_bucket(open_strings))
+        for bucket, data in self._rows("masks"):
+            counts = self.counts[parts[bucket]]
+            bits = np.unpackbits(_unpack(data), count=int(counts.sum())).astype(bool)
+            lower[np.repeat(offsets[parts[bucket]] - (np.cumsum(counts) - counts), counts) + np.arange(len(bits))] = bits
+        return lower
+
+
+def _with_told(blocks: DataFrame, run, schema: str, **told: DataFrame) -> DataFrame:
+    """``run`` of each block (its row and what was told of it)."""
+    rows = [df.select("block", F.lit(kind).alias("kind"), "bucket", "data") for kind, df in told.items()]
+    return blocks.groupBy("block").cogroup(functools.reduce(DataFrame.unionByName, rows).groupBy("block")).applyInArrow(run, schema)
+
+
+def _hashes(blocks: DataFrame, shared: DataFrame, buckets: int, length: int, mer: int) -> DataFrame:
+    """Per block and bucket: groups, hashes and smallest owners in the block of its strings."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[] for _ in range(5)]
+        if len(left) and len(right):
+            row = left.to_pylist()[0]
+            found = _Strings(_Block(row["ids"], row["nulls"], row["sizes"], row["data"]), right, buckets, length, mer)
+            for bucket, part in found.by_bucket(np.arange(len(found.groups))):
+                packed = (_pack_rising(_rest(found.groups[part])), found.prints[part].tobytes(), _pack_numbers(found.smallest[part]))
+                for column, value in zip(out, (bucket, row["block"], *packed), strict=True):
+                    column.append(value)
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "block", "groups", "prints", "owners"])
+
+    return _with_told(blocks, run, "bucket int, block long, groups binary, prints binary, owners binary", shared=shared)
+
+
+def _verdicts(hashes: DataFrame) -> DataFrame:
+    """Per block and bucket, a byte for each string: 1 if a smaller owner than the block's has it, else 2 if its group has others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [_unpack_rising(x) for x in table["groups"].to_pylist()]
+        groups = np.concatenate(lists)
+        prints = np.concatenate([np.frombuffer(x, _U) for x in table["prints"].to_pylist()])
+        owners = np.concatenate([_unpack_numbers(x) for x in table["owners"].to_pylist()])
+        order = _by_group(groups, prints)
+        groups, prints, owners = groups[order], prints[order], owners[order]
+        apart = np.r_[True, groups[1:] != groups[:-1]]
+        fresh = apart | np.r_[True, prints[1:] != prints[:-1]]
+        heads, group_heads = np.flatnonzero(fresh), np.flatnonzero(apart)
+        smallest = np.repeat(np.minimum.reduceat(owners, heads), np.diff(np.r_[heads, len(order)]))
+        several = np.repeat(np.add.reduceat(fresh.astype(np.int64), group_heads) > 1, np.diff(np.r_[group_heads, len(order)]))
+        states = np.empty(len(order), np.uint8)
+        states[order] = np.where(owners > smallest, 1, np.where(several, 2, 0))
+        return _answers(table, [len(x) for x in lists], states)
+
+    return hashes.groupBy("bucket").applyInArrow(run, _ANSWERS)
+
+
+def _strings(blocks: DataFrame, shared: DataFrame, verdicts: DataFrame, buckets: int, length: int, mer: int) -> DataFrame:
+    """Per block and bucket: open strings (compressed, end to end), their sizes, smallest owners and groups."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[] for _ in range(6)]
         if len(left) and len(right):
             row = left.to_pylist()[0]
             block = _Block(row["ids"], row["nulls"], row["sizes"], row["data"])
-            found = _Strings(block, [(r["bucket"], r["keys"], r["parts"]) for r in right.to_pylist()], buckets, length, mer)
-            for bucket, part in found.by_bucket():
-                strings = [found.strings[i] for i in part.tolist()]
-                sizes = np.array([len(s) for s in strings], np.uint32)
-                packed = (b"".join(strings), sizes.tobytes(), found.smallest[part].tobytes())
-                for column, value in zip(out, (bucket, row["block"], *[zstandard.compress(x, 3) for x in packed], found.group[part].tobytes()), strict=True):
+            found = _Strings(block, right, buckets, length, mer)
+            _, open_strings = found.verdicts()
+            for bucket, part in found.by_bucket(open_strings):
+                a, z = found.first[found.place[part]], found.counts[part] + length - 1
+                strings = b"".join([block.bytes[x : x + y] for x, y in zip(a.tolist(), z.tolist(), strict=True)])
+                packed = (_pack(strings, 3), _pack(z.astype(np.uint32).tobytes()), _pack_numbers(found.smallest[part]), _pack_rising(_rest(found.groups[part])))
+                for column, value in zip(out, (bucket, row["block"], *packed), strict=True):
                     column.append(value)
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "block", "strings", "sizes", "owners", "groups"])
 
-    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, schema)
+    return _with_told(blocks, run, "bucket int, block long, strings binary, sizes binary, owners binary, groups binary", shared=shared, verdicts=verdicts)
 
 
 def _window_masks(strings: DataFrame, length: int) -> DataFrame:
@@ -375,11 +480,10 @@ def _window_masks(strings: DataFrame, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows, index, owner, group = [], {}, [], []
         for row in table.to_pylist():
-            data, sizes, owners = (zstandard.decompress(row[c]) for c in ("strings", "sizes", "owners"))
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
-            owners = np.frombuffer(owners, np.int64)
+            data, owners = zstandard.decompress(row["strings"]), _unpack_numbers(row["owners"])
+            ends = np.cumsum(_unpack(row["sizes"], np.uint32).astype(np.int64)).tolist()
             at = []
-            for a, b, o, g in zip([0, *ends], ends, owners.tolist(), np.frombuffer(row["groups"], _U).tolist(), strict=False):
+            for a, b, o, g in zip([0, *ends], ends, owners.tolist(), _unpack_rising(row["groups"]).tolist(), strict=False):
                 i = index.setdefault(data[a:b], len(index))
                 if i == len(owner):
                     owner.append(o)
@@ -420,40 +524,34 @@ def _window_masks(strings: DataFrame, length: int) -> DataFrame:
             for place in np.flatnonzero([i in found for i in at.tolist()]).tolist():
                 i = int(at[place])
                 lower[ends[place] - counts[i] : ends[place]] = found[i] < owners[place]
-            masks.append(zstandard.compress(np.packbits(lower).tobytes(), 1))
+            masks.append(_pack(np.packbits(lower).tobytes()))
         bucket = table["bucket"][0].as_py()
         return pa.table(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(masks, pa.binary())],
-            names=["block", "bucket", "masks"],
+            names=["block", "bucket", "data"],
         )
 
-    return strings.groupBy("bucket").applyInArrow(run, "block long, bucket int, masks binary")
+    return strings.groupBy("bucket").applyInArrow(run, _ANSWERS)
 
 
-def _apply(blocks: DataFrame, shared: DataFrame, masks: DataFrame, buckets: int, length: int, mer: int) -> DataFrame:
+def _apply(blocks: DataFrame, buckets: int, length: int, mer: int, **told: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, spans removed (start, end in bytes), the bytes kept."""
     schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    answers = shared.join(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("answers")), "block", "left")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block = _Block(row["ids"], row["nulls"], row["sizes"], row["data"])
-        told = right.to_pylist()
         removed = np.zeros(len(block.data) + 1, np.int32)
-        if told:
-            found = _Strings(block, [(r["bucket"], r["keys"], r["parts"]) for r in told], buckets, length, mer)
-            answer = {a["bucket"]: a["masks"] for a in told[0]["answers"] or []}
-            counts = np.array([len(s) - length + 1 for s in found.strings], np.int64)
-            offsets = np.cumsum(counts) - counts
-            lower = np.zeros(int(counts.sum()), bool)
-            for bucket, part in found.by_bucket():
-                bits = np.unpackbits(np.frombuffer(zstandard.decompress(answer[bucket]), np.uint8), count=int(counts[part].sum())).astype(bool)
-                places = np.repeat(offsets[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(len(bits))
-                lower[places] = bits
+        if len(right):
+            found = _Strings(block, right, buckets, length, mer)
+            lower_strings, open_strings = found.verdicts()
+            lower = found.masks(open_strings)
+            offsets = np.cumsum(found.counts) - found.counts
             # A document that is not the block's smallest owner of a string has a smaller one there.
+            gone = (found.owner > found.smallest[found.string]) | lower_strings[found.string]
             sizes = found.last - found.first + 1
             step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            gone = np.repeat(found.owner > found.smallest[found.string], sizes) | lower[np.repeat(offsets[found.string], sizes) + step]
+            gone = np.repeat(gone, sizes) | lower[np.repeat(offsets[found.string], sizes) + step]
             windows = (np.repeat(found.first, sizes) + step)[gone]
             np.add.at(removed, windows, 1)
             np.add.at(removed, windows + length, -1)
@@ -478,7 +576,7 @@ def _apply(blocks: DataFrame, shared: DataFrame, masks: DataFrame, buckets: int,
             names=["doc_id", "n_bytes", "starts", "ends", "kept"],
         )
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return _with_told(blocks, run, schema, **told)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, mer: int = MER) -> DataFrame:
@@ -493,9 +591,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, mer: int = MER) -> DataFrame:
     texts = keyed_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
     blocks = _write_blocks(texts)
-    shared = settle(_shared(_minimizers(blocks, buckets, length, mer)))
-    masks = settle(_window_masks(_strings(blocks, shared, buckets, length, mer), length))
-    return _apply(blocks, shared, masks, buckets, length, mer)
+    shared = settle_alone(_shared(_minimizers(blocks, buckets, length, mer)))
+    verdicts = settle_alone(_verdicts(_hashes(blocks, shared, buckets, length, mer)))
+    masks = settle_alone(_window_masks(_strings(blocks, shared, verdicts, buckets, length, mer), length))
+    return _apply(blocks, buckets, length, mer, shared=shared, verdicts=verdicts, masks=masks)
 
 
 def kept_sha256(kept: bytes) -> str:

@@ -61,6 +61,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle_alone(df: DataFrame) -> DataFrame:
+    """``settle``, with the shuffle files of that write removed as soon as it ends."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return settle(df)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def settle_with(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     """``settle`` and the named aggregates, computed in that same pass."""
     seen = Observation()
